@@ -43,7 +43,7 @@ def shard(
     """
     docs = without(docs, "shard", "slot")
     total = docs.agg(F.sum(text_bytes(column(text_col)))).first()[0] or 0
-    buckets = min(max(1, math.ceil(total / bucket_bytes)), MAX_BUCKETS)
+    buckets = min(max(4 * shards, math.ceil(total / bucket_bytes)), MAX_BUCKETS)
 
     order = F.xxhash64(F.lit(seed), column(id_col), F.monotonically_increasing_id())
     row = F.struct(*[column(c) for c in docs.columns])
