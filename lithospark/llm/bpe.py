@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,9 +46,19 @@ class Codec:
         vocab: dict[str, int] = read["model"]["vocab"]
         back = {c: b for b, c in byte_characters().items()}
         self.bytes_of = {i: bytes(back[c] for c in token) for token, i in vocab.items() if all(c in back for c in token)}
-        self.first = [vocab[c] for _, c in sorted(byte_characters().items())]
-        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in read["model"]["merges"]]
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.first = np.array([vocab[c] for _, c in sorted(byte_characters().items())], dtype=np.int64)
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in read["model"]["merges"]]
+        self.left, self.right, self.made = (
+            np.array([vocab[t] for t in tokens], dtype=np.int64)
+            for tokens in ([a for a, _ in pairs], [b for _, b in pairs], [a + b for a, b in pairs])
+        )
+        # Applying a rank to all its places at once needs every symbol to be made before it is used.
+        born = {int(t): rank for rank, t in reversed([*enumerate(self.made)])}
+        if any(born.get(int(t), -1) >= rank for side in (self.left, self.right) for rank, t in enumerate(side)):
+            raise ValueError("a merge comes before the merge that makes its part")
+        keys = (self.left << 32) | self.right
+        self.rank_of_key = np.argsort(keys)
+        self.keys = keys[self.rank_of_key]
         self.special = {t["content"]: t["id"] for t in read["added_tokens"]}
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in read["added_tokens"]):
             raise ValueError("added tokens that look at their neighbours are not read")
@@ -70,48 +80,82 @@ class Codec:
     def learn(self, pieces: set[str]) -> None:
         """Encodes pieces not yet known, all of them through one index."""
         fresh = [p for p in pieces if p not in self.known]
-        symbols: list[int] = []
-        ends: list[int] = []
-        for p in fresh:
-            symbols += [self.first[b] for b in p.encode()]
-            symbols.append(-1)
-            ends.append(len(symbols))
+        if not fresh:
+            return
+        # A byte that no UTF-8 text holds ends each piece.
+        raw = np.frombuffer(b"\xff".join(p.encode() for p in fresh) + b"\xff", dtype=np.uint8)
+        ends = np.flatnonzero(raw == 0xFF)
+        symbols = self.first[raw]
+        symbols[ends] = -1
         self._merge(symbols)
-        start = 0
-        for p, end in zip(fresh, ends, strict=True):
-            self.known[p] = tuple(s for s in symbols[start : end - 1] if s >= 0)
+        left = symbols >= 0
+        upto = np.cumsum(left)[ends].tolist()
+        ids, start = symbols[left].tolist(), 0
+        for p, end in zip(fresh, upto, strict=True):
+            self.known[p] = tuple(ids[start:end])
             start = end
 
-    def _merge(self, symbols: list[int]) -> None:
-        """Applies all merges in place: a merged place keeps its new symbol, the other becomes -2; -1 ends a piece."""
-        n, merges = len(symbols), self.merges
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        places: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for i in range(n - 1):
-            pair = (symbols[i], symbols[i + 1])
-            if pair in merges:
-                places[pair].append(i)
-        active = [(merges[pair][0], pair) for pair in places]
-        heapify(active)
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols, or -1."""
+        keys = (left << 32) | right
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where((left >= 0) & (right >= 0) & (self.keys[at] == keys), self.rank_of_key[at], -1)
+
+    def _merge(self, symbols: np.ndarray) -> None:
+        """Applies all merges in place: the first of two places takes the new symbol, the other -2; -1 ends a piece."""
+        n = len(symbols)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        places: dict[int, list[np.ndarray]] = {}
+        active: list[int] = []
+
+        def index(at: np.ndarray, ranks: np.ndarray) -> None:
+            order = np.argsort(ranks, kind="stable")
+            order = order[np.searchsorted(ranks[order], 0) :]
+            if not len(order):
+                return
+            at, ranks = at[order], ranks[order]
+            cuts = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(at)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                rank = int(ranks[i])
+                if rank not in places:
+                    heappush(active, rank)
+                    places[rank] = []
+                places[rank].append(at[i:j])
+
+        index(np.arange(n - 1), self._ranks(symbols[:-1], symbols[1:]))
         while active:
-            _, pair = heappop(active)
-            a, b = pair
-            new = merges[pair][1]
-            for i in sorted(places.pop(pair)):
-                if symbols[i] != a:
-                    continue
-                j = after[i]
-                if symbols[j] != b:
-                    continue
-                symbols[i], symbols[j] = new, -2
-                k = after[i] = after[j]
-                before[k] = i
-                h = before[i]
-                for at, made in ((h, (symbols[h], new) if h >= 0 else None), (i, (new, symbols[k]))):
-                    if made in merges:
-                        if made not in places:
-                            heappush(active, (merges[made][0], made))
-                        places[made].append(at)
+            rank = heappop(active)
+            found = places.pop(rank)
+            at = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+            a, b, new = self.left[rank], self.right[rank], self.made[rank]
+            at = at[symbols[at] == a]
+            at = at[symbols[after[at]] == b]
+            if a == b:
+                at = self._from_the_left(at, after)
+            if not len(at):
+                continue
+            gone = after[at]
+            symbols[at], symbols[gone] = new, -2
+            behind = after[at] = after[gone]
+            before[behind] = at
+            ahead = before[at]
+            has = ahead >= 0
+            ahead = ahead[has]
+            made = np.full(len(ahead), new)
+            index(
+                np.concatenate((ahead, at)),
+                np.concatenate((self._ranks(symbols[ahead], made), self._ranks(np.full(len(at), new), symbols[behind]))),
+            )
+
+    @staticmethod
+    def _from_the_left(at: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Of overlapping pairs of one symbol with itself, every other one."""
+        taken, last = [], -1
+        for i, j in zip(at.tolist(), after[at].tolist(), strict=True):
+            if i != last:
+                taken.append(i)
+                last = j
+        return np.array(taken, dtype=np.int64)
 
     def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
         """The ids of each text in turn."""
