@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, sharding, urls
+from . import bpe, fingerprints, mixing, sharding, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": sharding.op1_sharding,
         "op3_mixing": mixing.op3_mixing,
+        "op4_fingerprints": fingerprints.op4_fingerprints,
         "op5_bpe": bpe.op5_bpe,
         "op8_url_filters": urls.op8_url_filters,
     }
