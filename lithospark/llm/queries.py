@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, mixing, near_dedup, sharding, urls
+from . import bpe, fingerprints, language, mixing, near_dedup, sharding, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": sharding.op1_sharding,
+        "op2_language_id": language.op2_language_id,
         "op3_mixing": mixing.op3_mixing,
         "op4_fingerprints": fingerprints.op4_fingerprints,
         "op5_bpe": bpe.op5_bpe,
