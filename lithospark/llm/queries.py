@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, language, mixing, near_dedup, sharding, urls
+from . import bpe, fingerprints, language, mixing, near_dedup, quality, sharding, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_bpe": bpe.op5_bpe,
         "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
         "op8_url_filters": urls.op8_url_filters,
+        "op10_quality_classifier": quality.op10_quality_classifier,
     }
 
 

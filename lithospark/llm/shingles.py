@@ -51,22 +51,26 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def _words(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words in order, and how many words lie before each text's end."""
-    raw = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-    n = len(raw)
-    up, down = _powers(1 << max(21, (n + 1).bit_length()))
-    gap = _SPACE[raw]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], gap)).view(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_OF_BYTE[raw] * up[:n], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _ODD)
-    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    return hashes, np.searchsorted(starts, np.cumsum(lengths + 1))
-
-
-def _blocks(texts: Sequence[bytes]) -> Iterator[tuple[int, int]]:
+class Words:
+    """The words of some texts, in order: bytes, bounds, hashes, and how many lie before each text's end."""
+
+    def __init__(self, texts: Sequence[bytes]) -> None:
+        self.raw = raw = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+        n = len(raw)
+        up, down = _powers(1 << max(21, (n + 1).bit_length()))
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[raw])).view(np.int8)))
+        self.starts, self.ends = edge[::2], edge[1::2]
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(_OF_BYTE[raw] * up[:n], out=sums[1:])
+        lengths = (self.ends - self.starts).astype(np.uint64)
+        self.hashes = mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + lengths * _ODD)
+        #: Where each text ends in ``raw``; one line feed follows it.
+        self.text_ends = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1)
+        self.until = np.searchsorted(self.starts, self.text_ends)
+
+
+def blocks(texts: Sequence[bytes]) -> Iterator[tuple[int, int]]:
+    """Runs of texts that are hashed together."""
     start = size = 0
     for i, t in enumerate(texts):
         if size and size + len(t) > BLOCK_BYTES:
@@ -84,8 +88,9 @@ def shingle_sets(texts: Sequence[bytes]) -> Iterator[np.ndarray]:
     without words has none.
     """
     with np.errstate(over="ignore"):
-        for i, j in _blocks(texts):
-            words, until = _words(texts[i:j])
+        for i, j in blocks(texts):
+            found = Words(texts[i:j])
+            words, until = found.hashes, found.until
             if len(words) >= WIDTH:
                 sums = words[: len(words) - WIDTH + 1] * _OF_PLACE[0]
                 for k in range(1, WIDTH):
