@@ -39,16 +39,21 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared checkpoint folder.
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    where none is named (tests, a laptop) is a new local one made.
+    Only where none is named (tests, a laptop) is a new local one made.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lithospark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the shared folder, without its lineage."""
+    scratch_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

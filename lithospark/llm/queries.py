@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, language, mixing, near_dedup, quality, sharding, urls
+from . import bpe, fingerprints, language, mixing, near_dedup, quality, sharding, substring_dedup, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mixing": mixing.op3_mixing,
         "op4_fingerprints": fingerprints.op4_fingerprints,
         "op5_bpe": bpe.op5_bpe,
+        "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
         "op8_url_filters": urls.op8_url_filters,
         "op10_quality_classifier": quality.op10_quality_classifier,

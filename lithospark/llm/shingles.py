@@ -43,7 +43,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 @lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers of an odd number modulo 2^64, and those of its inverse."""
     base = 0x5851F42D4C957F2D
     up, down = np.full(n, base, dtype=np.uint64), np.full(n, pow(base, -1, 1 << 64), dtype=np.uint64)
@@ -57,7 +57,7 @@ class Words:
     def __init__(self, texts: Sequence[bytes]) -> None:
         self.raw = raw = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
         n = len(raw)
-        up, down = _powers(1 << max(21, (n + 1).bit_length()))
+        up, down = powers(1 << max(21, (n + 1).bit_length()))
         edge = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[raw])).view(np.int8)))
         self.starts, self.ends = edge[::2], edge[1::2]
         sums = np.zeros(n + 1, dtype=np.uint64)
