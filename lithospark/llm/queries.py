@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, language, mixing, near_dedup, quality, sharding, substring_dedup, urls
+from . import bpe, fingerprints, language, mixing, near_dedup, quality, sharding, substring_dedup, urls, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
         "op8_url_filters": urls.op8_url_filters,
+        "op9_nearest_neighbours": vectors.op9_nearest_neighbours,
         "op10_quality_classifier": quality.op10_quality_classifier,
     }
 
