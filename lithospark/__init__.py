@@ -1,0 +1 @@
+"""A PySpark engine for geographic attribute layers."""
