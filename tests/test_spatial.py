@@ -1,0 +1,58 @@
+"""Geometry: point lookup, areas, checks, and the grid join against the plain one."""
+
+from __future__ import annotations
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from lithospark.functions.geometry import centroid, hectares, ring_faults, signed_area
+from lithospark.operators.layers import concessions
+from lithospark.operators.spatial import bounds, crosses, edges, planar_areas, points_in_polygons
+from lithospark.plans.claims import claims_layer
+
+LOOKUPS = {
+    "P1": (1.0, 1.0, {"ALPHA"}), "P2": (4.0, 1.0, {"BETA"}), "P3": (3.5, 3.5, {"ALPHA", "DELTA"}), "P4": (3.0, 7.0, set()),
+    "P5": (4.5, 4.5, {"DELTA", "GAMMA"}), "P6": (9.0, 9.0, set()), "P7": (8.0, 1.0, set()), "P8": (0.0, 0.0, {"ALPHA"}),
+}
+
+
+@pytest.fixture(scope="module")
+def sides(spark):
+    return edges(concessions(claims_layer(spark)), "name").cache()
+
+
+@pytest.mark.parametrize("cell", [0.5, 1.0, 7.0])
+def test_point_lookup(spark, sides, cell):
+    points = spark.createDataFrame([(k, x, y) for k, (x, y, _) in LOOKUPS.items()] + [("none", None, 1.0)], "p string, x double, y double")
+    found = {(r.p, r.name) for r in points_in_polygons(points, sides, "name", point_key="p", cell=cell).collect()}
+    assert found == {(k, n) for k, (_, _, names) in LOOKUPS.items() for n in names}
+
+
+def test_areas_bounds_and_edges(sides):
+    assert {r.name: r.area for r in planar_areas(sides, "name").collect()} == {"ALPHA": 16, "BETA": 16, "GAMMA": 16, "DELTA": 4}
+    assert {r.name: r["count"] for r in sides.groupBy("name").count().collect()} == {"ALPHA": 4, "BETA": 4, "GAMMA": 6, "DELTA": 4}
+    assert tuple(bounds(sides, "name").where("name = 'BETA'").first())[1:] == (4, 0, 8, 4)
+
+
+def test_ring_measures(spark):
+    rows = spark.createDataFrame(
+        [("ok", [[0.0, 0.0], [2.0, 0.0], [2.0, 2.0], [0.0, 0.0]]), ("back", [[0.0, 0.0], [2.0, 2.0], [2.0, 0.0], [0.0, 0.0]]), ("open", [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0]]), ("dot", [[1.0, 1.0]])],
+        "k string, ring array<array<double>>",
+    )
+    ring = F.col("ring")
+    got = {r.k: r for r in rows.select("k", ring_faults(ring).alias("f"), signed_area(ring).alias("a"), hectares(ring).alias("h"), centroid(ring).alias("c")).collect()}
+    assert got["ok"].f == [] and got["ok"].a == 2 and got["ok"].c.x == pytest.approx(4 / 3)
+    assert got["back"].f == ["clockwise"] and got["back"].h == pytest.approx(got["ok"].h)
+    assert got["open"].f == ["open", "short"] and got["dot"].f == ["short"] and got["dot"].c is None
+    assert got["ok"].h == pytest.approx(2 * 111319.49**2 / 1e4, rel=1e-3)
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.floats(-1, 9), st.floats(-1, 9)), min_size=1, max_size=30), st.sampled_from([0.3, 1.0, 2.5]))
+def test_grid_join_equals_plain_join(spark, sides, places, cell):
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "p int, x double, y double")
+    grid = {tuple(r) for r in points_in_polygons(points, sides, "name", point_key="p", cell=cell).collect()}
+    plain = points.join(F.broadcast(sides), crosses(F.col("x"), F.col("y"))).groupBy("p", "name").count().where("count % 2 = 1")
+    assert grid == {(r.p, r.name) for r in plain.collect()}
