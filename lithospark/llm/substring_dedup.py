@@ -17,13 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, column, ship_package, small_batches, table, without
+from .common import column, ship_package, small_batches, table, without
 from .shingles import Words, blocks, mix, powers, stream
 
 #: Words of a repeated passage, at least. A passage of over 50 words that begins and ends within sentences still has so many.
 PASSAGE = 20
-#: Rows that may be broadcast (under 40 bytes each).
-BROADCAST_ROWS = 2_000_000
 
 _SEEDS = stream(21, 2)
 _ENDS_SENTENCE = np.zeros(256, dtype=bool)
@@ -88,9 +86,7 @@ def repeated_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     found = _units(docs.select(*_identified(docs, id_col, text_col)))
     rank = F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "h", "start")
     firsts = found.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first <> last")
-    firsts = checkpointed(firsts.select("d1", "d2", "first"))
-    firsts = F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts
-    later = found.join(firsts, ["d1", "d2"]).where(rank != F.col("first"))
+    later = found.join(firsts.select("d1", "d2", "first"), ["d1", "d2"]).where(rank != F.col("first"))
     return later.groupBy("id", "h").agg(F.collect_set("start").alias("starts"))
 
 
@@ -107,12 +103,11 @@ def drop_repeated_passages(
     spark = docs.sparkSession
     ship_package(spark)
     small_batches(spark)
-    repeats = checkpointed(repeated_units(docs, id_col=id_col, text_col=text_col))
-    size = repeats.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0]
+    repeats = repeated_units(docs, id_col=id_col, text_col=text_col)
     docs = without(docs, "removed")
     repeats = repeats.select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("starts").alias("__starts"))
     known = column(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(column(text_col)) == F.col("__h"))
-    marked = docs.join(F.broadcast(repeats) if size <= BROADCAST_ROWS else repeats, known, "left")
+    marked = docs.join(repeats, known, "left")
 
     @F.pandas_udf("struct<text: string, removed: array<struct<start: long, end: long>>>")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
