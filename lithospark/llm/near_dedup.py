@@ -35,6 +35,8 @@ SYMBOLS = CHUNKS * CHUNK
 FAR = 40
 #: Classes compared with others by one task of the second round.
 BLOCK = 256
+#: Classes that it compares them with.
+OTHERS = 1024
 #: Ids that may be broadcast (16 bytes each).
 BROADCAST_IDS = 2_000_000
 
@@ -168,13 +170,17 @@ def _second_round(shared: DataFrame, sets: DataFrame, labels: DataFrame) -> Data
         homes.join(sizes, "home").select("id", F.xxhash64("home", F.pmod(F.xxhash64("id"), "parts")).alias("block"))
     )
     wanted = outside.join(homes, "id").select("key", "block").distinct()
-    needs = members.join(wanted, "key").select("block", "id", "component").distinct()
-    own = homes.join(members.select("id", "component").distinct(), "id").select("block", "id", "component")
+    needs = checkpointed(members.join(wanted, "key").select("block", "id", "component").distinct())
+    # A block that needs many others meets them in parts.
+    parts = needs.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / OTHERS).cast("int").alias("parts"))
+    needs = needs.join(parts, "block").select("block", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), "id", "component")
+    own = homes.join(members.select("id", "component").distinct(), "id").join(parts, "block")
+    own = own.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "component")
     rows = (
         own.withColumn("role", F.lit(0))
         .unionByName(needs.withColumn("role", F.lit(1)))
         .join(sets, "id")
-        .select("block", "role", "id", "component", "set", "sign")
+        .select(F.xxhash64("block", "part").alias("block"), "role", "id", "component", "set", "sign")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,0 +1,97 @@
+"""Sharding and mixing."""
+
+from __future__ import annotations
+
+import re
+from collections import Counter, defaultdict
+
+from lithospark.llm.mixing import materialise, mix, op3_mixing
+from lithospark.llm.sharding import op1_sharding, shard, write_shards
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def test_shards_are_even_gapless_and_whole(docs, rows):
+    got = shard(docs, shards=7, bucket_bytes=2000).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((r[0], r[1]) for r in rows)
+    by = defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r["slot"])
+    assert sorted(by) == list(range(7))
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert got[0]["key"] == "extra"
+
+
+def test_shards_repeat_and_depend_on_the_seed(docs):
+    order = lambda seed: [r.doc_id for r in shard(docs, shards=2, seed=seed).orderBy("shard", "slot").collect()]
+    assert order(1) == order(1) != order(2)
+    assert order(1) != sorted(order(1), key=lambda x: (x is None, x))
+
+
+def test_more_shards_than_rows_and_no_rows(docs, none):
+    assert shard(docs.limit(3), shards=5).select("shard").distinct().count() == 3
+    assert shard(none).count() == 0
+
+
+def test_shards_are_written(docs, spark, tmp_path):
+    write_shards(shard(docs, shards=3), str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
+
+
+def test_op1(spark, folder):
+    got = op1_sharding(spark, folder)
+    assert got.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    null = got.where("doc_id = 60").first()
+    assert null["size"] == 1 and null.text_crc32 is None and got.where("doc_id = 61").first()["size"] == 1
+
+
+def expected(rows, weights=(5, 2, 1), most=3):
+    sizes = Counter()
+    for r in rows:
+        sizes[r[3]] += len(WORD.findall(r[1] or ""))
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    weight = {s: weights[k % 3] for k, s in enumerate(order)}
+    targets, open_, left = {}, set(order), float(sum(sizes.values()))
+    while True:
+        share = left / sum(weight[s] for s in open_) if open_ else 0
+        over = {s for s in open_ if share * weight[s] > most * sizes[s]}
+        if not over:
+            return sizes, targets | {s: share * weight[s] for s in open_}
+        targets |= {s: float(most * sizes[s]) for s in over}
+        left -= sum(targets[s] for s in over)
+        open_ -= over
+
+
+def test_mix_meets_its_targets(docs, rows):
+    got = mix(docs).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((r[0], r[1]) for r in rows)
+    sizes, targets = expected(rows)
+    taken = Counter()
+    for r in got:
+        assert r["size"] == len(WORD.findall(r.text or "")) and 0 <= r.taken <= 3 * r["size"]
+        assert r.source_size == sizes[r.source] and abs(r.target - targets[r.source]) < 1e-6 * max(1, r.target)
+        taken[r.source] += r.taken
+    assert all(targets[s] - 1 < taken[s] <= targets[s] + 1e-6 for s in targets)
+
+
+def test_mix_reruns_agree(docs):
+    one, two = (sorted((str(r.doc_id), r.taken) for r in mix(d).collect()) for d in (docs, docs.repartition(5)))
+    assert one == two
+
+
+def test_mix_of_nothing(docs, none):
+    assert mix(none).count() == 0
+    empty = mix(docs.where("doc_id in (60, 61)")).collect()
+    assert [(r.target, r.taken) for r in empty] == [(0, 0)] * 2
+
+
+def test_materialised_words_are_those_taken(docs):
+    mixed = mix(docs).cache()
+    words = sum(len(WORD.findall(r.text)) for r in materialise(mixed).collect())
+    assert words == mixed.groupBy().sum("taken").first()[0]
+    assert set(materialise(mixed).columns) == set(mixed.columns) - {"size", "source_size", "target", "taken"}
+
+
+def test_op3(spark, folder, rows):
+    assert op3_mixing(spark, folder).count() == len(rows)
