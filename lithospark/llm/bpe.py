@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import ship_package, small_batches, table
 
 #: Pieces whose ids a worker keeps at most; then it starts again.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 250_000
 #: Fixed value: how byte-level vocabularies split a text before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
