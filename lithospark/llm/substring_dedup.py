@@ -1,7 +1,9 @@
 """Substring dedup by hashed units of text.
 
-A unit is a line, or a sentence of one. Units are normalised (letter case and
-white space do not count) and hashed; equal digests are grouped over all
+A unit is a line, a sentence of one, or a piece of a long sentence: the words
+themselves decide where it is cut, so that a passage is cut alike wherever it
+stands. Units are normalised (letter case, white space and how often a word is
+said in a row do not count) and hashed; equal digests are grouped over all
 documents and the earliest occurrence is kept. Of the later ones, those that
 stand together in a passage of enough words are removed, so that a short
 formula which many documents share stays where it is.
@@ -23,7 +25,12 @@ from .shingles import Words, blocks, mix, powers, stream
 #: Words of a repeated passage, at least. A passage of over 50 words that begins and ends within sentences still has so many.
 PASSAGE = 20
 
-_SEEDS = stream(21, 2)
+#: Words beyond which a sentence is cut, and words in a piece on average.
+LONG, PIECE = 24, 8
+#: Equal words in a row that are a unit of their own, and count as one.
+RUN = 4
+
+_SEEDS = stream(21, 3)
 _ENDS_SENTENCE = np.zeros(256, dtype=bool)
 _ENDS_SENTENCE[[ord(c) for c in ".!?"]] = True
 
@@ -41,12 +48,25 @@ def units(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
                 begins[1:] = broken | _ENDS_SENTENCE[words.raw[words.ends[:-1] - 1]]
             first = np.flatnonzero(begins)
             count = np.diff(np.append(first, n))
+            same = words.hashes[1:] == words.hashes[:-1]
+            inside = np.repeat(count > LONG, count)[1:] & ~begins[1:]
+            begins[1:] |= inside & ~same & (mix(words.hashes[:-1] ^ _SEEDS[2]) % np.uint64(PIECE) == 0)
+            edges = np.flatnonzero(np.diff(np.concatenate(([0], same.view(np.int8), [0]))))
+            runs = np.column_stack((edges[::2], edges[1::2] + 1))
+            runs = runs[runs[:, 1] - runs[:, 0] >= RUN]
+            begins[runs[:, 0]] = True
+            begins[runs[:, 1][runs[:, 1] < n]] = True
+            first = np.flatnonzero(begins)
+            count = np.diff(np.append(first, n))
+            # A run of one word counts as that word.
+            repeated = np.concatenate(([0], np.cumsum(same), [0]))
+            told = np.where((count > 1) & (repeated[first + count - 1] - repeated[first] == count - 1), 1, count)
             up, down = powers(1 << max(21, (n + 1).bit_length()))
             digests = []
-            for seed in _SEEDS:
+            for seed in _SEEDS[:2]:
                 sums = np.zeros(n + 1, dtype=np.uint64)
                 np.cumsum(mix(words.hashes ^ seed) * up[:n], out=sums[1:])
-                digests.append(mix((sums[first + count] - sums[first]) * down[first] + count.astype(np.uint64)))
+                digests.append(mix((sums[first + told] - sums[first]) * down[first] + told.astype(np.uint64)))
         until = np.searchsorted(first, words.until)
         at = unit = 0
         for end, upto in zip(words.text_ends.tolist(), until.tolist(), strict=True):
