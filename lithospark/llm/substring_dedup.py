@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, ship_package, small_batches, table, without
+from .common import checkpointed, column, ship_package, small_batches, table, without
 from .shingles import Words, blocks, mix, powers, stream
 
 #: Words of a repeated passage, at least. A passage of over 50 words that begins and ends within sentences still has so many.
@@ -106,7 +106,9 @@ def repeated_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     found = _units(docs.select(*_identified(docs, id_col, text_col)))
     rank = F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "h", "start")
     firsts = found.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first <> last")
-    later = found.join(firsts.select("d1", "d2", "first"), ["d1", "d2"]).where(rank != F.col("first"))
+    # Written first, so that both sides of the join are shuffled for it and a hot digest can be split.
+    firsts = checkpointed(firsts.select("d1", "d2", "first"))
+    later = found.join(firsts, ["d1", "d2"]).where(rank != F.col("first"))
     return later.groupBy("id", "h").agg(F.collect_set("start").alias("starts"))
 
 
