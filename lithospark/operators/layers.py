@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.attributes import as_date, as_decimal, listed, numbered, prop
 
+# The attribute keys of the two kinds of layers.
+TITLE, NAME, HOLDER, AREA, GRANTED = "TITULO", "NOMBRELOTE", "TITULAR", "SUPERFICIE", "EXPEDICION"
+SUBSTANCES = ("SUST1", "SUST2", "SUST3", "SUST4", "SUST5")
+UNIT, PLACE, UNIT_AREA, POPULATION = "nombre", "localidad", "superficie_total", "poblacion"
+POLICY, CLASSES, CONFLICTS = "politica_ambiental", "clasificacion", "conflictos_potenciales"
+LAST_ITEM = "y"
+
 
 def where(layer: DataFrame, condition: Column | str) -> DataFrame:
     """Features that meet a condition; one that is unknown does not count as met."""
@@ -27,12 +34,12 @@ def concessions(features: DataFrame) -> DataFrame:
     """The typed view of a concession layer; the raw attributes stay in ``props``."""
     return features.select(
         "*",
-        prop("TITULO").cast("long").alias("title"),
-        F.trim(prop("NOMBRELOTE")).alias("name"),
-        F.trim(prop("TITULAR")).alias("holder"),
-        as_decimal(prop("SUPERFICIE")).alias("area_ha"),
-        as_date(prop("EXPEDICION")).alias("granted"),
-        numbered("SUST1", "SUST2", "SUST3", "SUST4", "SUST5").alias("substances"),
+        prop(TITLE).cast("long").alias("title"),
+        F.trim(prop(NAME)).alias("name"),
+        F.trim(prop(HOLDER)).alias("holder"),
+        as_decimal(prop(AREA)).alias("area_ha"),
+        as_date(prop(GRANTED)).alias("granted"),
+        numbered(*SUBSTANCES).alias("substances"),
     )
 
 
@@ -40,18 +47,18 @@ def land_units(features: DataFrame) -> DataFrame:
     """The typed view of a land-unit layer."""
     return features.select(
         "*",
-        F.trim(prop("nombre")).alias("name"),
-        F.trim(prop("localidad")).alias("place"),
-        prop("superficie_total").cast("double").alias("area_total"),
-        prop("poblacion").cast("int").alias("population"),
-        F.trim(prop("politica_ambiental")).alias("policy"),
-        listed(prop("clasificacion"), last="y").alias("classes"),
-        listed(prop("conflictos_potenciales")).alias("conflicts"),
+        F.trim(prop(UNIT)).alias("name"),
+        F.trim(prop(PLACE)).alias("place"),
+        prop(UNIT_AREA).cast("double").alias("area_total"),
+        prop(POPULATION).cast("int").alias("population"),
+        F.trim(prop(POLICY)).alias("policy"),
+        listed(prop(CLASSES), last=LAST_ITEM).alias("classes"),
+        listed(prop(CONFLICTS)).alias("conflicts"),
     )
 
 
 def with_policy(units: DataFrame, policy: str) -> DataFrame:
-    return units.where(F.trim(prop("politica_ambiental")) == policy)
+    return units.where(F.trim(prop(POLICY)) == policy)
 
 
 def with_substance(claims: DataFrame, substance: str) -> DataFrame:

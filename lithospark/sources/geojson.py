@@ -13,10 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import with_bounds
 
-ENVELOPE = (
-    "type string, features array<struct<type: string, id: string, properties: map<string, string>, "
-    "geometry: struct<type: string, coordinates: string>>>"
-)
+FEATURES = "array<struct<type: string, id: string, properties: map<string, string>, geometry: struct<type: string, coordinates: string>>>"
+ENVELOPE = f"type string, features {FEATURES}"
 
 
 def repaired(text: Column) -> Column:
@@ -24,9 +22,8 @@ def repaired(text: Column) -> Column:
 
     A text that begins with a brace is left as it is.
     """
-    bare = F.regexp_replace(F.trim(F.regexp_replace(text, r"^\s+|\s+$", "")), r"\s*,\s*\}?\s*$", "")
-    closed = F.when(F.rtrim(text).rlike(r"\}\s*,?\s*$") & ~bare.rlike(r"\]\s*\}?$"), bare).otherwise(bare)
-    return F.when(text.rlike(r"^\s*\{"), text).otherwise(F.concat(F.lit("{"), closed, F.lit("}")))
+    bare = F.regexp_replace(text, r"[\s,]+$", "")
+    return F.when(text.rlike(r"^\s*\{"), text).otherwise(F.concat(F.lit("{"), bare, F.lit("}")))
 
 
 def parse_layers(texts: DataFrame, *, repair: bool = False) -> DataFrame:
@@ -37,12 +34,10 @@ def parse_layers(texts: DataFrame, *, repair: bool = False) -> DataFrame:
     """
     text = repaired(F.col("text")) if repair else F.col("text")
     read = F.from_json(text, ENVELOPE, {"mode": "PERMISSIVE"})
-    checked = F.when(F.col("read.features").isNull(), F.raise_error(F.concat(F.lit("not a feature collection: "), F.coalesce("layer", F.lit("?")))))
-    features = (
-        texts.select("layer", read.alias("read"))
-        .select("layer", F.coalesce(checked.cast("array<struct<type: string, id: string, properties: map<string, string>, geometry: struct<type: string, coordinates: string>>>"), F.col("read.features")).alias("features"))
-        .select("layer", F.inline("features"))
-    )
+    fault = F.raise_error(F.concat(F.lit("not a feature collection: "), F.coalesce("layer", F.lit("?"))))
+    features = texts.select("layer", read.features.alias("features")).select(
+        "layer", F.inline(F.when(F.col("features").isNull(), fault.cast(FEATURES)).otherwise(F.col("features")))
+    )
     return features.select(
         "layer",
         F.col("id").alias("feature_id"),
