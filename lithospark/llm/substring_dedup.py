@@ -105,7 +105,7 @@ def repeated_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """``(id, h, starts)``: the units of each document that occur earlier, in rank order of id (null last), text hash and place."""
     found = _units(docs.select(*_identified(docs, id_col, text_col)))
     rank = F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "h", "start")
-    firsts = found.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first <> last")
+    firsts = found.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     # Written first, so that both sides of the join are shuffled for it and a hot digest can be split.
     firsts = checkpointed(firsts.select("d1", "d2", "first"))
     later = found.join(firsts, ["d1", "d2"]).where(rank != F.col("first"))

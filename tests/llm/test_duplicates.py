@@ -6,11 +6,13 @@ import hashlib
 import random
 import re
 
+import numpy as np
+
 from lithospark.llm.components import components
 from lithospark.llm.fingerprints import Sketch, edit_likeness, fingerprints, likeness, merged, sketches
 from lithospark.llm.near_dedup import BLOCK, drop_near_duplicates, links_between, near_duplicates, signature
 from lithospark.llm.shingles import shingle_sets
-from lithospark.llm.substring_dedup import drop_repeated_passages
+from lithospark.llm.substring_dedup import PASSAGE, drop_repeated_passages, passages, units
 
 from .conftest import COLUMNS, prose
 
@@ -161,6 +163,41 @@ def test_repeated_passages_go_once_kept(spark):
     assert raw[start:end].decode().strip() == passage and got[3].text == (raw[:start] + raw[end:]).decode()
 
 
+def test_repeated_passages_like_a_plain_loop(spark):
+    pick = random.Random(9)
+    pool = [random_text(pick, 5 + pick.randrange(60), 300) + pick.choice([".", "", "!"]) for _ in range(60)] + ["same " * 40, "Same same " * 30]
+    rows = [(pick.randrange(10**6), "".join(pick.choice(pool) + pick.choice([" ", "\n", "\n\n"]) for _ in range(1 + pick.randrange(8)))) for _ in range(300)]
+    rows = list(dict(rows).items())
+    got = {r.doc_id: (r.text, [tuple(x) for x in r.removed]) for r in drop_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seen = set()
+    for i, text in sorted(rows):
+        raw = text.encode()
+        (starts, words, one, two), = units([raw])
+        later = []
+        for start, digest in zip(starts.tolist(), zip(one.tolist(), two.tolist(), strict=True), strict=True):
+            if digest in seen:
+                later.append(start)
+            seen.add(digest)
+        spans = passages(starts, words, len(raw), np.array(later), PASSAGE)
+        edges = [0, *(e for span in spans for e in span), len(raw)]
+        assert got[i] == (b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode(), spans)
+    assert sum(bool(spans) for _, spans in got.values()) > 100
+
+
+def test_units_cut_a_passage_alike_wherever_it_stands():
+    pick = random.Random(10)
+    passage = random_text(pick, 51)
+    texts = [f"{random_text(pick, pick.randrange(40))} {passage} {random_text(pick, pick.randrange(40))}" for _ in range(50)]
+    texts += [random_text(pick, 20) + " Of" * n + " " + random_text(pick, 20) for n in (30, 45)]
+    found = [{(a, b): n for n, a, b in zip(w.tolist(), one.tolist(), two.tolist(), strict=True)} for _, w, one, two in units([t.encode() for t in texts])]
+    shared = set.intersection(*(set(f) for f in found[:50]))
+    assert sum(found[0][d] for d in shared) >= PASSAGE
+    assert set(found[50]) & set(found[51])
+    lines = "A b.\nC d? e F\n\n G. "
+    (starts, words, *_), = units([lines.encode()])
+    assert [lines[s] for s in starts] == ["A", "C", "e", "G"] and words.tolist() == [2, 2, 2, 1]
+
+
 def test_repeated_passages_stand_odd_cases(docs, rows, none):
     got = drop_repeated_passages(docs)
     by = {r.doc_id: r for r in got.collect()}
