@@ -223,7 +223,8 @@ def nearest_neighbours(
         return Shard.loads(index["index"].iloc[0]).nearest(part["id"].to_numpy(), np.stack(part["v"].to_numpy()), k)
 
     place = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")
-    index = rows.select(F.size("v").alias("size"), place, "id", "v").groupBy("size", "shard").applyInPandas(build, "size int, shard int, index binary")
+    dealt = rows.select(F.size("v").alias("size"), place, "id", "v").repartition(min(4 * shards, 10_000), "size", "shard")
+    index = dealt.groupBy("size", "shard").applyInPandas(build, "size int, shard int, index binary")
     copies = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
     sent = queries.select(
         F.size("v").alias("size"),
