@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import ship_package, small_batches, table
 
 #: Pieces whose ids a worker keeps at most; then it starts again.
-KEPT_PIECES = 250_000
+KEPT_PIECES = 400_000
 #: Fixed value: how byte-level vocabularies split a text before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -224,6 +224,7 @@ def encode_decode(
                 arrays += [pa.array(out["ids"], pa.list_(pa.int32())), pa.array(out["decoded"], pa.string())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(arrays, names)
+        own.known.clear()  # a worker that goes on to other work holds no pieces
 
     return docs.select(id_col, text_col).mapInArrow(
         run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}"
