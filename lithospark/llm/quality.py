@@ -29,6 +29,9 @@ REJECT_BELOW = 0.5
 #: How often a labeller is believed to call a good document bad, and how many times the corpus the belief weighs.
 FALSE_ALARMS, BELIEF = 0.001, 10
 
+#: Words of the windows in which different words are counted, and the share of them below which a window is monotonous.
+WINDOW, MONOTONOUS = 1000, 0.15
+
 GOOD, BAD, ABSTAIN = 1, 0, 2
 
 # Kinds of bytes: a lower-case letter or a byte beyond ASCII, an upper-case letter, a digit, a gap, a line feed, and each symbol.
@@ -42,6 +45,20 @@ _ODD = np.zeros(256, dtype=bool)
 _ODD[[b for b in _SYMBOLS if chr(b) not in ".,;:'\"()-?!|"]] = True
 
 
+def _variety(hashes: np.ndarray) -> tuple[float, float]:
+    """The share of different words, and the share of words in monotonous windows, over windows of the whole text.
+
+    The last window is as long as the others and so overlaps the one before; each weighs as many words as it adds.
+    """
+    n = len(hashes)
+    if not n:
+        return 1.0, 0.0
+    ends = np.append(np.arange(WINDOW, n, WINDOW), n)
+    shares = np.array([len(np.unique(hashes[max(0, e - WINDOW) : e])) for e in ends.tolist()]) / min(n, WINDOW)
+    weights = np.diff(ends, prepend=0) / n
+    return float(shares @ weights), float((shares < MONOTONOUS) @ weights)
+
+
 def measures(texts: list[bytes]) -> Iterator[tuple[dict[str, float], np.ndarray]]:
     """Of each text what the labellers look at, and the kinds of its bytes."""
     for i, j in blocks(texts):
@@ -56,6 +73,7 @@ def measures(texts: list[bytes]) -> Iterator[tuple[dict[str, float], np.ndarray]
             own, w, n = kinds[start : end - 1], slice(word, until), until - word
             size, letters = max(1, len(own)), max(1, int((own <= 1).sum()))
             hashes = words.hashes[w]
+            distinct, monotonous = _variety(hashes)
             found = {
                 "words": float(n),
                 "odd": float(odd[start : end - 1].sum()) / size,
@@ -65,7 +83,8 @@ def measures(texts: list[bytes]) -> Iterator[tuple[dict[str, float], np.ndarray]
                 "bars": float((raw[words.starts[w]] == ord("|")).sum()) / max(1, n),
                 "stops": float((last[w] == ord(".")).sum()) / max(1, n),
                 "repeats": float((hashes[1:] == hashes[:-1]).sum()) / max(1, n - 1),
-                "distinct": len(np.unique(hashes[:1000])) / max(1, min(n, 1000)) if n else 1.0,
+                "distinct": distinct,
+                "monotonous": monotonous,
                 "length": float(lengths[w].mean()) if n else 0.0,
             }
             yield found, own
@@ -83,7 +102,7 @@ LABELLERS: dict[str, Callable[[dict[str, float]], int]] = {
     "shouting": lambda m: _vote(m["shouted"] < 0.02, m["shouted"] > 0.2),
     "tables": lambda m: _vote(m["bars"] < 0.02, m["bars"] > 0.15),
     "repeated words": lambda m: _vote(m["repeats"] < 0.08, m["repeats"] > 0.3 and m["words"] >= 10),
-    "few different words": lambda m: _vote(m["distinct"] > 0.35, m["distinct"] < 0.15 and m["words"] >= 50),
+    "few different words": lambda m: _vote(m["distinct"] > 0.35, m["monotonous"] >= 0.5 and m["words"] >= 50),
     "letters": lambda m: _vote(m["letters"] > 0.72, m["letters"] < 0.4),
     "word length": lambda m: _vote(3 <= m["length"] <= 9, m["length"] > 14 or m["length"] < 1.5),
     "sentences": lambda m: _vote(0.02 < m["stops"] < 0.5, False),

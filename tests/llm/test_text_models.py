@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 from lithospark.llm.bpe import Codec, encode_decode, op5_bpe, tokenizer_json
 from lithospark.llm.language import identify, learn, op2_language_id
-from lithospark.llm.quality import BAD, LABELLERS, WeakLabels, judge, measures, op10_quality_classifier
+from lithospark.llm.quality import BAD, GOOD, LABELLERS, WeakLabels, judge, measures, op10_quality_classifier
 
 from .conftest import prose
 
@@ -75,6 +75,21 @@ def test_weak_labels_weigh_labellers():
     assert WeakLabels({}).posterior(np.array([good])).shape == (1,)
 
 
+def test_few_different_words_are_seen_anywhere():
+    pick = random.Random(11)
+    rich = lambda n: " ".join(f"w{pick.randrange(5000)}" for _ in range(n))
+    poor = lambda n: "one two three four " * (n // 4)
+    texts = [rich(1000) + " " + poor(3000), rich(1000) + " " + poor(1500), poor(1000) + rich(4000), rich(5003), poor(5003), rich(40) + " " + poor(900)]
+    found = [f for f, _ in measures([t.encode() for t in texts])]
+    assert [LABELLERS["few different words"](f) for f in found] == [BAD, BAD, GOOD, GOOD, BAD, BAD]
+    for f, text in zip(found, texts, strict=True):
+        words = text.split()
+        ends = [*range(1000, len(words), 1000), len(words)]
+        shares = [len(set(words[max(0, e - 1000) : e])) / min(1000, len(words)) for e in ends]
+        adds = [b - a for a, b in zip([0, *ends], ends)]
+        assert f["distinct"] == pytest.approx(sum(s * a for s, a in zip(shares, adds, strict=True)) / len(words))
+
+
 def test_op10(spark, folder, rows):
     assert op10_quality_classifier(spark, folder).count() == len(rows)
 
