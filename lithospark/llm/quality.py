@@ -66,12 +66,16 @@ def measures(texts: list[bytes]) -> Iterator[tuple[dict[str, float], np.ndarray]
             words = Words(texts[i:j])
         raw, kinds = words.raw, _KIND[words.raw]
         last = raw[words.ends - 1] if len(words.ends) else raw[:0]
-        lengths = words.ends - words.starts
+        # Code points are counted at their first byte.
+        points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+        lengths = points[words.ends] - points[words.starts]
         odd = _ODD[raw]
         start = word = 0
         for end, until in zip(words.text_ends.tolist(), words.until.tolist(), strict=True):
             own, w, n = kinds[start : end - 1], slice(word, until), until - word
             size, letters = max(1, len(own)), max(1, int((own <= 1).sum()))
+            beyond = int((raw[start : end - 1] >= 0xC0).sum())
+            latin = int(((own == 0) & (raw[start : end - 1] < 0x80)).sum() + (own == 1).sum())
             hashes = words.hashes[w]
             distinct, monotonous = _variety(hashes)
             found = {
@@ -86,6 +90,7 @@ def measures(texts: list[bytes]) -> Iterator[tuple[dict[str, float], np.ndarray]
                 "distinct": distinct,
                 "monotonous": monotonous,
                 "length": float(lengths[w].mean()) if n else 0.0,
+                "beyond": beyond / max(1, beyond + latin),
             }
             yield found, own
             start, word = end, until
@@ -104,7 +109,8 @@ LABELLERS: dict[str, Callable[[dict[str, float]], int]] = {
     "repeated words": lambda m: _vote(m["repeats"] < 0.08, m["repeats"] > 0.3 and m["words"] >= 10),
     "few different words": lambda m: _vote(m["distinct"] > 0.35, m["monotonous"] >= 0.5 and m["words"] >= 50),
     "letters": lambda m: _vote(m["letters"] > 0.72, m["letters"] < 0.4),
-    "word length": lambda m: _vote(3 <= m["length"] <= 9, m["length"] > 14 or m["length"] < 1.5),
+    # Scripts beyond ASCII may have no spaces, so the length of their words says nothing.
+    "word length": lambda m: ABSTAIN if m["beyond"] > 0.5 else _vote(3 <= m["length"] <= 9, m["length"] > 14 or m["length"] < 1.5),
     "sentences": lambda m: _vote(0.02 < m["stops"] < 0.5, False),
 }
 

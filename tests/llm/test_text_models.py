@@ -90,6 +90,34 @@ def test_few_different_words_are_seen_anywhere():
         assert f["distinct"] == pytest.approx(sum(s * a for s, a in zip(shares, adds, strict=True)) / len(words))
 
 
+SCRIPTS = {
+    "zh": ("天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏", "", "。"), "th": ("กขคงจชซญดตถทธนบปผพภมยรลวสหอ", "", " "),
+    "ja": ("あいうえおかきくけこさしすせそたちつてとなにぬねの山川田", "", "。"), "ka": ("აბგდევზთიკლმნოპჟრსტუფქღყშჩცძწჭხჯჰ", " ", ". "),
+}
+
+
+def beyond_ascii(script: str, seed: int) -> str:
+    pick = random.Random(seed)
+    letters, gap, stop = SCRIPTS[script]
+    word = lambda: "".join(pick.choice(letters) for _ in range(9 if gap else 2))
+    return "".join(gap.join(word() for _ in range(pick.randrange(6, 15))) + stop for _ in range(pick.randrange(3, 20)))
+
+
+@pytest.mark.parametrize("share", [0.01, 0.3])
+def test_clean_documents_beyond_ascii_stay(spark, share):
+    n = int(1000 * share)
+    rows = [(i, beyond_ascii([*SCRIPTS][i % 4], i)) for i in range(n)] + [(i, prose("en" if i % 2 else "fr", 20 + i % 200, i)) for i in range(n, 950)]
+    rows += [(i, junk(i % 4, i)) for i in range(950, 1000)]
+    got = {r.doc_id: r for r in judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].kept and got[i].weak_label > 0.5 for i in range(950))
+    assert not any(got[i].kept for i in range(950, 1000))
+
+
+def test_lengths_are_in_letters():
+    found = [f["length"] for f, _ in measures(["é😀 日本語x abc".encode(), b"", "ქართული".encode()])]
+    assert found == [3, 0, 7]
+
+
 def test_op10(spark, folder, rows):
     assert op10_quality_classifier(spark, folder).count() == len(rows)
 
