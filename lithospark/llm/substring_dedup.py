@@ -24,6 +24,8 @@ from .shingles import Words, blocks, mix, powers, stream
 
 #: Words of a repeated passage, at least. A passage of over 50 words that begins and ends within sentences still has so many.
 PASSAGE = 20
+#: Characters that count as one word at least: a line of a script without spaces is a word or a few.
+LETTERS = 5
 
 #: Words beyond which a sentence is cut, and words in a piece on average.
 LONG, PIECE = 24, 8
@@ -36,7 +38,7 @@ _ENDS_SENTENCE[[ord(c) for c in ".!?"]] = True
 
 
 def units(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text its units: where they start (bytes), their words, and their digests of 64 and 32 bits."""
+    """For each text its units: where they start (bytes), their words (or fifths of their characters, if more), and their digests of 64 and 32 bits."""
     for i, j in blocks(texts):
         with np.errstate(over="ignore"):
             words = Words(texts[i:j])
@@ -67,6 +69,9 @@ def units(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
                 sums = np.zeros(n + 1, dtype=np.uint64)
                 np.cumsum(mix(words.hashes ^ seed) * up[:n], out=sums[1:])
                 digests.append(mix((sums[first + told] - sums[first]) * down[first] + told.astype(np.uint64)))
+            points = np.concatenate(([0], np.cumsum((words.raw & 0xC0) != 0x80)))
+            letters = np.concatenate(([0], np.cumsum(points[words.ends] - points[words.starts])))
+            count = np.maximum(count, (letters[first + count] - letters[first]) // LETTERS)
         until = np.searchsorted(first, words.until)
         at = unit = 0
         for end, upto in zip(words.text_ends.tolist(), until.tolist(), strict=True):
@@ -76,7 +81,7 @@ def units(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def passages(starts: np.ndarray, words: np.ndarray, length: int, repeated: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """The spans of repeated units that follow each other and have ``least`` words together."""
+    """The spans of repeated units that follow each other and have ``least`` words, as ``units`` counts them, together."""
     flags = np.isin(starts, repeated).astype(np.int8)
     edges = np.flatnonzero(np.diff(np.concatenate(([0], flags, [0]))))
     bounds = np.append(starts, length)

@@ -198,6 +198,18 @@ def test_units_cut_a_passage_alike_wherever_it_stands():
     assert [lines[s] for s in starts] == ["A", "C", "e", "G"] and words.tolist() == [2, 2, 2, 1]
 
 
+def test_repeated_lines_of_few_words_go_by_their_length(spark):
+    pick = random.Random(12)
+    han = lambda n: "".join(chr(0x4E00 + pick.randrange(3000)) for _ in range(n))
+    lines = [han(120) + "。", "x".join(str(pick.random()) for _ in range(9)), " ".join(f"donaudampfschiff{pick.randrange(10**6)}" for _ in range(8)) + "."]
+    short = [han(60), "All rights reserved."]
+    rows = [(i, f"{han(200)}\n{line}\n{random_text(pick, 15)}.") for line in lines + short for i in (2 * (lines + short).index(line), 2 * (lines + short).index(line) + 1)]
+    got = {r.doc_id: r.text for r in drop_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        gone = i % 2 and i < 2 * len(lines)
+        assert got[i] == (text.replace(lines[i // 2] + "\n", "") if gone else text)
+
+
 def test_repeated_passages_stand_odd_cases(docs, rows, none):
     got = drop_repeated_passages(docs)
     by = {r.doc_id: r for r in got.collect()}
