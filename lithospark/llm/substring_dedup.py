@@ -1,8 +1,8 @@
 """Substring dedup by hashed units of text.
 
-A unit is a line, a sentence of one, or a piece of a long sentence: the words
-themselves decide where it is cut, so that a passage is cut alike wherever it
-stands. Units are normalised (letter case, white space and how often a word is
+A unit is a line, a sentence of one, or a piece of a sentence: of every few words
+in a row, the one with the least hash ends a piece, so that a passage is cut alike
+wherever it stands. Units are normalised (letter case, white space and how often a word is
 said in a row do not count) and hashed; equal digests are grouped over all
 documents and the earliest occurrence is kept. Of the later ones, those that
 stand together in a passage of enough words are removed, so that a short
@@ -27,8 +27,9 @@ PASSAGE = 20
 #: Characters that count as one word at least: a line of a script without spaces is a word or a few.
 LETTERS = 5
 
-#: Words beyond which a sentence is cut, and words in a piece on average.
-LONG, PIECE = 24, 8
+#: Words among which at least one is the last of a unit. Wherever a passage of n words stands, the units between its first
+#: and last common cut are the same and have n - 2 * WINDOW words at least.
+WINDOW = 15
 #: Equal words in a row that are a unit of their own, and count as one.
 RUN = 4
 
@@ -37,6 +38,25 @@ _ENDS_SENTENCE = np.zeros(256, dtype=bool)
 _ENDS_SENTENCE[[ord(c) for c in ".!?"]] = True
 
 
+def _slide(of: np.ufunc, x: np.ndarray) -> np.ndarray:
+    """``of`` every ``WINDOW`` numbers in a row."""
+    have = 1
+    while have < WINDOW:
+        step = min(have, WINDOW - have)
+        x = of(x[:-step], x[step:])
+        have += step
+    return x
+
+
+def _least(keys: np.ndarray) -> np.ndarray:
+    """Which keys are the least of any ``WINDOW`` ones in a row."""
+    if len(keys) < WINDOW:
+        return np.zeros(len(keys), dtype=bool)
+    # The greatest of the windows' minima around a key is the key itself if it is one of them.
+    edge = np.zeros(WINDOW - 1, dtype=keys.dtype)
+    return _slide(np.maximum, np.concatenate((edge, _slide(np.minimum, keys), edge))) == keys
+
+
 def units(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each text its units: where they start (bytes), their words (or fifths of their characters, if more), and their digests of 64 and 32 bits."""
     for i, j in blocks(texts):
@@ -48,14 +68,18 @@ def units(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
             if n:
                 broken = lines[words.starts[1:]] > lines[words.ends[:-1]]
                 begins[1:] = broken | _ENDS_SENTENCE[words.raw[words.ends[:-1] - 1]]
-            first = np.flatnonzero(begins)
-            count = np.diff(np.append(first, n))
             same = words.hashes[1:] == words.hashes[:-1]
-            inside = np.repeat(count > LONG, count)[1:] & ~begins[1:]
-            begins[1:] |= inside & ~same & (mix(words.hashes[:-1] ^ _SEEDS[2]) % np.uint64(PIECE) == 0)
+            ends = words.until[(words.until > 0) & (words.until < n)]
+            same[ends - 1] = False
             edges = np.flatnonzero(np.diff(np.concatenate(([0], same.view(np.int8), [0]))))
             runs = np.column_stack((edges[::2], edges[1::2] + 1))
             runs = runs[runs[:, 1] - runs[:, 0] >= RUN]
+            inside = np.zeros(n + 1, dtype=np.int64)
+            inside[runs[:, 0]] = 1
+            inside[runs[:, 1] - 1] = -1
+            # A word that ends a line or sentence is less than all others, so short sentences stay whole.
+            keys = np.where(np.append(begins[1:], True), np.uint64(0), mix(words.hashes ^ _SEEDS[2]) | np.uint64(1))
+            begins[1:] |= (_least(keys) & (np.cumsum(inside)[:n] == 0))[:-1]
             begins[runs[:, 0]] = True
             begins[runs[:, 1][runs[:, 1] < n]] = True
             first = np.flatnonzero(begins)

@@ -210,6 +210,35 @@ def test_repeated_lines_of_few_words_go_by_their_length(spark):
         assert got[i] == (text.replace(lines[i // 2] + "\n", "") if gone else text)
 
 
+def test_every_passage_of_51_words_leaves_20():
+    lost = []
+    for seed in range(1500):
+        pick = random.Random(seed)
+        # Sentences of any length, or none at all.
+        stops = pick.choice([0, 0.02, 0.05, 0.1, 0.3])
+        said = lambda n: " ".join(f"w{pick.randrange(3000)}" + "." * (pick.random() < stops) for _ in range(n))  # noqa: B023, E731
+        passage = said(51)
+        edges = [said(pick.randrange(60)) for _ in range(4)]
+        gap = pick.choice([" ", " ", "\n"])
+        one, two = (f"{a}{gap}{passage} {b}".encode() for a, b in zip(edges[:2], edges[2:], strict=True))
+        (_, _, *first), (starts, _, *second) = units([one, two])
+        known = set(zip(*(d.tolist() for d in first), strict=True))
+        bounds = [*starts.tolist(), len(two)]
+        best = run = 0
+        for k, digest in enumerate(zip(*(d.tolist() for d in second), strict=True)):
+            run = run + len(two[bounds[k] : bounds[k + 1]].split()) if digest in known else 0
+            best = max(best, run)
+        if best < PASSAGE:
+            lost.append((seed, best))
+    assert lost == []
+
+
+def test_units_do_not_hang_on_other_texts():
+    texts = [t.encode() for t in ["same same", "same same same x", "", "a b same", "same same same", random_text(random.Random(13), 100), "", "c " * 40]]
+    alone = [next(units([t])) for t in texts]
+    assert all(np.array_equal(a, b) for f, g in zip(alone, units(texts), strict=True) for a, b in zip(f, g, strict=True))
+
+
 def test_repeated_passages_stand_odd_cases(docs, rows, none):
     got = drop_repeated_passages(docs)
     by = {r.doc_id: r for r in got.collect()}
