@@ -13,17 +13,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, column, ship_package, small_batches, table
 
 WORD = r"\p{L}[\p{L}\p{M}]*"
-#: Documents learned from, about: a model of words and n-grams is no better for more.
+#: Different texts of each language learned from, about: a model of words and n-grams is no better for more.
 TRAIN_DOCUMENTS = 20_000
-#: Words and n-grams of each length that a model keeps: the most frequent.
-VOCABULARY = 30_000
+#: Words and n-grams of each length that a model keeps: the most frequent of all languages together, and of each.
+VOCABULARY, OWN_VOCABULARY = 30_000, 5_000
 LONGEST = 5
+#: Texts are chosen by their hash modulo this.
+HASHES = 1 << 40
 #: Added to every count.
 SMOOTHING = 0.1
 UNDETERMINED = "und"
@@ -92,16 +94,20 @@ def held_out(id_: Column) -> Column:
 def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_DOCUMENTS) -> Model:
     """A model of the documents that have a text and a language.
 
-    About ``most`` of them, chosen by a hash of the text, are counted whole.
-    The model holds the ``VOCABULARY`` most frequent words and n-grams of each
-    length, so what comes to the driver is bounded.
+    About ``most`` different texts of each language, chosen by a hash of the
+    text, are counted whole. The model holds the ``VOCABULARY`` most frequent
+    words and n-grams of each length and the ``OWN_VOCABULARY`` most frequent
+    ones of each language, so what comes to the driver is bounded by the number
+    of languages and none is lost among larger ones.
     """
     labelled = docs.where(column(text_col).isNotNull() & column(lang_col).isNotNull()).select(
         column(text_col).alias("text"), column(lang_col).alias("lang")
     )
-    total = docs.where(column(lang_col).isNotNull()).count()
-    if total > most:
-        labelled = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int((1 << 20) * most / total))
+    known = labelled.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("texts")).collect()
+    shares = {r.lang: min(1.0, most / max(1, r.texts)) for r in known}
+    taken = docs.sparkSession.createDataFrame([(lang, int(HASHES * share)) for lang, share in shares.items()], "lang string, below long")
+    chosen = F.pmod(F.xxhash64("text"), F.lit(HASHES)) < F.col("below")
+    labelled = labelled.join(F.broadcast(taken), "lang").where(chosen).select("lang", "text").distinct()
     words = labelled.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("gram"))
     words = checkpointed(words.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")).withColumn("length", F.lit(0)))
     padded = F.concat(F.lit("_"), "gram", F.lit("_"))
@@ -116,15 +122,16 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", mo
     sums = counted.groupBy("lang", "length").agg(F.sum("n").alias("n")).collect()
 
     ranked = checkpointed(counted.groupBy("length", "gram").agg(F.sum("n").alias("all")))
-    kept = None
+    by_count = Window.partitionBy("lang", "length").orderBy(F.desc("n"), "gram")
+    kept = counted.withColumn("place", F.row_number().over(by_count)).where(F.col("place") <= OWN_VOCABULARY).select("length", "gram")
     for n in range(LONGEST + 1):
         top = ranked.where(F.col("length") == n).orderBy(F.desc("all"), "gram").limit(VOCABULARY)
-        kept = top if kept is None else kept.unionByName(top)
-    rows = counted.join(kept.select("length", "gram"), ["length", "gram"]).collect()
-    return _model(sums, rows)
+        kept = kept.unionByName(top.select("length", "gram"))
+    rows = counted.join(kept.distinct(), ["length", "gram"]).collect()
+    return _model(sums, rows, shares)
 
 
-def _model(sums: list, rows: list) -> Model:
+def _model(sums: list, rows: list, shares: dict[str, float]) -> Model:
     languages = sorted({r.lang for r in sums})
     at = {lang: k for k, lang in enumerate(languages)}
     mass = np.zeros((LONGEST + 1, len(languages)))
@@ -143,7 +150,9 @@ def _model(sums: list, rows: list) -> Model:
         counts[k, at[r.lang]], length[k] = r.n, r.length
     size = np.bincount(length, minlength=LONGEST + 1)[:, None]
     logs = np.log(counts + SMOOTHING) - np.log(mass + SMOOTHING * (size + 1))[length]
-    prior = np.log(np.maximum(mass[0], 1) / max(1.0, mass[0].sum()))
+    # As many words as all texts of a language have, not those chosen alone.
+    whole = np.maximum(mass[0], 1) / np.array([shares[lang] for lang in languages])
+    prior = np.log(whole / max(1.0, whole.sum()))
     return Model(languages, prior, dict(places), logs)
 
 

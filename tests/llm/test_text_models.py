@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
@@ -29,6 +30,22 @@ def test_unknown_words_back_off(docs):
     assert model.predict("日本")[0] in ("en", "fr")
 
 
+def test_rare_languages_are_learned_beside_large_ones(spark, monkeypatch):
+    from lithospark.llm import language
+
+    monkeypatch.setattr(language, "VOCABULARY", 40)
+    pick = random.Random(14)
+    word = lambda letters: "".join(pick.choice(letters) for _ in range(4))
+    large, rare = [word("abcde") for _ in range(200)], [word("defgh") for _ in range(20)]
+    text = lambda words: " ".join(pick.choice(words) for _ in range(30))
+    rows = [(text(large), "large") for _ in range(2000)] + [(text(rare), "rare") for _ in range(10)] + [("gggg " * 30, "large")] * 1000
+    model = learn(spark.createDataFrame(rows, "text string, lang string"), most=50)
+    assert all(model.predict(text(rare))[0] == "rare" for _ in range(20))
+    assert all(model.predict(text(large))[0] == "large" for _ in range(20))
+    # The repeated text counts once, and the prior is that of all different texts.
+    assert model.languages == ["large", "rare"] and abs(float(np.exp(model.prior[0])) - 2001 / 2011) < 0.003
+
+
 def test_language_of_nothing(none, docs):
     model = learn(none)
     assert identify(none, model).count() == 0
