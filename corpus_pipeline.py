@@ -40,8 +40,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's token count and the digests of its ids and of what they decode to."""
-    return bpe.encode_decode(docs, with_ids=False)
+    """Each document's token count and ids, and the digests of these and of what they decode to."""
+    return bpe.encode_decode(docs).drop("decoded")
 
 
 STAGES = [

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import duckdb
 import pytest
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from tests.test_queries import FOLDER, agrees, duck  # noqa: F401
 
 from .conftest import COLUMNS
+from .test_duplicates import roots, shingles
 
 
 def test_stages_keep_the_columns_of_documents(spark, folder, rows):
@@ -26,6 +28,22 @@ def test_stages_keep_the_columns_of_documents(spark, folder, rows):
     assert {r.doc_id for r in got.collect()} <= {r[0] for r in rows}
 
 
+def test_last_stages_like_plain_versions(spark, folder, rows):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id is not null")
+    sets = {r[0]: shingles(r[1]) for r in rows if r[0] is not None}
+    linked = [(a, b) for a in sets for b in sets if b < a and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    kept = {a for a, root in roots(sets, linked).items() if a == root}
+    assert {r.doc_id for r in corpus_pipeline.distinct_documents(spark, docs, folder).collect()} == kept
+
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    text = dict((r[0], r[1] or "") for r in rows)
+    got = corpus_pipeline.tokens(spark, docs, folder)
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    assert all(r.ids == library.encode(text[r.doc_id], add_special_tokens=False).ids and len(r.ids) == r.n_tokens for r in got.collect())
+    assert "ids" in corpus_pipeline.run(spark, folder).columns
+
+
 @pytest.mark.parametrize("name", ["op3_mixing", "op8_url_filters"])
 def test_agrees_with_sql(spark, duck, name):  # noqa: F811
     agrees(spark, duck, name)
