@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ship_package, small_batches, table
+from .common import column, ship_package, sliced, table
 
 #: Pieces whose ids a worker keeps at most; then it starts again.
 KEPT_PIECES = 400_000
@@ -196,18 +196,18 @@ def encode_decode(
     """Per document: its id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, on demand, ``ids`` and ``decoded``.
 
     A null text counts as empty: no tokens. Rows stay apart when ids repeat;
-    other columns are not looked at.
+    other columns are not looked at. Texts are taken whole, however long; an
+    empty table gives no rows.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    small_batches(spark)
     model = spark.sparkContext.broadcast(tokenizer_json(path))
     kind = dict(docs.dtypes)[id_col]
     more = ", ids array<int>, decoded string" if with_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model.value)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
             for ids in own.encode_batch(texts):
@@ -226,8 +226,9 @@ def encode_decode(
             yield pa.RecordBatch.from_arrays(arrays, names)
         own.known.clear()  # a worker that goes on to other work holds no pieces
 
-    return docs.select(id_col, text_col).mapInArrow(
-        run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}"
+    quoted = id_col.replace("`", "``")
+    return docs.select(column(id_col), column(text_col)).mapInArrow(
+        run, f"`{quoted}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}"
     )
 
 

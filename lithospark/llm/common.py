@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,26 +45,47 @@ def word_count(text: Column) -> Column:
 def scratch_folder(spark: SparkSession) -> str:
     """The folder that all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where none is named (tests, a laptop) is a new local one made.
+    Where none is named, a local master (tests, a laptop) gets a new local one;
+    a cluster gets an error, as its machines share no local folder.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lithospark-checkpoint-"))
     return sc.getCheckpointDir()
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store that is no longer read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once into the shared folder, without its lineage."""
     scratch_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds what one Arrow batch of whole texts can hold in a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+#: Rows, and bytes of rows, that a worker has in hand as Python objects, about.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of bounded size, one row at least, so that long texts are not all unpacked at once."""
+    for batch in batches:
+        rows = max(1, min(BATCH_ROWS, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes)))
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
+def parts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The series in parts of so many rows."""
+    for batch in batches:
+        for k in range(0, len(batch), BATCH_ROWS):
+            yield batch.iloc[k : k + BATCH_ROWS]
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, ship_package, small_batches, table, without
+from .common import column, parts, ship_package, sliced, table, without
 from .shingles import shingle_sets
 
 #: One in so many shingle hashes is retained.
@@ -94,11 +94,10 @@ def sketches(texts: list[str]) -> list[Sketch]:
 def fingerprints(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``docs`` with the ``fingerprint`` of each text; a null text counts as empty."""
     ship_package(docs.sparkSession)
-    small_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def made(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
+        for batch in parts(batches):
             yield pd.Series([str(s) for s in sketches([t or "" for t in batch])], dtype=object)
 
     return without(docs, "fingerprint").withColumn("fingerprint", made(F.coalesce(column(text_col), F.lit(""))))
@@ -185,11 +184,10 @@ def edit_likeness(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """
     spark = docs.sparkSession
     ship_package(spark)
-    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the row whose next one has not come yet
-        for batch in batches:
+        for batch in sliced(batches):
             columns = [batch.column(i).to_pylist() for i in range(4)]
             texts = [t or "" for t in columns[1]]
             pairs = []

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, column, ship_package, small_batches, table
+from .common import checkpointed, column, parts, ship_package, table
 
 WORD = r"\p{L}[\p{L}\p{M}]*"
 #: Different texts of each language learned from, about: a model of words and n-grams is no better for more.
@@ -164,13 +164,12 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
     """
     spark = docs.sparkSession
     ship_package(spark)
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang_pred: string, score: double>")
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = shared.value
-        for batch in batches:
+        for batch in parts(batches):
             yield pd.DataFrame([own.predict(t) for t in batch], columns=["lang_pred", "score"])
 
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, column, ship_package, small_batches, table
+from .common import checkpointed, column, ship_package, sliced, table
 from .components import components
 from .shingles import mix, shingle_sets, stream
 
@@ -99,7 +99,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, n, d1, d2, sign)`` for each document: size and digest of its set, and its signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sizes, firsts, seconds, signs = [], [], [], []
             for s in shingle_sets([(t or "").encode() for t in batch.column(1).to_pylist()]):
                 d = digest(s)
@@ -133,7 +133,7 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFr
     """``(id, set, sign)`` of the documents with these ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = list(shingle_sets([(t or "").encode() for t in batch.column(1).to_pylist()]))
             arrays = [batch.column(0), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())), pa.array([signature(s).tobytes() for s in found], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["id", "set", "sign"])
@@ -213,7 +213,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     ship_package(spark)
-    small_batches(spark)
     signed = checkpointed(_signed(docs, id_col, text_col))
     classes = signed.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.max(F.struct("n", "sign")).alias("x"))
     classes = checkpointed(classes.select("d1", "d2", "id", "x.n", "x.sign"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, ship_package, small_batches, table, without
+from .common import column, parts, ship_package, sliced, table, without
 from .shingles import Words, blocks
 
 #: Documents that the scorer is fitted on, about.
@@ -202,7 +202,7 @@ def _votes(docs: DataFrame, text_col: str) -> dict[tuple[int, ...], int]:
     """How many documents have each pattern of votes: 3 ** labellers at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             counts: dict[str, int] = {}
             for found, _ in measures(_texts(batch, 0)):
                 pattern = "".join(str(vote(found)) for vote in LABELLERS.values())
@@ -217,7 +217,7 @@ def _sample(docs: DataFrame, text_col: str, share: float) -> tuple[list[tuple[np
     """Features and votes of documents with different texts, about so many of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = [(*features(found, kinds), [vote(found) for vote in LABELLERS.values()]) for found, kinds in measures(_texts(batch, 0))]
             kinds = [pa.list_(pa.int32()), pa.list_(pa.float32()), pa.list_(pa.int8())]
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kinds[k]) for k in range(3)], ["at", "x", "votes"])
@@ -240,7 +240,6 @@ def judge(docs: DataFrame, *, text_col: str = "text", most: int = TRAIN_DOCUMENT
     """
     spark = docs.sparkSession
     ship_package(spark)
-    small_batches(spark)
     patterns = _votes(docs, text_col)
     total = sum(patterns.values())
     labels = WeakLabels(patterns)
@@ -253,7 +252,7 @@ def judge(docs: DataFrame, *, text_col: str = "text", most: int = TRAIN_DOCUMENT
     @F.pandas_udf("struct<weak_label: double, quality: double>")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         labels, weights = shared.value
-        for batch in batches:
+        for batch in parts(batches):
             votes, scores = [], []
             for found, kinds in measures([(t or "").encode() for t in batch]):
                 votes.append([vote(found) for vote in LABELLERS.values()])

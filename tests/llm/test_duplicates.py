@@ -7,12 +7,13 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from lithospark.llm.components import components
 from lithospark.llm.fingerprints import Sketch, edit_likeness, fingerprints, likeness, merged, sketches
 from lithospark.llm.near_dedup import BLOCK, drop_near_duplicates, links_between, near_duplicates, signature
-from lithospark.llm.shingles import shingle_sets
-from lithospark.llm.substring_dedup import PASSAGE, drop_repeated_passages, passages, units
+from lithospark.llm.shingles import Words, shingle_sets
+from lithospark.llm.substring_dedup import PASSAGE, RUN, WINDOW, _keys, drop_repeated_passages, op6_substring_dedup, units
 
 from .conftest import COLUMNS, prose
 
@@ -163,39 +164,121 @@ def test_repeated_passages_go_once_kept(spark):
     assert raw[start:end].decode().strip() == passage and got[3].text == (raw[:start] + raw[end:]).decode()
 
 
-def test_repeated_passages_like_a_plain_loop(spark):
+def plain_pieces(text):
+    """Words of a text and the numbers of those that begin a piece, by one loop over windows of each line."""
+    begins, words = [], []
+    for line in text.split("\n"):
+        said = WORD.findall(line.translate(LOWER))
+        if not said:
+            continue
+        at, cuts = len(words), {0}
+        keys = _keys(Words([" ".join(said).encode()])).tolist()
+        assert all((k < 1 << 63) == (w[-1] in ".!?") and k for k, w in zip(keys, said, strict=True))
+        runs = []
+        for k in range(len(said)):
+            if k and said[k] == said[k - 1]:
+                runs[-1][1] = k + 1
+            else:
+                runs.append([k, k + 1])
+        runs = [(a, b) for a, b in runs if b - a >= RUN]
+        for k in range(len(said) - WINDOW):  # the last word of the line ends its last windows
+            window = keys[k : k + WINDOW]
+            cuts |= {k + i + 1 for i in range(WINDOW) if window[i] == min(window)}
+        cuts = {c for c in cuts if not any(a < c < b for a, b in runs)} | {c for run in runs for c in run}
+        begins += [at + c for c in sorted(cuts) if c < len(said)]
+        words += said
+    return words, begins
+
+
+def plain_removal(rows, least):
+    """For each document the words that go, told by strings and one loop over all units in order."""
+    first_doc, out = {}, {}
+    found = {}
+    for i, text in sorted(rows):
+        words, begins = plain_pieces(text or "")
+        lines = [k for k, line in enumerate((text or "").split("\n")) for _ in WORD.findall(line)]
+        weight = lambda a, b: max(b - a, sum(map(len, words[a:b])) // 5)  # noqa: B023, E731
+        edges = [*begins, len(words)]
+        sizes = [weight(a, b) for a, b in zip(edges, edges[1:])]
+        units = set()
+        for k in range(len(sizes)):
+            for m in range(k, len(sizes)):
+                if sum(sizes[k : m + 1]) >= least:
+                    units.add((edges[k], edges[m + 1]))
+                    break
+        for m in range(len(sizes)):
+            if m + 1 == len(sizes) or lines[edges[m + 1]] != lines[edges[m]]:
+                for k in range(m, -1, -1):
+                    if lines[edges[k]] != lines[edges[m]]:
+                        break
+                    if sum(sizes[k : m + 1]) >= least:
+                        units.add((edges[k], edges[m + 1]))
+                        break
+        found[i] = words, sorted(units)
+        for a, b in units:
+            first_doc.setdefault(tuple(words[a:b]), i)
+    for i, (words, units) in found.items():
+        gone, seen = set(), {}
+        for a, b in units:
+            said = tuple(words[a:b])
+            if first_doc[said] != i:
+                gone |= set(range(a, b))
+            elif said in seen:
+                gone |= set(range(max(a, seen[said]), b))
+            else:
+                seen[said] = b
+        out[i] = [w for k, w in enumerate(words) if k not in gone]
+    return out
+
+
+@pytest.mark.parametrize("least", [PASSAGE, 1])
+def test_repeated_passages_like_a_plain_loop(spark, least):
     pick = random.Random(9)
-    pool = [random_text(pick, 5 + pick.randrange(60), 300) + pick.choice([".", "", "!"]) for _ in range(60)] + ["same " * 40, "Same same " * 30]
+    pool = [random_text(pick, 5 + pick.randrange(60), 300) + pick.choice([".", "", "!"]) for _ in range(60)]
+    pool += ["same " * 40, "Same same " * 30, "a b c d e " * 12, "x", " ".join(f"{c}!!" for c in "abcdefghij" * 3)]
     rows = [(pick.randrange(10**6), "".join(pick.choice(pool) + pick.choice([" ", "\n", "\n\n"]) for _ in range(1 + pick.randrange(8)))) for _ in range(300)]
     rows = list(dict(rows).items())
-    got = {r.doc_id: (r.text, [tuple(x) for x in r.removed]) for r in drop_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    seen = set()
-    for i, text in sorted(rows):
-        raw = text.encode()
-        (starts, words, one, two), = units([raw])
-        later = []
-        for start, digest in zip(starts.tolist(), zip(one.tolist(), two.tolist(), strict=True), strict=True):
-            if digest in seen:
-                later.append(start)
-            seen.add(digest)
-        spans = passages(starts, words, len(raw), np.array(later), PASSAGE)
-        edges = [0, *(e for span in spans for e in span), len(raw)]
-        assert got[i] == (b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode(), spans)
-    assert sum(bool(spans) for _, spans in got.values()) > 100
-
-
-def test_units_cut_a_passage_alike_wherever_it_stands():
+    got = {r.doc_id: r.text for r in drop_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), least=least).collect()}
+    want = plain_removal(rows, least)
+    assert all(WORD.findall(got[i].translate(LOWER)) == want[i] for i, _ in rows)
+    assert sum(len(want[i]) < len(WORD.findall(text)) for i, text in rows) > 100
+
+
+def test_nothing_goes_that_no_earlier_text_has(spark):
+    pick = random.Random(15)
+    shouted = lambda: " ".join(f"{pick.choice('abcdefgh')}!!" for _ in range(60))
+    rows = [(1, "Same"), (2, "same " * 25), (3, "same " * 24)] + [(k, shouted()) for k in range(4, 60)]
+    rows += [(60 + k, "All rights reserved.\nKeep off the grass.\n" + random_text(pick, 30)) for k in range(20)]
+    assert all(r.removed == [] for r in drop_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_long_lines_go_whole_and_short_ones_on_demand(spark):
+    pick = random.Random(16)
+    lines = [random_text(pick, n) for n in range(PASSAGE, 80)]
+    rows = [(2 * k, line) for k, line in enumerate(lines)] + [(2 * k + 1, f"{random_text(pick, 9)}\n{line}\n{random_text(pick, 9)}") for k, line in enumerate(lines)]
+    got = {r.doc_id: r.text for r in drop_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].split("\n")[1] in line and len(got[i].split("\n")) == 2 for i, line in rows if i % 2)
+    ten = [(k, f"{random_text(pick, 30)}\neleven words that three documents say in a line here now\n{random_text(pick, 30)}") for k in range(3)]
+    got = drop_repeated_passages(spark.createDataFrame(ten, "doc_id long, text string"), least=1).collect()
+    assert [("eleven words" in r.text, len(r.text.split())) for r in sorted(got)] == [(True, 71), (False, 60), (False, 60)]
+
+
+def removed_words(one, two):
+    """How many words of the second text go after the first."""
+    first, second = units([one.encode(), two.encode()])
+    known = set(zip(first.one.tolist(), first.two.tolist(), strict=True))
+    hits = np.array([k for k, d in enumerate(zip(second.one.tolist(), second.two.tolist(), strict=True)) if d in known], dtype=np.int64)
+    return sum(len(two.encode()[a:b].split()) for a, b in second.spans(len(two.encode()), hits))
+
+
+def test_units_do_not_hang_on_what_stands_around():
     pick = random.Random(10)
-    passage = random_text(pick, 51)
-    texts = [f"{random_text(pick, pick.randrange(40))} {passage} {random_text(pick, pick.randrange(40))}" for _ in range(50)]
-    texts += [random_text(pick, 20) + " Of" * n + " " + random_text(pick, 20) for n in (30, 45)]
-    found = [{(a, b): n for n, a, b in zip(w.tolist(), one.tolist(), two.tolist(), strict=True)} for _, w, one, two in units([t.encode() for t in texts])]
-    shared = set.intersection(*(set(f) for f in found[:50]))
-    assert sum(found[0][d] for d in shared) >= PASSAGE
-    assert set(found[50]) & set(found[51])
-    lines = "A b.\nC d? e F\n\n G. "
-    (starts, words, *_), = units([lines.encode()])
-    assert [lines[s] for s in starts] == ["A", "C", "e", "G"] and words.tolist() == [2, 2, 2, 1]
+    (found,) = units([b"A b.\nC d? e F\n\n G. "], 1)
+    assert found.starts.tolist() == [0, 5, 16] and list(zip(found.first, found.last)) == [(0, 0), (1, 1), (2, 2)]
+    texts = [random_text(pick, 20) + " Of" * n + " " + random_text(pick, 20) for n in (30, 30, 31)]
+    shared = lambda a, b: set(a.one.tolist()) & set(b.one.tolist())
+    one, two, three = units([t.encode() for t in texts])
+    assert shared(one, two) and not shared(one, three)
 
 
 def test_repeated_lines_of_few_words_go_by_their_length(spark):
@@ -210,7 +293,7 @@ def test_repeated_lines_of_few_words_go_by_their_length(spark):
         assert got[i] == (text.replace(lines[i // 2] + "\n", "") if gone else text)
 
 
-def test_every_passage_of_51_words_leaves_20():
+def test_every_passage_of_51_words_loses_20():
     lost = []
     for seed in range(1500):
         pick = random.Random(seed)
@@ -220,16 +303,10 @@ def test_every_passage_of_51_words_leaves_20():
         passage = said(51)
         edges = [said(pick.randrange(60)) for _ in range(4)]
         gap = pick.choice([" ", " ", "\n"])
-        one, two = (f"{a}{gap}{passage} {b}".encode() for a, b in zip(edges[:2], edges[2:], strict=True))
-        (_, _, *first), (starts, _, *second) = units([one, two])
-        known = set(zip(*(d.tolist() for d in first), strict=True))
-        bounds = [*starts.tolist(), len(two)]
-        best = run = 0
-        for k, digest in enumerate(zip(*(d.tolist() for d in second), strict=True)):
-            run = run + len(two[bounds[k] : bounds[k + 1]].split()) if digest in known else 0
-            best = max(best, run)
-        if best < PASSAGE:
-            lost.append((seed, best))
+        one, two = (f"{a}{gap}{passage} {b}" for a, b in zip(edges[:2], edges[2:], strict=True))
+        gone = removed_words(one, two)
+        if gone < PASSAGE:
+            lost.append((seed, gone))
     assert lost == []
 
 
