@@ -1,9 +1,10 @@
 """Quality classifier: a weak-label model and a hashed linear scorer.
 
-Heuristic labellers vote good or bad, or abstain. Expectation-maximisation
-over the counts of vote patterns estimates how often each votes what on good
-and on bad documents. The posterior labels of a bounded sample train a linear
-scorer on hashed features, which then judges every document.
+Heuristic labellers vote good or bad, or abstain; each fault is in sight of
+several. Expectation-maximisation over the counts of vote patterns estimates
+how often each labeller is right on good and on bad documents. The posterior
+labels of a bounded sample train a linear scorer on hashed features, which then
+judges every document.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import column, parts, ship_package, sliced, table, without
-from .shingles import Words, blocks
+from .shingles import Words, blocks, mix, stream
 
 #: Documents that the scorer is fitted on, about.
 TRAIN_DOCUMENTS = 4_000
@@ -26,11 +27,16 @@ WIDTH = 4096
 #: Posterior of being good below which a document is rejected.
 REJECT_BELOW = 0.5
 
-#: How often a labeller is believed to call a good document bad, and how many times the corpus the belief weighs.
-FALSE_ALARMS, BELIEF = 0.001, 10
+#: Made-up right and wrong votes of each labeller on good and on bad documents, so that no estimate is 0 or 1.
+PRIOR_RIGHT, PRIOR_WRONG = 1.0, 0.5
+#: Words below which shares of a text's characters say nothing.
+ENOUGH = 10
 
-#: Words of the windows in which different words are counted, and the share of them below which a window is monotonous.
-WINDOW, MONOTONOUS = 1000, 0.15
+#: Words of the windows in which different words and different runs of three words are counted, and the shares of them
+#: below which a window is monotonous.
+WINDOW, MONOTONOUS, REPEATED = 1000, 0.15, 0.3
+#: Steps in which the scorer sees a measure of repetition.
+STEPS = 16
 
 GOOD, BAD, ABSTAIN = 1, 0, 2
 
@@ -43,12 +49,17 @@ _KIND[_SYMBOLS] = np.arange(5, 5 + len(_SYMBOLS))
 _KINDS = 5 + len(_SYMBOLS)
 _ODD = np.zeros(256, dtype=bool)
 _ODD[[b for b in _SYMBOLS if chr(b) not in ".,;:'\"()-?!|"]] = True
+_ODD_FACTORS = stream(31, 3) | np.uint64(1)
+_SYMBOL = np.zeros(256, dtype=bool)
+_SYMBOL[_SYMBOLS] = True
+_SAYS = ~_SYMBOL
+_SAYS[:33] = _SAYS[127] = False
 
 
-def _variety(hashes: np.ndarray) -> tuple[float, float]:
-    """The share of different words, and the share of words in monotonous windows, over windows of the whole text.
+def _variety(hashes: np.ndarray, below: float) -> tuple[float, float]:
+    """The share of different hashes, and the share of hashes in windows with fewer than so many, over windows of the whole text.
 
-    The last window is as long as the others and so overlaps the one before; each weighs as many words as it adds.
+    The last window is as long as the others and so overlaps the one before; each weighs as much as it adds.
     """
     n = len(hashes)
     if not n:
@@ -56,7 +67,15 @@ def _variety(hashes: np.ndarray) -> tuple[float, float]:
     ends = np.append(np.arange(WINDOW, n, WINDOW), n)
     shares = np.array([len(np.unique(hashes[max(0, e - WINDOW) : e])) for e in ends.tolist()]) / min(n, WINDOW)
     weights = np.diff(ends, prepend=0) / n
-    return float(shares @ weights), float((shares < MONOTONOUS) @ weights)
+    return float(shares @ weights), float((shares < below) @ weights)
+
+
+def _in_runs(hashes: np.ndarray) -> int:
+    """How many words stand in a run of three equal ones or more."""
+    same = np.concatenate(([0], (hashes[1:] == hashes[:-1]).astype(np.int8), [0]))
+    edges = np.flatnonzero(np.diff(same))
+    lengths = edges[1::2] - edges[::2] + 1
+    return int(lengths[lengths >= 3].sum())
 
 
 def measures(texts: list[bytes]) -> Iterator[tuple[dict[str, float], np.ndarray]]:
@@ -69,7 +88,9 @@ def measures(texts: list[bytes]) -> Iterator[tuple[dict[str, float], np.ndarray]
         # Code points are counted at their first byte.
         points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
         lengths = points[words.ends] - points[words.starts]
-        odd = _ODD[raw]
+        odd, symbol = _ODD[raw], _SYMBOL[raw]
+        says = np.concatenate(([0], np.cumsum(_SAYS[raw])))
+        bare = says[words.ends] == says[words.starts]
         start = word = 0
         for end, until in zip(words.text_ends.tolist(), words.until.tolist(), strict=True):
             own, w, n = kinds[start : end - 1], slice(word, until), until - word
@@ -77,18 +98,26 @@ def measures(texts: list[bytes]) -> Iterator[tuple[dict[str, float], np.ndarray]
             beyond = int((raw[start : end - 1] >= 0xC0).sum())
             latin = int(((own == 0) & (raw[start : end - 1] < 0x80)).sum() + (own == 1).sum())
             hashes = words.hashes[w]
-            distinct, monotonous = _variety(hashes)
+            distinct, monotonous = _variety(hashes, MONOTONOUS)
+            with np.errstate(over="ignore"):
+                threes = mix(hashes[:-2] * _ODD_FACTORS[0] + hashes[1:-1] * _ODD_FACTORS[1] + hashes[2:] * _ODD_FACTORS[2])
+            phrases, repeated = _variety(threes, REPEATED)
             found = {
                 "words": float(n),
                 "odd": float(odd[start : end - 1].sum()) / size,
+                "symbols": float(symbol[start : end - 1].sum()) / size,
                 "upper": float((own == 1).sum()) / letters,
                 "letters": float((own <= 1).sum()) / size,
                 "shouted": float((last[w] == ord("!")).sum()) / max(1, n),
                 "bars": float((raw[words.starts[w]] == ord("|")).sum()) / max(1, n),
                 "stops": float((last[w] == ord(".")).sum()) / max(1, n),
+                "bare": float(bare[w].sum()) / max(1, n),
+                "runs": _in_runs(hashes) / max(1, n),
                 "repeats": float((hashes[1:] == hashes[:-1]).sum()) / max(1, n - 1),
                 "distinct": distinct,
                 "monotonous": monotonous,
+                "phrases": phrases,
+                "repeated": repeated,
                 "length": float(lengths[w].mean()) if n else 0.0,
                 "beyond": beyond / max(1, beyond + latin),
             }
@@ -100,15 +129,24 @@ def _vote(good: bool, bad: bool) -> int:
     return BAD if bad else GOOD if good else ABSTAIN
 
 
+def _share(name: str, good: float, bad: float) -> Callable[[dict[str, float]], int]:
+    """Votes by a share of a text that is long enough."""
+    return lambda m: ABSTAIN if m["words"] < ENOUGH else _vote(m[name] < good, m[name] > bad)
+
+
 #: Each labeller: good, bad or abstain, from a text's measures.
 LABELLERS: dict[str, Callable[[dict[str, float]], int]] = {
-    "odd symbols": lambda m: _vote(m["odd"] < 0.01, m["odd"] > 0.04),
-    "capitals": lambda m: _vote(m["upper"] < 0.15, m["upper"] > 0.4),
-    "shouting": lambda m: _vote(m["shouted"] < 0.02, m["shouted"] > 0.2),
-    "tables": lambda m: _vote(m["bars"] < 0.02, m["bars"] > 0.15),
-    "repeated words": lambda m: _vote(m["repeats"] < 0.08, m["repeats"] > 0.3 and m["words"] >= 10),
-    "few different words": lambda m: _vote(m["distinct"] > 0.35, m["monotonous"] >= 0.5 and m["words"] >= 50),
-    "letters": lambda m: _vote(m["letters"] > 0.72, m["letters"] < 0.4),
+    "odd symbols": _share("odd", 0.01, 0.04),
+    "symbols": _share("symbols", 0.07, 0.11),
+    "capitals": _share("upper", 0.15, 0.4),
+    "shouting": _share("shouted", 0.02, 0.2),
+    "tables": _share("bars", 0.02, 0.15),
+    "bare marks": _share("bare", 0.03, 0.1),
+    "repeated words": _share("repeats", 0.08, 0.3),
+    "runs of a word": _share("runs", 0.05, 0.2),
+    "few different words": lambda m: _vote(m["distinct"] > 0.35, m["monotonous"] >= 0.5 and m["words"] >= 2 * ENOUGH),
+    "repeated phrases": lambda m: _vote(m["phrases"] > 0.6, m["repeated"] >= 0.5 and m["words"] >= 2 * ENOUGH),
+    "letters": lambda m: ABSTAIN if m["words"] < ENOUGH else _vote(m["letters"] > 0.74, m["letters"] < 0.66),
     # Scripts beyond ASCII may have no spaces, so the length of their words says nothing.
     "word length": lambda m: ABSTAIN if m["beyond"] > 0.5 else _vote(3 <= m["length"] <= 9, m["length"] > 14 or m["length"] < 1.5),
     "sentences": lambda m: _vote(0.02 < m["stops"] < 0.5, False),
@@ -116,63 +154,57 @@ LABELLERS: dict[str, Callable[[dict[str, float]], int]] = {
 
 
 def features(found: dict[str, float], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of a text: root shares of its byte kind trigrams, and bins of its repetition."""
+    """Hashed features of a text: root shares of its byte kind trigrams, and the steps that its measures of repetition reach."""
     if len(kinds) >= 3:
         codes = (kinds[:-2] * _KINDS + kinds[1:-1]) * _KINDS + kinds[2:]
-        counts = np.bincount((codes * 2654435761 >> 7) % (WIDTH - 64))
+        counts = np.bincount((codes * 2654435761 >> 7) % (WIDTH - 3 * STEPS))
         at = np.flatnonzero(counts)
         values = np.sqrt(counts[at] / len(codes))
     else:
         at, values = np.empty(0, dtype=np.int64), np.empty(0)
-    bins = [WIDTH - 64 + min(31, int(found["repeats"] * 31)), WIDTH - 32 + min(31, int(found["distinct"] * 31))]
-    return np.concatenate((at, bins)), np.concatenate((values, [0.5, 0.5]))
+    reached = [np.arange(int(min(1.0, found[name]) * STEPS)) + WIDTH - (k + 1) * STEPS for k, name in enumerate(("repeats", "distinct", "phrases"))]
+    steps = np.concatenate(reached)
+    return np.concatenate((at, steps)), np.concatenate((values, np.full(len(steps), 0.25)))
 
 
 class WeakLabels:
-    """What each labeller votes on good documents, and on those that are bad in one of several ways.
-
-    The labellers overlap, and each knows one way of being bad. So there is a
-    hidden class for good documents (0) and one for each labeller's way;
-    expectation-maximisation estimates the classes' shares and the odds of each
-    labeller's votes in each. Abstaining says nothing. A prior belief in few
-    false alarms decides what the votes cannot: whether what one labeller alone
-    objects to is bad.
+    """How often each labeller votes right on good and on bad documents, by expectation-maximisation.
+
+    Votes are independent given the class; abstaining says nothing. The first
+    guess calls a document bad that any labeller objects to; from then on what
+    counts is how far labellers agree, so an objection that others seldom share
+    weighs little.
     """
 
-    def __init__(self, patterns: dict[tuple[int, ...], int], rounds: int = 100) -> None:
+    def __init__(self, patterns: dict[tuple[int, ...], int], rounds: int = 200) -> None:
         said = self._said(np.array(list(patterns) or [[ABSTAIN] * len(LABELLERS)], dtype=np.int64))
         counts = np.array(list(patterns.values()) or [1], dtype=float)
-        bad = said[:, :, BAD]
-        good = np.where(bad.any(axis=1), 0.02, 0.98)
-        ways = np.where(bad.any(axis=1, keepdims=True), bad, 1.0)
-        member = np.column_stack((good, (1 - good)[:, None] * ways / ways.sum(axis=1, keepdims=True)))
+        good = np.where(said[:, :, BAD].any(axis=1), 0.02, 0.98)
+        right = np.array([[PRIOR_RIGHT, PRIOR_WRONG], [PRIOR_WRONG, PRIOR_RIGHT]])[:, None]
         for _ in range(rounds):
-            weight = member * counts[:, None]
-            self.share = (weight.sum(axis=0) + 0.1) / (weight.sum() + 0.1 * weight.shape[1])
-            #: How often each labeller votes what, by class.
-            self.cast = np.einsum("pc,plv->clv", weight, said) + 0.1
-            self.cast[0, :, BAD] += FALSE_ALARMS * BELIEF * counts.sum()
-            self.cast[0, :, GOOD] += (1 - FALSE_ALARMS) * BELIEF * counts.sum()
+            weight = np.stack((1 - good, good), axis=1) * counts[:, None]
+            self.share = (weight.sum(axis=0) + 1) / (weight.sum() + 2)
+            #: How often each labeller votes what, by class: [class, labeller, vote].
+            self.cast = np.einsum("pc,plv->clv", weight, said) + right
             self.odds = self.cast / self.cast.sum(axis=2, keepdims=True)
-            member = self._members(said)
+            good = self._good(said)
 
     @staticmethod
     def _said(votes: np.ndarray) -> np.ndarray:
         return np.stack([votes == v for v in (BAD, GOOD)], axis=2).astype(float)
 
-    def _members(self, said: np.ndarray) -> np.ndarray:
+    def _good(self, said: np.ndarray) -> np.ndarray:
         logs = np.log(self.share)[None] + np.einsum("plv,clv->pc", said, np.log(self.odds))
         member = np.exp(logs - logs.max(axis=1, keepdims=True))
-        return member / member.sum(axis=1, keepdims=True)
+        return member[:, GOOD] / member.sum(axis=1)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         """How likely documents with these votes are good."""
-        return self._members(self._said(votes))[:, 0]
+        return self._good(self._said(votes))
 
-    def accuracies(self) -> dict[str, float]:
-        """How often each labeller's vote is the document's own class, good or bad."""
-        right = self.cast[1:, :, BAD].sum(axis=0) + self.cast[0, :, GOOD]
-        return dict(zip(LABELLERS, (right / self.cast.sum(axis=(0, 2))).tolist(), strict=True))
+    def accuracies(self) -> dict[str, tuple[float, float]]:
+        """Of each labeller, the shares of right votes on bad and on good documents."""
+        return {name: (float(self.odds[BAD, k, BAD]), float(self.odds[GOOD, k, GOOD])) for k, name in enumerate(LABELLERS)}
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: int = 400) -> np.ndarray:
@@ -234,7 +266,8 @@ def judge(docs: DataFrame, *, text_col: str = "text", most: int = TRAIN_DOCUMENT
 
     ``weak_label`` is the weak-label model's posterior, ``quality`` the
     scorer's. Votes of all documents are counted; the scorer is fitted on about
-    ``most`` of their texts, chosen by hash. A text that is null or has no word
+    ``most`` of their texts, chosen by hash. Texts are measured whole, however
+    long, and equal texts are judged alike. A text that is null or has no word
     is rejected, with quality 0. An empty table gives no rows; input columns of
     the added names give way.
     """

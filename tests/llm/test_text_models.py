@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -11,7 +13,7 @@ from tokenizers import Tokenizer
 
 from lithospark.llm.bpe import Codec, encode_decode, op5_bpe, tokenizer_json
 from lithospark.llm.language import identify, learn, op2_language_id
-from lithospark.llm.quality import BAD, GOOD, LABELLERS, WeakLabels, judge, measures, op10_quality_classifier
+from lithospark.llm.quality import ABSTAIN, BAD, GOOD, LABELLERS, WeakLabels, judge, measures, op10_quality_classifier
 
 from .conftest import prose
 
@@ -80,16 +82,71 @@ def test_quality_of_odd_cases(docs, none):
     assert judge(none).count() == 0
 
 
-def test_weak_labels_weigh_labellers():
+def plain_em(patterns, rounds=200):
+    """Two classes and independent votes, by loops over documents' patterns."""
+    names = range(len(LABELLERS))
+    good = {p: 0.02 if BAD in p else 0.98 for p in patterns}
+    for _ in range(rounds):
+        mass = {GOOD: sum(n * good[p] for p, n in patterns.items()), BAD: sum(n * (1 - good[p]) for p, n in patterns.items())}
+        odds = {}
+        for c in (GOOD, BAD):
+            for k in names:
+                said = {v: sum(n * (good[p] if c == GOOD else 1 - good[p]) for p, n in patterns.items() if p[k] == v) for v in (GOOD, BAD)}
+                said[c] += 1.0
+                said[1 - c] += 0.5
+                odds[c, k] = {v: x / sum(said.values()) for v, x in said.items()}
+        for p in patterns:
+            like = {}
+            for c in (GOOD, BAD):
+                like[c] = (mass[c] + 1) / (sum(mass.values()) + 2)
+                for k in names:
+                    like[c] *= odds[c, k].get(p[k], 1)
+            good[p] = like[GOOD] / (like[GOOD] + like[BAD])
+    return good, [(odds[BAD, k][BAD], odds[GOOD, k][GOOD]) for k in names]
+
+
+def test_weak_labels_like_a_plain_em():
     votes = lambda t: tuple(vote(next(measures([t.encode()]))[0]) for vote in LABELLERS.values())
-    good, bad = votes(prose("en", 100, 1)), votes(junk(0, 1))
-    model = WeakLabels({good: 900, bad: 100})
-    assert BAD in bad and BAD not in good
-    import numpy as np
-
-    assert model.posterior(np.array([good, bad])).round().tolist() == [1, 0]
-    assert set(model.accuracies()) == set(LABELLERS)
-    assert WeakLabels({}).posterior(np.array([good])).shape == (1,)
+    texts = [prose("en", 8 + i % 100, i) for i in range(200)] + [junk(i % 4, i) for i in range(40)] + ["AB C!! " * 9, "| x y z w v u t s r q p", "1 2 3"]
+    patterns = Counter(map(votes, texts))
+    model = WeakLabels(patterns)
+    good, right = plain_em(patterns)
+    assert np.allclose(model.posterior(np.array(list(good))), list(good.values()))
+    assert np.allclose(list(model.accuracies().values()), right)
+    assert good[votes(junk(0, 1))] < 0.01 < 0.99 < good[votes(prose("en", 100, 1))]
+    assert WeakLabels({}).posterior(np.array([votes("x")])).shape == (1,)
+
+
+def test_weak_labels_recover_known_accuracies():
+    rng = np.random.default_rng(5)
+    n, k = 60_000, len(LABELLERS)
+    good = rng.random(n) < 0.8
+    known = {BAD: rng.uniform(0.3, 0.95, k), GOOD: rng.uniform(0.9, 0.999, k)}
+    right = rng.random((n, k)) < np.where(good[:, None], known[GOOD], known[BAD])
+    votes = np.where(right == good[:, None], GOOD, BAD)
+    votes[rng.random((n, k)) < 0.2] = ABSTAIN
+    model = WeakLabels(Counter(map(tuple, votes.tolist())))
+    found = np.array(list(model.accuracies().values()))
+    assert np.abs(found[:, 0] - known[BAD]).max() < 0.03 and np.abs(found[:, 1] - known[GOOD]).max() < 0.01
+    assert found[:, 0].max() - found[:, 0].min() > 0.3
+    assert ((model.posterior(votes) > 0.5) == good).mean() > ((votes != BAD).all(axis=1) == good).mean()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_quality_agrees_with_labels_it_has_not_seen(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").withColumnRenamed("quality", "label")
+    got = op10_quality_classifier(spark, "/root/testdata/sf0.01").join(labels, "doc_id").collect()
+    assert sum(r.kept == (r.label == 1) for r in got) >= 0.98 * len(got) and all(r.kept for r in got if r.label == 1)
+
+
+def test_repetition_that_starts_late_is_seen(spark):
+    pick = random.Random(17)
+    cycle = lambda: " ".join(f"w{pick.randrange(3000)}".replace("0", "o") for _ in range(5)) + " "
+    rich = lambda i: " ".join(prose("en", 100, 10 * i + k) for k in range(10)) + " "
+    rows = [(i, prose("en", 50 + i, i)) for i in range(300)] + [(300 + i, junk(i % 4, i)) for i in range(40)] + [(400 + i, cycle() * 40) for i in range(12)]
+    rows += [(900, rich(900) + "again " * 20_000), (901, rich(901) + cycle() * 4000), (902, rich(902) * 1 + rich(903) + rich(904))]
+    got = {r.doc_id: r for r in judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not got[900].kept and not got[901].kept and got[902].kept
 
 
 def test_few_different_words_are_seen_anywhere():
