@@ -189,11 +189,13 @@ def _units(rows: DataFrame, least: int) -> DataFrame:
 def repeated_units(docs: DataFrame, *, least: int = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, h, found)``: the units of each document that an earlier one has, in order of id (null last) and text hash."""
     all_units = _units(docs.select(*_identified(docs, id_col, text_col)), least)
+    # What occurs once goes no further. Written tables on both sides let a join split a hot digest.
+    repeated = all_units.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = checkpointed(repeated.select("d1", "d2"))
+    several = checkpointed(all_units.join(repeated, ["d1", "d2"]))
     rank = F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "h")
-    firsts = all_units.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first <> last")
-    # Written first, so that both sides of the join are shuffled for it and a hot digest can be split.
-    firsts = checkpointed(firsts.select("d1", "d2", "first"))
-    later = all_units.join(firsts, ["d1", "d2"]).where(rank != F.col("first"))
+    firsts = checkpointed(several.groupBy("d1", "d2").agg(F.min(rank).alias("first")))
+    later = several.join(firsts, ["d1", "d2"]).where(rank != F.col("first"))
     return later.groupBy("id", "h").agg(F.collect_set("unit").alias("found"))
 
 
