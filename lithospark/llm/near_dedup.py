@@ -6,12 +6,14 @@ principle any two signatures that differ in at most 31 symbols share a key; two
 sets at the threshold of 0.75 differ in 20 on average and share none with
 probability 1e-7.
 
-Links are confirmed on the full sets, in two rounds that never list the pairs
-within a bucket. First, texts of equal sets are one class, and each class is
-compared with the least class of each of its buckets. In what is then still
-more than one component, the members outside a bucket's largest component are
-dealt into blocks, and every other member of their buckets is sent once to each
-block that needs it; the comparisons happen there, and only links come out.
+Texts of equal sets are one class, with a number of its own, so that null and
+repeated ids do no harm. Links are confirmed on the full sets, in two rounds
+that never list the pairs within a bucket. First, each class is compared with
+the least class of each of its buckets. In what is then still more than one
+component, the members outside a bucket's largest component are dealt into
+blocks, and every other member of their buckets is sent once to each block that
+needs it; there it meets all members of the block at once, by an index of their
+shingles, and only links come out.
 """
 
 from __future__ import annotations
@@ -31,14 +33,12 @@ from .shingles import mix, shingle_sets, stream
 THRESHOLD = 75
 CHUNKS, CHUNK = 16, 5
 SYMBOLS = CHUNKS * CHUNK
-#: Differing symbols beyond which a pair need not be confirmed (at the threshold: 5 deviations off).
-FAR = 40
 #: Classes compared with others by one task of the second round.
 BLOCK = 256
-#: Classes that it compares them with.
+#: Classes of one home that a block's others are counted by when they are dealt in parts.
 OTHERS = 1024
-#: Ids that may be broadcast (16 bytes each).
-BROADCAST_IDS = 2_000_000
+#: Rows of ids that may be broadcast (under 100 bytes each).
+BROADCAST_IDS = 500_000
 
 _FACTORS = stream(11, SYMBOLS) | np.uint64(1)
 _KEYS = stream(12, SYMBOLS)
@@ -74,85 +74,92 @@ def digest(shingles: np.ndarray) -> tuple[int, int]:
         return tuple(int(mix(shingles ^ d).sum().astype(np.int64)) for d in _DIGESTS)
 
 
-def links_between(own: list[tuple], others: list[tuple]) -> Iterator[tuple[int, int]]:
-    """Confirmed links of members ``(id, component, set, signature)``, one at most for an own member and a component."""
-    if not own or not others:
-        return
-    near = np.stack([o[3] for o in own])
-    groups, sizes = np.array([o[1] for o in own]), np.array([len(o[2]) for o in own])
-    done = set()
-    for i, group, other, sign in others:
-        n = len(other)
-        fits = (groups != group) & (100 * np.minimum(sizes, n) >= THRESHOLD * np.maximum(sizes, n))
-        at = np.flatnonzero(fits)
-        at = at[(near[at] != sign).sum(axis=1) <= FAR]
-        for k in at.tolist():
-            if (k, group) in done:
-                continue
-            shared = len(np.intersect1d(own[k][2], other, assume_unique=True))
-            if 100 * shared >= THRESHOLD * (len(own[k][2]) + n - shared):
-                done.add((k, group))
-                yield own[k][0], i
+class Block:
+    """Members ``(class, component, set)`` and an index of their shingles."""
+
+    def __init__(self, members: list[tuple[int, int, np.ndarray]]) -> None:
+        self.classes = [m[0] for m in members]
+        self.components = np.array([m[1] for m in members], dtype=np.int64)
+        self.sizes = np.array([len(m[2]) for m in members], dtype=np.int64)
+        shingles = np.concatenate([m[2] for m in members]) if members else np.empty(0, dtype=np.uint64)
+        order = np.argsort(shingles, kind="stable")
+        self.shingles, self.owners = shingles[order], np.repeat(np.arange(len(members)), self.sizes)[order]
+        self.done: set[tuple[int, int]] = set()
+
+    def links(self, other: int, component: int, shingles: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Links of members with another class, one at most for a member and a component."""
+        low, high = (np.searchsorted(self.shingles, shingles, side=side) for side in ("left", "right"))
+        counts = high - low
+        at = np.repeat(low - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
+        shared = np.bincount(self.owners[at], minlength=len(self.sizes))
+        linked = (100 * shared >= THRESHOLD * (self.sizes + len(shingles) - shared)) & (self.components != component)
+        for k in np.flatnonzero(linked).tolist():
+            if (k, component) not in self.done:
+                self.done.add((k, component))
+                yield self.classes[k], other
+
+
+def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, h, text)``: a row's id and text hash tell it from rows with other texts."""
+    text = column(text_col)
+    return docs.select(column(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, n, d1, d2, sign)`` for each document: size and digest of its set, and its signature."""
+    """``(id, h, n, d1, d2, sign)`` for each document: size and digest of its set, and its signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             sizes, firsts, seconds, signs = [], [], [], []
-            for s in shingle_sets([(t or "").encode() for t in batch.column(1).to_pylist()]):
+            for s in shingle_sets([(t or "").encode() for t in batch.column(2).to_pylist()]):
                 d = digest(s)
                 sizes.append(len(s))
                 firsts.append(d[0])
                 seconds.append(d[1])
                 signs.append(signature(s).tobytes() if len(s) else None)
-            arrays = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()), pa.array(signs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "d1", "d2", "sign"])
+            arrays = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()), pa.array(signs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "h", "n", "d1", "d2", "sign"])
 
-    return docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text")).mapInArrow(
-        run, "id long, n long, d1 long, d2 long, sign binary"
-    )
+    return _identified(docs, id_col, text_col).mapInArrow(run, "id long, h long, n long, d1 long, d2 long, sign binary")
 
 
 def _keyed(classes: DataFrame) -> DataFrame:
-    """``(key, id)`` for each key of each class."""
+    """``(key, class)`` for each key of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             signs = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS)
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), SYMBOLS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys(signs).reshape(-1).view(np.int64)), pa.array(ids)], ["key", "id"])
+            numbers = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), SYMBOLS)
+            yield pa.RecordBatch.from_arrays([pa.array(keys(signs).reshape(-1).view(np.int64)), pa.array(numbers)], ["key", "class"])
 
-    return classes.select("id", "sign").mapInArrow(run, "key long, id long")
+    return classes.select("class", "sign").mapInArrow(run, "key long, class long")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, set, sign)`` of the documents with these ids."""
+def _sets(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(class, set)`` of the classes, from the text of each one's first document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            found = list(shingle_sets([(t or "").encode() for t in batch.column(1).to_pylist()]))
-            arrays = [batch.column(0), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())), pa.array([signature(s).tobytes() for s in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "set", "sign"])
+            found = shingle_sets([t.encode() for t in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["class", "set"])
 
-    texts = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text"))
-    made = texts.join(few(ids, "id"), "id", "left_semi").mapInArrow(run, "id long, set array<long>, sign binary")
-    # Rows that repeat an id are one document: the one with most shingles.
-    return made.groupBy("id").agg(F.max(F.struct(F.size("set").alias("n"), "set", "sign")).alias("x")).select("id", "x.set", "x.sign")
+    first = few(classes.select("class", F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h")))
+    texts = _identified(docs, id_col, text_col).join(first, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h")))
+    # Rows equal in id and text are one document.
+    return texts.groupBy("class").agg(F.first("text").alias("text")).mapInArrow(run, "class long, set array<long>")
 
 
-def few(ids: DataFrame, *names: str) -> DataFrame:
-    """The ids to join with: broadcast if they are few enough, by count."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def few(rows: DataFrame) -> DataFrame:
+    """Rows of ids to join with: broadcast if they are few enough, by count."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
 
 
 def _second_round(shared: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
     """Links ``(a, b)`` between components that still share a bucket."""
-    members = shared.join(labels, shared["id"] == labels["node"], "left").select(
-        "key", "id", F.coalesce("component", "id").alias("component")
+    members = shared.join(labels, shared["class"] == labels["node"], "left").select(
+        "key", "class", F.coalesce("component", "class").alias("component")
     )
     counts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     split = (
@@ -163,68 +170,67 @@ def _second_round(shared: DataFrame, sets: DataFrame, labels: DataFrame) -> Data
     )
     members = checkpointed(members.join(split, "key"))
     outside = members.where("component <> main")
-    # Blocks hold members of like buckets, so that they need the same others.
-    homes = outside.groupBy("id").agg(F.min("main").alias("home"))
-    sizes = homes.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-    homes = checkpointed(
-        homes.join(sizes, "home").select("id", F.xxhash64("home", F.pmod(F.xxhash64("id"), "parts")).alias("block"))
+    # Blocks hold members of like buckets, so that they need the same others; those are dealt in parts at once.
+    homes = outside.groupBy("class").agg(F.min("main").alias("home"))
+    sizes = homes.groupBy("home").agg(F.count(F.lit(1)).alias("n"))
+    homes = homes.join(sizes, "home").select(
+        "class",
+        F.xxhash64("home", F.pmod(F.xxhash64("class"), F.ceil(F.col("n") / BLOCK))).alias("block"),
+        F.ceil(F.col("n") / OTHERS).cast("int").alias("parts"),
+    )
+    homes = checkpointed(homes)
+    wanted = outside.join(homes, "class").select("key", "block", "parts").distinct()
+    needs = members.join(wanted, "key").select(
+        "block", F.pmod(F.xxhash64("class"), "parts").cast("int").alias("part"), "class", "component"
+    )
+    own = homes.join(members.select("class", "component").distinct(), "class").select(
+        "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "class", "component"
     )
-    wanted = outside.join(homes, "id").select("key", "block").distinct()
-    needs = checkpointed(members.join(wanted, "key").select("block", "id", "component").distinct())
-    # A block that needs many others meets them in parts.
-    parts = needs.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / OTHERS).cast("int").alias("parts"))
-    needs = needs.join(parts, "block").select("block", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), "id", "component")
-    own = homes.join(members.select("id", "component").distinct(), "id").join(parts, "block")
-    own = own.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "component")
     rows = (
         own.withColumn("role", F.lit(0))
-        .unionByName(needs.withColumn("role", F.lit(1)))
-        .join(sets, "id")
-        .select(F.xxhash64("block", "part").alias("block"), "role", "id", "component", "set", "sign")
+        .unionByName(needs.distinct().withColumn("role", F.lit(1)))
+        .join(sets, "class")
+        .select(F.xxhash64("block", "part").alias("block"), "role", "class", "component", "set")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, own = None, []
+        now, own, block = None, [], None
         for batch in batches:
-            out, others = [], []
+            out = []
             offsets = batch.column(4).offsets.to_numpy()
             values = batch.column(4).values.to_numpy().view(np.uint64)
-            heads = [batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5)]
-            for k, (at, role, i, component, sign) in enumerate(zip(*heads, strict=True)):
-                if at != block:
-                    out += links_between(own, others)
-                    block, own, others = at, [], []
-                member = (i, component, values[offsets[k] : offsets[k + 1]].copy(), np.frombuffer(sign, dtype=np.uint16))
-                (others if role else own).append(member)
-            out += links_between(own, others)
+            for k, (at, role, number, component) in enumerate(zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True)):
+                if at != now:
+                    now, own, block = at, [], None
+                shingles = values[offsets[k] : offsets[k + 1]]
+                if not role:
+                    own.append((number, component, shingles.copy()))
+                    continue
+                if block is None:
+                    block = Block(own)
+                out += block.links(number, component, shingles)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
     return rows.repartition("block").sortWithinPartitions("block", "role").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` for each row of ``docs``.
-
-    Texts without words, empty or null, have no shingles and are linked with
-    nothing. ``component_id`` is the least id reached; rows of one id count as
-    one document, the one with most shingles. A null id never names a component
-    and is never kept. No documents give no rows; other columns are not looked
-    at.
-    """
-    spark = docs.sparkSession
-    ship_package(spark)
+def _resolved(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, h, n, first)`` for each row: ``first`` is the first document of its component, null without words."""
+    ship_package(docs.sparkSession)
     signed = checkpointed(_signed(docs, id_col, text_col))
-    classes = signed.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.max(F.struct("n", "sign")).alias("x"))
-    classes = checkpointed(classes.select("d1", "d2", "id", "x.n", "x.sign"))
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "h")
+    classes = signed.where("n > 0").groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(F.struct("n", "sign")).alias("x"))
+    classes = classes.select(F.monotonically_increasing_id().alias("class"), "d1", "d2", "first", "x.n", "x.sign")
+    classes = checkpointed(classes)  # the numbers stay as they are written
 
     # Sets of one or two shingles reach the threshold only if they are equal.
-    keyed = _keyed(classes.where("id is not null and n > 2"))
-    buckets = keyed.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    keyed = _keyed(classes.where("n > 2"))
+    buckets = keyed.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most")
     shared = checkpointed(keyed.join(buckets.select("key", "least"), "key").distinct())
-    stars = checkpointed(shared.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct())
-    sets = checkpointed(_sets(docs, shared.select("id").distinct(), id_col, text_col))
+    stars = checkpointed(shared.where("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b")).distinct())
+    sets = checkpointed(_sets(docs, classes.join(shared.select("class").distinct(), "class"), id_col, text_col))
 
-    a, b = sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
+    a, b = sets.select(F.col("class").alias("a"), F.col("set").alias("sa")), sets.select(F.col("class").alias("b"), F.col("set").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     confirmed = (
         stars.join(a, "a").join(b, "b")
@@ -234,29 +240,59 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
     confirmed = checkpointed(confirmed)
     labels = checkpointed(components(confirmed))
-    more = checkpointed(_second_round(shared.select("key", "id"), sets, labels))
+    more = checkpointed(_second_round(shared.select("key", "class"), sets, labels))
     if not more.isEmpty():
-        labels = components(confirmed.union(more))
-
-    named = classes.select("d1", "d2", "id").join(labels, classes["id"] == labels["node"], "left")
-    named = named.select("d1", "d2", F.coalesce("component", "id").alias("component"))
-    return (
-        signed.select("id", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
-        .withColumn("component", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))
-        .select(
-            F.col("id").alias("doc_id"),
-            F.col("n").alias("n_shingles"),
-            F.col("component").alias("component_id"),
-            F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"),
-        )
-    )
+        labels = checkpointed(components(confirmed.union(more)))
+
+    linked = classes.select("class", "first").join(labels, F.col("class") == F.col("node"))
+    leaders = linked.groupBy("component").agg(F.min("first").alias("leader"))
+    named = labels.join(leaders, "component").select(F.col("node").alias("class"), "leader")
+    named = classes.select("class", "d1", "d2", "first").join(named, "class", "left")
+    named = named.select("d1", "d2", F.coalesce("leader", "first").alias("first"))
+    return signed.select("id", "h", "n", "d1", "d2").join(named, ["d1", "d2"], "left").select(
+        "id", "h", "n", F.when(F.col("n") > 0, F.col("first")).alias("first")
+    )
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)`` for each row of ``docs``.
+
+    Texts without words, empty or null, have no shingles and are linked with
+    nothing. ``component_id`` is the least id reached; a row without an id
+    links others, never names a component and is never kept, and a component
+    without ids has a null one. Rows that share an id are linked by their own
+    texts. Texts are taken whole, however long. No documents give no rows;
+    other columns are not looked at.
+    """
+    found = _resolved(docs, id_col, text_col)
+    component = F.when(F.col("n") > 0, F.col("first.id")).otherwise(F.col("id"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.col("n").alias("n_shingles"),
+        component.alias("component_id"),
+        F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"),
+    )
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group; rows without an id stay."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    gone = checkpointed(found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(few(gone, "__gone"), column(id_col).cast("long") == F.col("__gone"), "left_anti")
+    """``docs`` with one row of each group: the one of the least id (null last), then of a hash of the text.
+
+    Texts without words are no duplicates and stay.
+    """
+    own = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h"))
+    found = _resolved(docs, id_col, text_col).where("n > 0").groupBy("id", "h", own.alias("own")).agg(F.count(F.lit(1)).alias("n"))
+    found = checkpointed(found)
+    of = lambda rows: rows.select(F.col("id").alias("__id"), F.col("h").alias("__h"))
+    this = column(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(column(text_col)) == F.col("__h"))
+    left = docs.join(few(of(found.where("not own"))), this, "left_anti")
+    twice = of(found.where("own and n > 1"))
+    if twice.isEmpty():
+        return left
+    # Of rows equal in id and text, one stays.
+    twice = few(twice)
+    once = left.join(twice, this, "left_semi").withColumn("__i", column(id_col).cast("long")).withColumn("__t", F.xxhash64(column(text_col)))
+    once = once.dropDuplicates(["__i", "__t"]).drop("__i", "__t")
+    return left.join(twice, this, "left_anti").unionByName(once)
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,13 +5,14 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from lithospark.llm.components import components
 from lithospark.llm.fingerprints import Sketch, edit_likeness, fingerprints, likeness, merged, sketches
-from lithospark.llm.near_dedup import BLOCK, drop_near_duplicates, links_between, near_duplicates, signature
+from lithospark.llm.near_dedup import BLOCK, Block, drop_near_duplicates, near_duplicates, op7_minhash_near_dedup
 from lithospark.llm.shingles import Words, shingle_sets
 from lithospark.llm.substring_dedup import PASSAGE, RUN, WINDOW, _keys, drop_repeated_passages, op6_substring_dedup, units
 
@@ -91,6 +92,27 @@ def test_near_duplicates_lose_no_link(spark):
     assert all(r.n_shingles == len(sets[r.doc_id]) and r.kept == (want[r.doc_id] == r.doc_id) for r in got)
 
 
+def test_null_and_repeated_ids_link(spark):
+    pick = random.Random(18)
+    text = random_text(pick, 90).split()
+    chain = [" ".join(text[k : k + 70]) for k in (0, 5, 10, 15, 20)]  # each is linked to its neighbours alone
+    other = random_text(pick, 60)
+    rows = [(5, chain[0]), (None, chain[1]), (9, chain[2]), (9, other), (9, chain[3]), (7, chain[4]), (3, other), (9, other), (None, "w x y z"), (None, "w x y z"), (None, "w x y z v")]
+    df = spark.createDataFrame([(*r, "extra") for r in rows], "doc_id long, text string, first string")
+    sets = [shingles(t) for _, t in rows]
+    linked = [(i, j) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    groups = roots(range(len(rows)), linked)
+    want = Counter()
+    for k, (i, _) in enumerate(rows):
+        ids = [rows[m][0] for m in groups if groups[m] == groups[k] and rows[m][0] is not None]
+        want[i, len(sets[k]), min(ids, default=None), bool(ids) and i == min(ids)] += 1
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df).collect())
+    assert got == want and (None, 66, 5, False) in got and (None, 1, None, False) in got
+    left = drop_near_duplicates(df)
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(5, chain[0]), (3, other), (None, "w x y z"), (None, "w x y z v")], key=str)
+    assert left.columns == df.columns
+
+
 def test_near_duplicates_stand_odd_cases(docs, rows, none):
     got = near_duplicates(docs).collect()
     assert len(got) == len(rows)
@@ -100,15 +122,24 @@ def test_near_duplicates_stand_odd_cases(docs, rows, none):
     assert near_duplicates(none).count() == 0 and drop_near_duplicates(none).count() == 0
     left = drop_near_duplicates(docs)
     assert left.columns == docs.columns and 63 not in {r.doc_id for r in left.collect()} and left.where("doc_id is null").count() == 1
+    assert left.where("doc_id = 64").count() == 1 and left.where("doc_id in (60, 61, 62)").count() == 3
+
+
+def test_op7(spark, folder, rows):
+    got = op7_minhash_near_dedup(spark, folder)
+    assert got.dtypes == [("doc_id", "bigint"), ("n_shingles", "bigint"), ("component_id", "bigint"), ("kept", "boolean")]
+    assert got.count() == len(rows)
 
 
 def test_blocks_find_what_a_plain_loop_finds():
     pick = random.Random(5)
     texts = family(pick, random_text(pick, 150), BLOCK // 8, 30)
-    members = [(i, i, s, signature(s)) for i, s in enumerate(shingle_sets([t.encode() for t in texts]))]
-    got = {frozenset(x) for x in links_between(members, members)}
+    members = [(i, i, s) for i, s in enumerate(shingle_sets([t.encode() for t in texts]))]
+    block = Block(members)
+    got = {frozenset(x) for m in members for x in block.links(*m)}
     sets = [shingles(t) for t in texts]
     assert got == {frozenset((i, j)) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert list(Block([]).links(1, 1, members[0][2])) == []
 
 
 def test_sketches_estimate_containment():
