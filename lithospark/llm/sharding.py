@@ -1,9 +1,10 @@
 """Sharding by a two-pass external shuffle.
 
-Pass 1 scatters rows uniformly over memory-sized buckets by a seeded hash; pass
-2 permutes each bucket in memory (Spark's ``shuffle`` is a Fisher-Yates
-shuffle). The buckets laid end to end are one random order of the whole table,
-which is cut into shards of equal counts. DataFrame functions only.
+Pass 1 scatters rows uniformly over memory-sized buckets by a seeded hash of
+their id and text; pass 2 puts each bucket in the order of a Fisher-Yates
+permutation (Spark's ``shuffle``) of its places. The buckets laid end to end
+are one random order of the whole table, which is cut into shards of equal
+counts. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -13,22 +14,41 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, table, without
-
-#: Buckets at most; the offsets of so many are a broadcast of 24 MB.
-MAX_BUCKETS = 1_000_000
+from .common import checkpointed, column, table, without
 
+#: Buckets at most. Beyond that (64 TB of text with the usual size) buckets grow; rows are sorted on disk, and only the
+#: permutation of a bucket's places, 4 bytes a row, is held in memory.
+MAX_BUCKETS = 1 << 20
+#: Buckets that share a partition of the shuffle, and the most partitions.
+BUCKETS_EACH, MAX_PARTITIONS = 4, 20_000
+#: A row with more copies than this that make more than this share of a table is spread over buckets copy by copy.
+COPIES, FREQUENT = 10_000, 1e-4
 
 def text_bytes(text: Column) -> Column:
     """UTF-8 bytes of the text (null: none) plus 1."""
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
+def _spread(docs: DataFrame, order: Column, rows: int) -> Column:
+    """``order`` for most rows, another value for each copy of a row that is frequent.
+
+    One pass keeps count of ``1 / FREQUENT`` candidates, none of the frequent
+    ones missing; a second one counts those exactly.
+    """
+    if rows <= COPIES:
+        return order
+    hashed = docs.select(order.alias("order"))
+    likely = hashed.freqItems(["order"], FREQUENT).first()[0]
+    counted = hashed.where(F.col("order").isin(likely)).groupBy("order").agg(F.count(F.lit(1)).alias("n"))
+    often = [r.order for r in counted.where(F.col("n") > max(COPIES, FREQUENT * rows)).collect()]
+    return F.when(order.isin(often), F.xxhash64(order, F.monotonically_increasing_id())).otherwise(order) if often else order
+
+
 def shard(
     docs: DataFrame,
     *,
     shards: int = 16,
-    bucket_bytes: int = 16 << 20,
+    bucket_bytes: int = 64 << 20,
     seed: int = 20240607,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -36,44 +56,44 @@ def shard(
     """``docs`` with ``shard`` (0 to ``shards`` - 1) and ``slot`` (gapless from 0).
 
     The law is ``rows``: the counts of any two shards differ by one at most.
-    The hash takes the row's place in the scan besides its id, so repeated
-    ids, null ids and copies spread like any other rows. Null and empty texts
-    are rows like others; an empty table gives no rows. Input columns named
-    ``shard`` or ``slot`` give way to the new ones; all others are kept.
+    A row's place depends on the seed and on the ids and texts of the table,
+    not on its files. Rows equal in id and text are interchangeable; very many
+    of them (``COPIES``, ``FREQUENT``) are told apart by their place in the
+    scan, so that no bucket gets them all. Null ids, null and empty texts and
+    texts of any length are rows like others; an empty table gives no rows.
+    Input columns named ``shard`` or ``slot`` give way to the new ones; all
+    others are kept.
     """
     docs = without(docs, "shard", "slot")
-    total = docs.agg(F.sum(text_bytes(column(text_col)))).first()[0] or 0
-    buckets = min(max(4 * shards, math.ceil(total / bucket_bytes)), MAX_BUCKETS)
-
-    order = F.xxhash64(F.lit(seed), column(id_col), F.monotonically_increasing_id())
-    row = F.struct(*[column(c) for c in docs.columns])
-    scattered = docs.select(order.alias("__order"), row.alias("__row")).select(
-        F.pmod(F.xxhash64(F.lit(seed + 1), F.col("__order")), F.lit(buckets)).cast("int").alias("__bucket"),
-        F.struct("__order", "__row").alias("__item"),
-    )
-    gathered = (
-        scattered.repartition(buckets, "__bucket")
-        .groupBy("__bucket")
-        .agg(F.collect_list("__item").alias("__items"))
-    )
-
-    # Both branches read the one exchange above, so counts and rows agree.
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = gathered.select("__bucket", F.size("__items").cast("long").alias("__n")).select(
-        "__bucket",
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"),
-        F.sum("__n").over(Window.partitionBy()).alias("__all"),
+    total, rows = docs.agg(F.sum(text_bytes(column(text_col))), F.count(F.lit(1))).first()
+    buckets = min(max(16 * shards, math.ceil((total or 0) / bucket_bytes)), MAX_BUCKETS)
+    partitions = min(math.ceil(buckets / BUCKETS_EACH), MAX_PARTITIONS)
+
+    order = _spread(docs, F.xxhash64(F.lit(seed), column(id_col), column(text_col)), rows)
+    bucket = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("__order")), F.lit(buckets)).cast("int")
+    part = F.pmod(F.col("__bucket"), F.lit(partitions)).cast("int")
+    keyed = docs.select("*", order.alias("__order")).withColumn("__bucket", bucket).withColumn("__part", part)
+    sizes = checkpointed(keyed.groupBy("__part", "__bucket").agg(F.count(F.lit(1)).alias("__n")))
+
+    # Where a bucket begins: rows of the parts before its own, then of the buckets before it in its part.
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = sizes.groupBy("__part").agg(F.sum("__n").alias("__rows"))
+    before = F.coalesce(F.sum("__rows").over(earlier(Window.orderBy("__part"))), F.lit(0))
+    parts = parts.select("__part", before.alias("__before"), F.sum("__rows").over(Window.partitionBy()).alias("__all"))
+    inside = F.coalesce(F.sum("__n").over(earlier(Window.partitionBy("__part").orderBy("__bucket"))), F.lit(0))
+    starts = sizes.join(F.broadcast(parts), "__part").select(
+        "__part", "__bucket", "__n", (F.col("__before") + inside).alias("__start"), "__all"
     )
 
-    # Sorted first, the permutation depends on the seed alone and not on arrival.
-    by_order = F.array_sort(
-        "__items", lambda a, b: F.when(a["__order"] < b["__order"], -1).when(a["__order"] > b["__order"], 1).otherwise(0)
-    )
+    # ``shuffle`` draws from one stream a partition, so partitions and the order in them are fixed.
+    permuted = starts.repartitionById(partitions, "__part").sortWithinPartitions("__part", "__bucket")
+    permuted = permuted.withColumn("__places", F.shuffle(F.sequence(F.lit(1), F.col("__n").cast("int")), seed))
+    scattered = keyed.repartitionById(partitions, "__part")
+    within = Window.partitionBy("__part", "__bucket").orderBy("__order", column(id_col), F.crc32(column(text_col)))
     placed = (
-        gathered.select("__bucket", F.shuffle(by_order, seed).alias("__items"))
-        .join(F.broadcast(starts), "__bucket")
-        .select("__start", "__all", F.posexplode("__items").alias("__pos", "__item"))
-        .select((F.col("__start") + F.col("__pos")).alias("__at"), "__all", "__item")
+        scattered.withColumn("__row", F.row_number().over(within))
+        .join(permuted.hint("merge"), ["__part", "__bucket"])
+        .withColumn("__at", F.col("__start") + F.element_at("__places", F.col("__row")) - 1)
     )
 
     few, extra = F.expr(f"__all div {shards}"), F.col("__all") % shards
@@ -83,9 +103,7 @@ def shard(
     )
     first = number * few + F.least(number, extra)
     return placed.select(
-        *[F.col("__item")["__row"].getField(c).alias(c) for c in docs.columns],
-        number.cast("int").alias("shard"),
-        (F.col("__at") - first).cast("long").alias("slot"),
+        *[column(c) for c in docs.columns], number.cast("int").alias("shard"), (F.col("__at") - first).cast("long").alias("slot")
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
 
 from lithospark.llm.mixing import materialise, mix, op3_mixing
@@ -29,6 +30,27 @@ def test_shards_repeat_and_depend_on_the_seed(docs):
     assert order(1) != sorted(order(1), key=lambda x: (x is None, x))
 
 
+def test_shards_do_not_depend_on_files(docs):
+    placed = lambda df: sorted((str(r.doc_id), str(r.text), r["shard"], r.slot) for r in shard(df, shards=5, bucket_bytes=3000).collect())
+    assert placed(docs) == placed(docs.repartition(7)) == placed(docs.orderBy("text").coalesce(1))
+
+
+def test_copies_of_one_row_are_spread(spark, monkeypatch):
+    from lithospark.llm import sharding
+
+    monkeypatch.setattr(sharding, "COPIES", 100)
+    rows = [(7, "same")] * 1000 + [(None, None)] * 500 + [(k, f"text {k}") for k in range(1500)]
+    got = shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), shards=3).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
+    by = defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r)
+    assert all(sorted(r.slot for r in s) == list(range(1000)) for s in by.values())
+    # Uniform in the shards, and within them.
+    assert all(abs(sum(r.doc_id == 7 for r in s) - 333) < 80 for s in by.values())
+    assert all(abs(sum(r.doc_id == 7 for r in s if r.slot < 500) - sum(r.doc_id == 7 for r in s) / 2) < 60 for s in by.values())
+
+
 def test_more_shards_than_rows_and_no_rows(docs, none):
     assert shard(docs.limit(3), shards=5).select("shard").distinct().count() == 3
     assert shard(none).count() == 0
@@ -39,10 +61,14 @@ def test_shards_are_written(docs, spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
 
 
-def test_op1(spark, folder):
+def test_op1(spark, folder, rows):
     got = op1_sharding(spark, folder)
     assert got.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     null = got.where("doc_id = 60").first()
+    texts = Counter((r[0], r[1]) for r in rows)
+    want = Counter({(i, 1 + len((t or "").encode()), None if t is None else zlib.crc32(t.encode())): n for (i, t), n in texts.items()})
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got.collect()) == want
+    assert {(r.law, r.grown_shard) for r in got.collect()} == {("rows", None)}
     assert null["size"] == 1 and null.text_crc32 is None and got.where("doc_id = 61").first()["size"] == 1
 
 
