@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pytest
 
-from lithospark.llm.urls import SOFT, SOFT_HITS, STRICT, filter_urls, rejects
+from lithospark.llm.urls import SOFT, STRICT, Vocabulary, filter_urls, op8_url_filters, read_vocabulary
 from lithospark.llm.vectors import nearest_neighbours
 
 URLS = {
-    None: ("", "", None, "allow"), "": ("", "", None, "allow"), "no scheme/casino": ("", "", None, "allow"),
+    None: ("", "", None, "allow"), "": ("", "", None, "allow"), "no scheme/casino": ("", "", None, "block"), "no scheme/xcasino": ("", "", None, "allow"),
+    "https://a.example.com/search?q=Porn": ("a.example.com", "/search", None, "block"), "http://a.com/go#to=casino": ("a.com", "/go", None, "block"),
+    "casino://a.com/": ("a.com", "/", None, "allow"), "http://a.com/?u=http://free/bets": ("a.com", "/", None, "block"), "http://a.com/" + "y" * 200_000 + "?spam": ("a.com", "/" + "y" * 200_000, None, "block"),
     "http://A.Example.NET/en/x?q#f": ("a.example.net", "/en/x", "example.net/en/", "allow"),
     "https://example.net/EN/": ("example.net", "/EN/", "net/", "block"), "http://x.net": ("x.net", "", None, "allow"),
     "http://notexample.com/de/": ("notexample.com", "/de/", None, "allow"), "http://b.example.com/de/1": ("b.example.com", "/de/1", "example.com/de/", "block"),
@@ -31,11 +35,53 @@ def test_rejects_like_a_plain_search():
     import random
     import re
 
-    pick = random.Random(1)
+    pick, own = random.Random(1), Vocabulary()
     for _ in range(2000):
         text = "".join(pick.choice([*STRICT, *SOFT, "a", "-", "/", ".", "1", "é"]) for _ in range(pick.randrange(6)))
         hit = lambda terms: {t for t in terms if re.search(rf"(?<![^\W_]){re.escape(t)}(?![^\W_])", text)}  # noqa: B023, E731
-        assert rejects(text, STRICT, SOFT, SOFT_HITS) == bool(hit(STRICT) or len(hit(SOFT)) >= SOFT_HITS), text
+        assert own.rejects(text) == bool(hit(STRICT) or len(hit(SOFT)) >= own.soft_hits), text
+
+
+def test_of_equally_long_rules_the_later_wins(spark):
+    rows = spark.createDataFrame([("http://a.bc/d/e",), ("http://x.a.bc/d/e",)], "url string")
+    for rules in ([("a.bc", "/d/", "block"), ("bc", "/d/e", "allow")], [("bc", "/d/e", "allow"), ("a.bc", "/d/", "block")]):
+        longest = max(rules, key=lambda r: len(r[0] + r[1]))
+        assert {r.verdict for r in filter_urls(rows, rules=rules).collect()} == {longest[2]}
+    for rules in ([("a.bc", "/d", "block"), ("bc", "/d/e", "allow")], [("bc", "/d/e", "allow"), ("a.bc", "/d", "block")]):
+        assert {(r.rule, r.verdict) for r in filter_urls(rows, rules=rules).collect()} == {(rules[1][0] + rules[1][1], rules[1][2])}
+
+
+def test_a_large_vocabulary_from_a_file(spark, tmp_path):
+    import pickle
+    import time
+
+    terms = [f"Term{k}x" for k in range(100_000)]
+    (tmp_path / "terms.tsv").write_text("".join(f"{t}\t{'soft' if k % 2 else 'strict'}\n" for k, t in enumerate(terms)) + "\n")
+    own = read_vocabulary(spark, str(tmp_path / "terms.tsv"))
+    urls = spark.createDataFrame([("http://a.com/term0x",), ("http://a.com/term1x",), ("http://a.com/term1x?term3x",), ("http://a.com/aterm0x",)], "url string")
+    assert [r.verdict for r in filter_urls(urls, vocabulary=own).collect()] == ["block", "allow", "block", "allow"]
+    sent, few = pickle.loads(pickle.dumps(own)), Vocabulary()
+
+    def took(v):
+        v.rejects("warm up")
+        best = []
+        for _ in range(5):
+            start = time.perf_counter()
+            for k in range(5000):
+                v.rejects(f"a.example.com/some/path/{k}")
+            best.append(time.perf_counter() - start)
+        return min(best)
+
+    assert sent.strict == own.strict and took(sent) < 3 * took(few)
+    (tmp_path / "bad.tsv").write_text("word\tloud\n")
+    with pytest.raises(ValueError, match="not a term"):
+        read_vocabulary(spark, str(tmp_path / "bad.tsv"))
+    assert [r.verdict for r in filter_urls(urls, vocabulary=Vocabulary([], [])).collect()] == ["allow"] * 4
+
+
+def test_op8(spark):
+    got = op8_url_filters(spark, "/root/testdata/sf0.001") if os.path.isdir("/root/testdata/sf0.001") else pytest.skip("no test tables")
+    assert got.columns == ["page_id", "host", "path", "rule", "verdict"]
 
 
 @pytest.fixture(scope="module")
