@@ -1,7 +1,7 @@
 """Mixing sources to target weights.
 
-Each document gets a hash-random key. Keys are cut into fixed ranges within
-each source; sums by range, added up over the ranges, and a running sum inside
+Each document gets a hash-random key. Keys are cut into ranges of about as many
+rows within each source; sums by range, added up over the ranges, and a running sum inside
 each range give every document the exact count of tokens before it in its
 source's order. The cut falls at the source's exact budget, after as many whole
 epochs as the budget holds.
@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import WORD, checkpointed, column, table, without, word_count
 
-#: Key ranges within a source; each is sorted by one task.
-RANGES = 4096
+#: Rows of a key range, about, were all rows of one source; each range is sorted by one task.
+RANGE_ROWS = 20_000
+#: Key ranges within a source, at least.
+LEAST_RANGES = 64
 #: Rows of a table of sources that may be broadcast (under 100 bytes each).
 BROADCAST_SOURCES = 10_000
 
@@ -41,11 +43,13 @@ def mix(
     share ``share`` of all words; none passes ``most_epochs`` times its source,
     the excess going to the others by weight. ``taken`` counts a document's
     words in the mix, repeats included; the one document at a source's cut may
-    be taken in part. Null and empty texts have size 0 and take nothing. Rows
-    equal in id, text and source are interchangeable. An empty table gives no
-    rows. Input columns named like an added one give way to it.
+    be taken in part. Null and empty texts have size 0 and take nothing; texts
+    are counted whole, however long. Rows equal in id, text and source are
+    interchangeable, and fall in one range. An empty table gives no rows. Input
+    columns named like an added one give way to it.
     """
     docs = without(docs, *ADDED)
+    parts = max(LEAST_RANGES, -(-docs.count() // RANGE_ROWS))
     keyed = docs.select(
         *[column(c) for c in docs.columns],
         word_count(column(text_col)).alias("size"),
@@ -55,7 +59,7 @@ def mix(
         .cast("long")
         .alias("__key"),
     )
-    span = (1 << 60) // RANGES
+    span = (1 << 60) // parts
     keyed = keyed.withColumn("__range", F.expr(f"__key div {span}").cast("int"))
 
     ranges = checkpointed(
@@ -95,7 +99,7 @@ def mix(
 
 
 def _targets(ranges: DataFrame, weights: Sequence[int], share: float, most_epochs: int) -> DataFrame:
-    """A row for each source: its rank, size and target.
+    """A row for each source: its rank, size and target. One task ranks them: they are as many as sources, not as rows.
 
     The level is what a unit of weight gets once all capped sources are set
     aside. Ordered by cap over weight, the capped ones come first, and the
