@@ -1,12 +1,16 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
-A sketch retains every shingle hash below a fixed fraction of the hash range,
-so sketches of texts of any lengths meet on common ground: the share of the
-smaller one's hashes that the other has estimates containment, and the union of
-two sketches is the sketch of both texts. A text with too few hashes below the
-threshold keeps its smallest ones instead, a small text all of them; each
-sketch says below what value it is complete, and two are compared below the
-lesser of their values.
+A sketch retains every shingle hash below a threshold: a fixed fraction of the
+hash range, or the text's 64th smallest hash if that is higher, so that small
+texts keep enough and those of 64 shingles or fewer keep all. Each sketch says
+its threshold, two are compared below the lesser one, and the union of two
+sketches, cut by the same rule, is the sketch of both texts.
+
+The estimate is the share of the smaller sketch's hashes below the common
+threshold that the other has: of m such hashes, a share c is met with a standard
+error of sqrt(c (1 - c) / m). A text of n shingles has about n / 8 hashes to
+meet a much longer one by, so a very small one may have none: then there is no
+estimate (null).
 """
 
 from __future__ import annotations
@@ -66,13 +70,18 @@ class Sketch:
         both = np.union1d(self.hashes, other.hashes)
         return self._cut(both[both < below], below)
 
-    def likeness(self, other: Sketch) -> float:
-        """Estimated share of the smaller set that the larger has; of two empty sets 1."""
+    def likeness(self, other: Sketch) -> float | None:
+        """Estimated share of the smaller set that the larger has; none if no hash of either can tell.
+
+        Of two empty sets it is 1, of an empty one and another 0.
+        """
+        if not len(self.hashes) or not len(other.hashes):
+            return float(len(self.hashes) == len(other.hashes))
         below = min(self.below, other.below)
         a, b = (h[: np.searchsorted(h, below)] for h in (self.hashes, other.hashes))
-        if not len(a) or not len(b):
-            return float(not len(self.hashes) and not len(other.hashes))
-        return len(np.intersect1d(a, b, assume_unique=True)) / min(len(a), len(b))
+        # A sketch with few hashes in all is the smaller set, even if it has none below the threshold.
+        least = min((a, b), key=len)
+        return len(np.intersect1d(a, b, assume_unique=True)) / len(least) if len(least) else None
 
     def __str__(self) -> str:
         packed = self.hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - BITS // 8 :]
@@ -92,7 +101,11 @@ def sketches(texts: list[str]) -> list[Sketch]:
 
 
 def fingerprints(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with the ``fingerprint`` of each text; a null text counts as empty."""
+    """``docs`` with the ``fingerprint`` of each text, taken whole; a null text counts as empty.
+
+    An input column ``fingerprint`` gives way; repeated rows and an empty table
+    are as any other.
+    """
     ship_package(docs.sparkSession)
 
     @F.pandas_udf("string")
@@ -104,11 +117,11 @@ def fingerprints(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Likeness of two fingerprints, from their strings."""
+    """Likeness of two fingerprints, from their strings; null where they give no estimate."""
 
     @F.pandas_udf("double")
     def compared(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([Sketch.parse(x).likeness(Sketch.parse(y)) for x, y in zip(a, b, strict=True)], dtype=float)
+        return pd.Series([Sketch.parse(x).likeness(Sketch.parse(y)) for x, y in zip(a, b, strict=True)], dtype=object)
 
     return compared(a, b)
 
@@ -167,7 +180,7 @@ def in_descending_blocks(docs: DataFrame, *, id_col: str, text_col: str, block_b
     return (
         rows.withColumn("place", F.explode(places("id", "hash")))
         .withColumns({"block": F.when(place < 0, F.bitwise_not(place)).otherwise(place), "tail": place < 0})
-        .repartition(blocks, "block")
+        .repartitionById(len(starts) + 1, "block")
         .sortWithinPartitions("block", "tail", F.col("id").desc_nulls_last(), F.col("hash").desc())
         .select("id", "text", "block", "tail")
     )
@@ -179,8 +192,9 @@ def edit_likeness(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     The next document is the one of the next lower id (after the last: the
     first); of one id, by a hash of the text. A null text counts as empty; a
     null id comes last. Two texts without words have likeness 1, one with and
-    one without have 0. A single document is its own next; no documents give
-    no rows.
+    one without have 0, and so have two whose fingerprints give no estimate.
+    Texts are taken whole, however long; other columns are not looked at. A
+    single document is its own next; no documents give no rows.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -199,7 +213,7 @@ def edit_likeness(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             out = []
             for (own, _, following), new, sketch in zip(pairs, changed, sketches(changed), strict=True):
                 digest = hashlib.sha256(new.encode()).hexdigest()
-                out.append((own[0], len(own[1]), digest, str(own[2]), str(sketch), own[2].likeness(sketch), own[2].likeness(following)))
+                out.append((own[0], len(own[1]), digest, str(own[2]), str(sketch), own[2].likeness(sketch) or 0.0, own[2].likeness(following) or 0.0))
             if out:
                 kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2]
                 names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]

@@ -9,9 +9,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lithospark.llm.components import components
-from lithospark.llm.fingerprints import Sketch, edit_likeness, fingerprints, likeness, merged, sketches
+from lithospark.llm.fingerprints import _TOP, SCALE, Sketch, edit_likeness, fingerprints, likeness, merged, op4_fingerprints, sketches
 from lithospark.llm.near_dedup import BLOCK, Block, drop_near_duplicates, near_duplicates, op7_minhash_near_dedup
 from lithospark.llm.shingles import Words, shingle_sets
 from lithospark.llm.substring_dedup import PASSAGE, RUN, WINDOW, _keys, drop_repeated_passages, op6_substring_dedup, units
@@ -154,11 +155,39 @@ def test_sketches_estimate_containment():
     assert empty.likeness(empty) == 1 and empty.likeness(other) == 0
 
 
+@pytest.mark.parametrize("n", [1, 3, 5, 20, 64, 65, 200, 500, 1000, 4000, 10_000])
+def test_containment_between_unequal_texts_and_its_error(n):
+    pick = random.Random(n)
+    trials = 120 if n <= 1000 else 12
+    off, allowed, missed, expected = [], [], 0, 0.0
+    for _ in range(trials):
+        large = np.array([pick.getrandbits(64) for _ in range(10_000)], dtype=np.uint64)
+        share = pick.choice([0.0, 0.3, 0.8, 1.0])
+        inside = round(share * n)
+        small = np.concatenate((large[:inside], np.array([pick.getrandbits(64) for _ in range(n - inside)], dtype=np.uint64)))
+        found = Sketch.of(small).likeness(Sketch.of(large))
+        expected += (1 - 1 / SCALE) ** n
+        if found is None:
+            missed += 1
+            continue
+        assert share not in (0.0, 1.0) or found == share
+        off.append(found - inside / n)
+        allowed.append(share * (1 - share) / max(1, n / SCALE))
+    # No estimate only where no hash of the small text is below the common threshold, which is known beforehand.
+    assert abs(missed - expected) <= 4 * np.sqrt(expected) + 1
+    assert abs(np.sum(off)) <= 5 * np.sqrt(np.sum(allowed)) + 1e-9
+    if n >= 64:
+        assert np.mean(np.square(off)) <= 2.5 * np.mean(allowed) + 1e-9
+
+
 def test_fingerprints_as_columns(docs, none):
     got = fingerprints(docs).cache()
     assert got.where("doc_id = 5").first().fingerprint == got.where("doc_id = 63").first().fingerprint
     row = got.where("doc_id = 5").select(likeness(got.fingerprint, got.fingerprint), merged(got.fingerprint, got.fingerprint) == got.fingerprint).first()
     assert tuple(row) == (1, True)
+    tiny, huge = (got.where(f"doc_id = {i}").first().fingerprint for i in (64, 5))
+    unknown = got.limit(1).select(likeness(F.lit(str(Sketch(np.array([_TOP - 1]), _TOP))), F.lit(str(Sketch(np.arange(64), _TOP // 8)))).alias("x"))
+    assert unknown.first().x is None and tiny != huge
     assert fingerprints(none).count() == 0
 
 
@@ -173,7 +202,7 @@ def test_edits_take_the_next_document(spark, none):
         new = text[: len(text) - half] + following[:half]
         assert got[i].n_chars == len(text) and got[i].edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
         a, b, c = sketches([text, new, following])
-        assert (got[i].near_edited, got[i].near_next) == (a.likeness(b), a.likeness(c))
+        assert (got[i].near_edited, got[i].near_next) == (a.likeness(b) or 0, a.likeness(c) or 0)
     assert edit_likeness(none).count() == 0
     assert edit_likeness(spark.createDataFrame([(1, "a b")], "doc_id long, text string")).first().near_next == 1
 
@@ -182,6 +211,15 @@ def test_edits_stand_odd_cases(docs, rows):
     assert edit_likeness(docs).count() == len(rows)
 
 
+def test_op4(spark, folder, rows):
+    got = op4_fingerprints(spark, folder)
+    assert [c for c, _ in got.dtypes] == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    found = got.collect()
+    assert len(found) == len(rows) and all(0 <= x <= 1 for r in found for x in (r.near_edited, r.near_next))
+    by = {r.doc_id: r for r in found}
+    assert by[5].fingerprint == by[63].fingerprint and by[60].n_chars == 0 and by[65].n_chars == 150_000
+
+
 def test_repeated_passages_go_once_kept(spark):
     pick = random.Random(8)
     passage = " ".join(random_text(pick, 9) + "." for _ in range(6))
