@@ -17,16 +17,17 @@ from pyspark.sql import functions as F
 
 from .common import column, ship_package, table
 
-#: Vectors in a shard, about.
-SHARD_ROWS = 4096
+#: Vectors in a shard, about: 350 bytes each with 64 numbers. A table of fewer than ``SPREAD`` such shards has as many
+#: smaller ones, of ``LEAST_ROWS`` at least, so that it is built in parallel.
+SHARD_ROWS, SPREAD, LEAST_ROWS = 65_536, 16, 4096
 #: Queries that one task searches a shard for.
 QUERY_ROWS = 16_384
 #: Edges out of a vector; candidates that a search keeps while building; the beam of a query.
 DEGREE, BUILD_BEAM, BEAM = 24, 48, 64
 #: An edge is dropped if a kept one is nearer to its end by this factor (of squared distances).
 RELAX = 1.44
-#: Searches that advance together.
-TOGETHER = 256
+#: Searches that advance together, and nodes that each opens at once.
+TOGETHER, OPENED = 256, 4
 
 
 class Graph:
@@ -54,7 +55,7 @@ class Graph:
 
     def _distances(self, at: np.ndarray, others: np.ndarray) -> np.ndarray:
         """Squared distances of each vector to its row of others; no other is infinitely far."""
-        far = 2 - 2 * np.einsum("bcd,bd->bc", self.unit[others], at)
+        far = 2 - 2 * np.matmul(self.unit[others], at[:, :, None])[:, :, 0]
         far[others < 0] = np.inf
         return far
 
@@ -70,13 +71,16 @@ class Graph:
         met = np.zeros((n, len(self.unit)), dtype=bool)
         met[:, self.entry] = True
         live = rows
+        opened = min(OPENED, width)
         while len(live):
-            first = np.where(open_[live], far[live], np.inf).argmin(axis=1)
-            here = beam[live, first]
-            open_[live, first] = False
-            around = self.edges[here]
+            waiting = np.where(open_[live], far[live], np.inf)
+            first = np.argpartition(waiting, opened - 1, axis=1)[:, :opened]
+            ready = np.take_along_axis(open_[live], first, axis=1)
+            here = np.take_along_axis(beam[live], first, axis=1)
+            open_[live[:, None], first] = False
+            around = np.where(ready[:, :, None], self.edges[here], -1).reshape(len(live), -1)
             ahead = np.where(met[live[:, None], around], -1, around)
-            met[live[:, None], around] = True
+            met[live[:, None], np.where(around < 0, self.entry, around)] = True
             ahead.sort(axis=1)
             ahead[:, 1:][ahead[:, 1:] == ahead[:, :-1]] = -1
             dist = self._distances(queries[live], ahead)
@@ -95,6 +99,7 @@ class Graph:
         others = np.where(others == at[:, None], -1, others)
         far = self._distances(self.unit[at], others)
         near = self.unit[others]
+        between = 2 - 2 * np.matmul(near, near.transpose(0, 2, 1))
         kept = np.full((len(at), DEGREE), -1, dtype=np.int32)
         rows = np.arange(len(at))
         for k in range(DEGREE):
@@ -103,8 +108,7 @@ class Graph:
             if not good.any():
                 break
             kept[good, k] = others[rows, best][good]
-            between = 2 - 2 * np.einsum("bcd,bd->bc", near, near[rows, best])
-            far[(RELAX * between <= far) & good[:, None]] = np.inf
+            far[(RELAX * between[rows, best] <= far) & good[:, None]] = np.inf
             far[rows[good], best[good]] = np.inf
         return kept
 
@@ -139,43 +143,47 @@ class Graph:
 
 
 class Shard:
-    """Rows of one shard; equal directions are one vector of the graph."""
+    """Different rows of one shard and how often each occurs; equal directions are one vector of the graph."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, groups: np.ndarray, graph: Graph) -> None:
-        self.ids, self.vectors, self.groups, self.graph = ids, vectors, groups, graph
-        order = np.lexsort((ids, groups))
-        self.members = np.split(order, np.searchsorted(groups[order], np.arange(1, len(graph.unit))))
+    def __init__(self, ids: np.ndarray, counts: np.ndarray, vectors: np.ndarray, groups: np.ndarray, graph: Graph) -> None:
+        self.ids, self.counts, self.vectors, self.groups, self.graph = ids, counts, vectors, groups, graph
+        self.order = np.argsort(groups, kind="stable")
+        self.starts = np.searchsorted(groups[self.order], np.arange(len(graph.unit) + 1))
+        self.lengths = np.sqrt((vectors * vectors).sum(axis=1))
 
     @classmethod
-    def build(cls, ids: np.ndarray, vectors: np.ndarray) -> Shard:
+    def build(cls, ids: np.ndarray, counts: np.ndarray, vectors: np.ndarray) -> Shard:
         unit = _unit(vectors)
         _, first, groups = np.unique(unit, axis=0, return_index=True, return_inverse=True)
-        return cls(ids, vectors, groups.ravel(), Graph.build(unit[first]))
+        return cls(ids, counts, vectors, groups.ravel(), Graph.build(unit[first]))
 
     def dumps(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, ids=self.ids, vectors=self.vectors, groups=self.groups, unit=self.graph.unit, edges=self.graph.edges, entry=self.graph.entry)
+        np.savez(out, ids=self.ids, counts=self.counts, vectors=self.vectors, groups=self.groups, unit=self.graph.unit, edges=self.graph.edges, entry=self.graph.entry)
         return out.getvalue()
 
     @classmethod
     def loads(cls, data: bytes) -> Shard:
         read = np.load(io.BytesIO(data))
-        return cls(read["ids"], read["vectors"], read["groups"], Graph(read["unit"], read["edges"], int(read["entry"])))
+        return cls(read["ids"], read["counts"], read["vectors"], read["groups"], Graph(read["unit"], read["edges"], int(read["entry"])))
 
-    def nearest(self, ids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
-        """The k nearest rows found for each query, itself left out, by exact cosine."""
+    def nearest(self, numbers: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
+        """The k nearest rows of all that the beam of each query holds, its own row left out, by exact cosine."""
         out = []
         width = min(max(BEAM, 2 * k), max(1, len(self.graph.unit)))
-        lengths = np.linalg.norm(self.vectors, axis=1)
         for i in range(0, len(ids), TOGETHER):
             found, _ = self.graph.search(_unit(queries[i : i + TOGETHER]), width)
-            for own, query, nodes in zip(ids[i : i + TOGETHER].tolist(), queries[i : i + TOGETHER], found, strict=True):
-                rows = np.concatenate([self.members[g][: k + 1] for g in nodes[nodes >= 0][: k + 1 + BEAM // 4]])
-                rows = rows[self.ids[rows] != own]
-                score = (self.vectors[rows] @ query) / (lengths[rows] * np.linalg.norm(query))
-                best = np.lexsort((self.ids[rows], -score))[:k]
-                out += [(own, int(self.ids[rows[b]]), float(score[b])) for b in best]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+            for number, own, query, nodes in zip(numbers[i : i + TOGETHER].tolist(), ids[i : i + TOGETHER].tolist(), queries[i : i + TOGETHER], found, strict=True):
+                rows = np.concatenate([self.order[self.starts[g] : self.starts[g + 1]] for g in nodes[nodes >= 0].tolist()])
+                # One sum a row, added up alike, so that equal vectors have equal scores.
+                score = (self.vectors[rows] * query).sum(axis=1) / (self.lengths[rows] * np.sqrt((query * query).sum()))
+                best = np.lexsort((self.ids[rows], -score))[: k + 1]
+                for b in best.tolist():
+                    row = rows[b]
+                    same = self.ids[row] == own and np.array_equal(self.vectors[row], query)
+                    if left := int(self.counts[row]) - same:
+                        out.append((number, own, int(self.ids[row]), float(score[b]), left))
+        return pd.DataFrame(out, columns=["number", "query_id", "vec_id", "score", "copies"])
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -188,57 +196,75 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def shards_for(rows: int, shard_rows: int) -> int:
+    """How many shards so many rows are dealt over: ``SPREAD`` at least, while they have ``LEAST_ROWS``."""
+    return max(1, -(-rows // shard_rows), min(SPREAD, -(-rows // min(LEAST_ROWS, shard_rows))))
+
+
 def nearest_neighbours(
     rows: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest rows found for each query.
 
-    Every usable row is indexed. Rows that repeat an id count once, with the
-    least vector; a query's own id is no candidate; only vectors of one length
-    are compared. Ties go to the smaller id. Null ids, and vectors that are
-    null, zero or hold null or non-finite numbers, take no part. Nothing to
-    search gives no rows; other columns are not looked at.
+    Every usable row is indexed, each row that repeats an id too. A query's own
+    row, one with its id and vector, is no candidate. Queries that repeat are
+    answered each. Only vectors of one length are compared. Ties go to the
+    smaller id. Null ids, and vectors that are null, zero or hold null or
+    non-finite numbers, take no part. Nothing to search gives no rows; other
+    columns are not looked at.
     """
     spark = rows.sparkSession
     ship_package(spark)
 
     def clean(df: DataFrame) -> DataFrame:
         df = df.select(column(id_col).cast("long").alias("id"), column(vector_col).cast("array<double>").alias("v"))
-        return df.where(usable(F.col("v")) & F.col("id").isNotNull()).groupBy("id").agg(F.min("v").alias("v"))
+        # Equal rows are one, with a count.
+        return df.where(usable(F.col("v")) & F.col("id").isNotNull()).groupBy("id", "v").agg(F.count(F.lit(1)).alias("n"))
 
     rows, queries = clean(rows), clean(queries)
     sizes = {r.size: r.n for r in rows.groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()}
     asked = queries.count()
     chunks = max(1, -(-asked // QUERY_ROWS))
-    shards = max(1, -(-max(sizes.values(), default=1) // shard_rows))
+    shards = shards_for(max(sizes.values(), default=0), shard_rows)
 
     def build(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("id")
-        shard = Shard.build(part["id"].to_numpy(), np.stack(part["v"].to_numpy()))
+        vectors = np.stack(part["v"].to_numpy())
+        order = np.lexsort((*vectors.T[::-1], part["id"].to_numpy()))
+        shard = Shard.build(part["id"].to_numpy()[order], part["n"].to_numpy()[order], vectors[order])
         return pd.DataFrame({"size": [key[0]], "shard": [key[1]], "index": [shard.dumps()]})
 
-    def search(index: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+    def search(part: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
         if not len(index) or not len(part):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return Shard.loads(index["index"].iloc[0]).nearest(part["id"].to_numpy(), np.stack(part["v"].to_numpy()), k)
+            return pd.DataFrame({"number": [], "query_id": [], "vec_id": [], "score": [], "copies": []})
+        return Shard.loads(index["index"].iloc[0]).nearest(part["number"].to_numpy(), part["id"].to_numpy(), np.stack(part["v"].to_numpy()), k)
 
-    place = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")
-    dealt = rows.select(F.size("v").alias("size"), place, "id", "v").repartition(min(4 * shards, 10_000), "size", "shard")
+    place = F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard")
+    dealt = rows.select(F.size("v").alias("size"), place, "id", "v", "n").repartition(min(4 * shards, 10_000), "size", "shard")
     index = dealt.groupBy("size", "shard").applyInPandas(build, "size int, shard int, index binary")
     copies = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+    number = F.xxhash64("v").alias("number")
     sent = queries.select(
         F.size("v").alias("size"),
         F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
         F.pmod(F.xxhash64("id", F.lit(1)), F.lit(chunks)).cast("int").alias("chunk"),
         "id",
         "v",
+        number,
     )
     keys = ["size", "shard", "chunk"]
     found = sent.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInPandas(
-        lambda part, index: search(index, part), "query_id long, vec_id long, score double"
+        search, "number long, query_id long, vec_id long, score double, copies long"
     )
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = Window.partitionBy("query_id", "number").orderBy(F.desc("score"), "vec_id")
+    found = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    earlier = F.coalesce(F.sum("copies").over(best.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = found.withColumn("earlier", earlier).where(F.col("earlier") < k).select(
+        "query_id", "number", "vec_id", "score",
+        F.explode(F.sequence((F.col("earlier") + 1).cast("int"), F.least(F.col("earlier") + F.col("copies"), F.lit(k)).cast("int"))).alias("rank"),
+    )
+    several = queries.where("n > 1").select(F.col("id").alias("query_id"), number, "n")
+    repeats = F.explode(F.sequence(F.lit(1), F.coalesce("n", F.lit(1)).cast("int")))
+    return ranked.join(several, ["query_id", "number"], "left").select("query_id", "rank", "vec_id", "score", repeats.alias("copy")).drop("copy")
 
 
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from lithospark.llm.urls import SOFT, STRICT, Vocabulary, filter_urls, op8_url_filters, read_vocabulary
-from lithospark.llm.vectors import nearest_neighbours
+from lithospark.llm.vectors import nearest_neighbours, op9_nearest_neighbours
 
 URLS = {
     None: ("", "", None, "allow"), "": ("", "", None, "allow"), "no scheme/casino": ("", "", None, "block"), "no scheme/xcasino": ("", "", None, "allow"),
@@ -111,10 +111,61 @@ def test_recall_scores_and_order(spark, vectors):
     assert [r.vec_id for r in sorted((r for r in got if r.query_id == 100), key=lambda r: r.rank)] == [101, 102, 103, 104, 105]
 
 
+def exact(rows, queries, k):
+    """For each query row the best candidates by a plain loop: ``(query_id, rank, vec_id, score)``."""
+    out = []
+    for own, q in queries:
+        left, skipped = [], False
+        for i, v in rows:
+            if not skipped and i == own and v == q:
+                skipped = True
+                continue
+            left.append((-float((np.array(v) * np.array(q)).sum() / (np.sqrt((np.array(v) ** 2).sum()) * np.sqrt((np.array(q) ** 2).sum()))), i))
+        out += [(own, rank, i, -s) for rank, (s, i) in enumerate(sorted(left)[:k], 1)]
+    return sorted(out)
+
+
+def test_rows_that_repeat_are_candidates_each(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(60)]
+    rows += [(0, rows[0][1])] * 3 + [(0, rows[1][1]), (50, rows[2][1]), (7, rows[0][1]), (50, rows[50][1]), (61, [2 * x for x in rows[0][1]])] + [(80, rows[3][1])] * 400
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    queries = [r for r in rows if r[0] in (0, 50)]
+    got = [tuple(r) for r in nearest_neighbours(df, df.where("vec_id in (0, 50)"), k=5, shard_rows=30).collect()]
+    want = exact(rows, queries, 5)
+    assert [r[:3] for r in sorted(got)] == [r[:3] for r in want]
+    assert all(abs(g[3] - w[3]) < 1e-12 for g, w in zip(sorted(got), want, strict=True))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_recall_on_embeddings(spark):
+    folder = "/root/testdata/sf0.1"
+    got = op9_nearest_neighbours(spark, folder)
+    assert got.dtypes == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "double")]
+    rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
+    rows = [(i, v) for i, v in rows if v and np.isfinite(v).all() and any(v)]
+    want = exact(rows, [r for r in rows if r[0] % 50 == 0], 5)
+    found = {(r.query_id, r.vec_id) for r in got.collect()}
+    assert len(found) == len(want) and sum((q, v) in found for q, _, v, _ in want) >= 0.95 * len(want)
+
+
+def test_recall_in_a_large_shard():
+    from lithospark.llm.vectors import BEAM, Graph, shards_for
+
+    assert [shards_for(n, 65_536) for n in (0, 1, 5000, 60_000, 1_000_000, 10_000_000)] == [1, 1, 2, 15, 16, 153]
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(100, 32))[rng.integers(0, 100, 20_000)] + 0.6 * rng.normal(size=(20_000, 32))
+    unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    found, _ = Graph.build(unit).search(unit[::100], BEAM)
+    best = np.argsort(-(unit[::100] @ unit.T), axis=1)[:, :6]
+    assert np.mean([np.isin(b, f).mean() for b, f in zip(best, found, strict=True)]) >= 0.95
+
+
 def test_odd_vectors_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [1.0, None]), (7, []), (8, [1.0, 2.0, 3.0]), (None, [1.0, 0.0]), (9, [2.0, 0.0]), (9, [2.0, 0.0])]
     df = spark.createDataFrame([(i, v, "extra") for i, v in rows], "vec_id long, embedding array<float>, size string")
     got = [(r.query_id, r.rank, r.vec_id) for r in nearest_neighbours(df, df).collect()]
-    assert sorted(got) == [(0, 1, 9), (0, 2, 1), (1, 1, 0), (1, 2, 9), (9, 1, 0), (9, 2, 1)]
+    # Both rows of 9 are candidates, and each is a query.
+    assert sorted(got) == [(0, 1, 9), (0, 2, 9), (0, 3, 1), (1, 1, 0), (1, 2, 9), (1, 3, 9)] + [(9, r, v) for r, v in ((1, 0), (2, 9), (3, 1)) for _ in range(2)]
     assert nearest_neighbours(df.where("false"), df).count() == 0 == nearest_neighbours(df, df.where("false")).count()
