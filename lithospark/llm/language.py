@@ -21,8 +21,8 @@ from .common import checkpointed, column, parts, ship_package, table
 WORD = r"\p{L}[\p{L}\p{M}]*"
 #: Different texts of each language learned from, about: a model of words and n-grams is no better for more.
 TRAIN_DOCUMENTS = 20_000
-#: Words and n-grams of each length that a model keeps: the most frequent of all languages together, and of each.
-VOCABULARY, OWN_VOCABULARY = 30_000, 5_000
+#: Words, and n-grams of each length, that a model keeps of all languages together; each language has its share as many more.
+VOCABULARY = 30_000
 LONGEST = 5
 #: Texts are chosen by their hash modulo this.
 HASHES = 1 << 40
@@ -91,14 +91,30 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_.cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_DOCUMENTS) -> Model:
+def _frequent(counts: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Of the rows of equal ``keys`` those with the greatest ``n``, ``most`` at most: whole levels of equal counts.
+
+    Levels are added up instead of ranking rows, so that no task gathers the rows of a key.
+    """
+    levels = counts.groupBy(*keys, "n").agg(F.count(F.lit(1)).alias("rows"))
+    upto = F.sum("rows").over(Window.partitionBy(*keys).orderBy(F.desc("n")))
+    least = levels.withColumn("upto", upto).where(F.col("upto") <= most).groupBy(*keys).agg(F.min("n").alias("least"))
+    return counts.join(F.broadcast(least), keys).where("n >= least")  # a row for each language and length
+
+
+def learn(
+    docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_DOCUMENTS, vocabulary: int = VOCABULARY
+) -> Model:
     """A model of the documents that have a text and a language.
 
     About ``most`` different texts of each language, chosen by a hash of the
-    text, are counted whole. The model holds the ``VOCABULARY`` most frequent
-    words and n-grams of each length and the ``OWN_VOCABULARY`` most frequent
-    ones of each language, so what comes to the driver is bounded by the number
-    of languages and none is lost among larger ones.
+    text, are counted whole, however long; copies count once. The model holds
+    the most frequent words and n-grams of each length, ``vocabulary`` of all
+    languages together and ``vocabulary`` shared out evenly among the languages,
+    so that none is lost among larger ones. A word that it does not hold is
+    scored by its n-grams, down to single letters. What comes to the driver and
+    goes to the workers is 48 bytes at most for each of ``vocabulary`` and
+    language. Without a labelled text the model knows no language.
     """
     labelled = docs.where(column(text_col).isNotNull() & column(lang_col).isNotNull()).select(
         column(text_col).alias("text"), column(lang_col).alias("lang")
@@ -121,13 +137,10 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", mo
     counted = checkpointed(words.select("lang", "length", "gram", "n").unionByName(grams))
     sums = counted.groupBy("lang", "length").agg(F.sum("n").alias("n")).collect()
 
-    ranked = checkpointed(counted.groupBy("length", "gram").agg(F.sum("n").alias("all")))
-    by_count = Window.partitionBy("lang", "length").orderBy(F.desc("n"), "gram")
-    kept = counted.withColumn("place", F.row_number().over(by_count)).where(F.col("place") <= OWN_VOCABULARY).select("length", "gram")
-    for n in range(LONGEST + 1):
-        top = ranked.where(F.col("length") == n).orderBy(F.desc("all"), "gram").limit(VOCABULARY)
-        kept = kept.unionByName(top.select("length", "gram"))
-    rows = counted.join(kept.distinct(), ["length", "gram"]).collect()
+    together = checkpointed(counted.groupBy("length", "gram").agg(F.sum("n").alias("n")))
+    kept = _frequent(together, ["length"], vocabulary).select("length", "gram")
+    own = _frequent(counted, ["lang", "length"], max(1, vocabulary // max(1, len(shares)))).select("length", "gram")
+    rows = counted.join(kept.unionByName(own).distinct(), ["length", "gram"]).collect()
     return _model(sums, rows, shares)
 
 
@@ -160,7 +173,9 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1), from the whole text alone.
 
     A text that is null or has no letter is ``und`` with score 0, as is every
-    text if no language was learned. Input columns of the two names give way.
+    text if no language was learned. Of languages that score alike the first in
+    code point order is said; equal texts get equal answers. Every row stays, an
+    empty table gives no rows. Input columns of the two names give way.
     """
     spark = docs.sparkSession
     ship_package(spark)

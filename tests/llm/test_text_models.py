@@ -32,22 +32,67 @@ def test_unknown_words_back_off(docs):
     assert model.predict("日本")[0] in ("en", "fr")
 
 
-def test_rare_languages_are_learned_beside_large_ones(spark, monkeypatch):
-    from lithospark.llm import language
-
-    monkeypatch.setattr(language, "VOCABULARY", 40)
+def test_rare_languages_are_learned_beside_large_ones(spark):
     pick = random.Random(14)
     word = lambda letters: "".join(pick.choice(letters) for _ in range(4))
     large, rare = [word("abcde") for _ in range(200)], [word("defgh") for _ in range(20)]
     text = lambda words: " ".join(pick.choice(words) for _ in range(30))
     rows = [(text(large), "large") for _ in range(2000)] + [(text(rare), "rare") for _ in range(10)] + [("gggg " * 30, "large")] * 1000
-    model = learn(spark.createDataFrame(rows, "text string, lang string"), most=50)
+    model = learn(spark.createDataFrame(rows, "text string, lang string"), most=50, vocabulary=40)
     assert all(model.predict(text(rare))[0] == "rare" for _ in range(20))
     assert all(model.predict(text(large))[0] == "large" for _ in range(20))
+    assert all(len(grams) <= 80 for grams in model.rows.values())
     # The repeated text counts once, and the prior is that of all different texts.
     assert model.languages == ["large", "rare"] and abs(float(np.exp(model.prior[0])) - 2001 / 2011) < 0.003
 
 
+def plain_backoff(rows):
+    """A predictor that counts and backs off by dictionaries alone."""
+    import regex
+
+    counts = {}
+    for text, lang in set(rows):
+        for word in regex.findall(r"\p{L}[\p{L}\p{M}]*", text.lower()):
+            padded = f"_{word}_"
+            for n, gram in [(0, word)] + [(n, padded[i : i + n]) for n in range(1, 6) for i in range(len(padded) - n + 1)]:
+                counts.setdefault(n, {}).setdefault(gram, Counter())[lang] += 1
+    langs = sorted({lang for _, lang in rows})
+    mass = {n: Counter() for n in counts}
+    for n, grams in counts.items():
+        for c in grams.values():
+            mass[n].update(c)
+    log = lambda n, gram, lang: np.log(counts[n][gram][lang] + 0.1) - np.log(mass[n][lang] + 0.1 * (len(counts[n]) + 1))
+
+    def predict(text):
+        sums = {lang: np.log(mass[0][lang] / sum(mass[0].values())) for lang in langs}
+        for word in regex.findall(r"\p{L}[\p{L}\p{M}]*", text.lower()):
+            found, padded = [(0, word)] if word in counts[0] else [], f"_{word}_"
+            for n in range(min(5, len(padded)), 0, -1):
+                found = found or [(n, padded[i : i + n]) for i in range(len(padded) - n + 1) if padded[i : i + n] in counts[n]]
+            for lang in langs:
+                sums[lang] += np.mean([log(n, g, lang) for n, g in found]) if found else 0
+        best = max(langs, key=lambda lang: sums[lang])
+        return best, 1 / sum(np.exp(sums[lang] - sums[best]) for lang in langs)
+
+    return predict
+
+
+def test_predictions_like_a_plain_backoff(docs, rows):
+    model, plain = learn(docs), plain_backoff([(r[1], r[2]) for r in rows if r[1] and r[2]])
+    texts = ["house", "maisonette greenish", "xyzzy qwrt", "Ärger im Haus", "日本 語", "stone stone stone rivière", prose("fr", 40, 999), "the " * 50_000]
+    for text in texts:
+        (lang, score), (want, sure) = model.predict(text), plain(text)
+        assert lang == want and score == pytest.approx(sure), text
+    assert model.predict("12 !?") == ("und", 0.0)
+
+
+def test_ties_copies_and_long_texts(spark):
+    model = learn(spark.createDataFrame([("aa bb", "x"), ("aa bb", "y"), ("aa bb", "y")], "text string, lang string"))
+    assert model.predict("aa") == ("x", pytest.approx(0.5)) and model.predict("aa bb " * 100_000)[0] == "x"
+    got = identify(spark.createDataFrame([("aa",), ("aa",), ("bb " * 200_000,)], "text string"), model).collect()
+    assert [r.lang_pred for r in got] == ["x"] * 3 and got[0] == got[1]
+
+
 def test_language_of_nothing(none, docs):
     model = learn(none)
     assert identify(none, model).count() == 0
