@@ -9,7 +9,7 @@ probability 1e-7.
 Texts of equal sets are one class, with a number of its own, so that null and
 repeated ids do no harm. Links are confirmed on the full sets, in two rounds
 that never list the pairs within a bucket. First, each class is compared with
-the least class of each of its buckets. In what is then still more than one
+the earliest class of each of its buckets. In what is then still more than one
 component, the members outside a bucket's largest component are dealt into
 blocks, and every other member of their buckets is sent once to each block that
 needs it; there it meets all members of the block at once, by an index of their
@@ -33,12 +33,12 @@ from .shingles import mix, shingle_sets, stream
 THRESHOLD = 75
 CHUNKS, CHUNK = 16, 5
 SYMBOLS = CHUNKS * CHUNK
-#: Classes compared with others by one task of the second round.
-BLOCK = 256
-#: Classes of one home that a block's others are counted by when they are dealt in parts.
-OTHERS = 1024
+#: Shingles of the classes that one block holds, about.
+BLOCK_SHINGLES = 400_000
+#: Other classes that a task compares a block with, about.
+OTHERS = 4096
 #: Rows of ids that may be broadcast (under 100 bytes each).
-BROADCAST_IDS = 500_000
+BROADCAST_IDS = 200_000
 
 _FACTORS = stream(11, SYMBOLS) | np.uint64(1)
 _KEYS = stream(12, SYMBOLS)
@@ -84,19 +84,22 @@ class Block:
         shingles = np.concatenate([m[2] for m in members]) if members else np.empty(0, dtype=np.uint64)
         order = np.argsort(shingles, kind="stable")
         self.shingles, self.owners = shingles[order], np.repeat(np.arange(len(members)), self.sizes)[order]
-        self.done: set[tuple[int, int]] = set()
+        #: Of each component met so far, the members that have no link with it yet and are not its own.
+        self.open: dict[int, np.ndarray] = {}
 
     def links(self, other: int, component: int, shingles: np.ndarray) -> Iterator[tuple[int, int]]:
         """Links of members with another class, one at most for a member and a component."""
+        left = self.open.setdefault(component, self.components != component)
+        if not left.any():
+            return
         low, high = (np.searchsorted(self.shingles, shingles, side=side) for side in ("left", "right"))
         counts = high - low
         at = np.repeat(low - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
         shared = np.bincount(self.owners[at], minlength=len(self.sizes))
-        linked = (100 * shared >= THRESHOLD * (self.sizes + len(shingles) - shared)) & (self.components != component)
-        for k in np.flatnonzero(linked).tolist():
-            if (k, component) not in self.done:
-                self.done.add((k, component))
-                yield self.classes[k], other
+        linked = np.flatnonzero((100 * shared >= THRESHOLD * (self.sizes + len(shingles) - shared)) & left)
+        left[linked] = False
+        for k in linked.tolist():
+            yield self.classes[k], other
 
 
 def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -157,26 +160,25 @@ def few(rows: DataFrame) -> DataFrame:
 
 
 def _second_round(shared: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` between components that still share a bucket."""
+    """Links ``(a, b)`` between components that still share a bucket; ``sets`` are those of all classes in ``shared``."""
     members = shared.join(labels, shared["class"] == labels["node"], "left").select(
         "key", "class", F.coalesce("component", "class").alias("component")
     )
     counts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     split = (
         counts.groupBy("key")
-        .agg(F.max(F.struct("n", "component")).alias("x"), F.count(F.lit(1)).alias("parts"))
-        .where("parts > 1")
-        .select("key", F.col("x.component").alias("main"))
+        .agg(F.max(F.struct("n", "component")).alias("x"), F.count(F.lit(1)).alias("components"), F.sum("n").alias("size"))
+        .where("components > 1")
+        .select("key", "size", F.col("x.component").alias("main"))
     )
     members = checkpointed(members.join(split, "key"))
     outside = members.where("component <> main")
     # Blocks hold members of like buckets, so that they need the same others; those are dealt in parts at once.
-    homes = outside.groupBy("class").agg(F.min("main").alias("home"))
-    sizes = homes.groupBy("home").agg(F.count(F.lit(1)).alias("n"))
+    homes = outside.groupBy("class").agg(F.min("main").alias("home"), F.max("size").alias("size"))
+    homes = homes.join(sets.select("class", F.size("set").alias("n")), "class")
+    sizes = homes.groupBy("home").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"), F.ceil(F.max("size") / OTHERS).cast("int").alias("parts"))
     homes = homes.join(sizes, "home").select(
-        "class",
-        F.xxhash64("home", F.pmod(F.xxhash64("class"), F.ceil(F.col("n") / BLOCK))).alias("block"),
-        F.ceil(F.col("n") / OTHERS).cast("int").alias("parts"),
+        "class", F.xxhash64("home", F.pmod(F.xxhash64("class"), "blocks")).alias("block"), "parts"
     )
     homes = checkpointed(homes)
     wanted = outside.join(homes, "class").select("key", "block", "parts").distinct()
@@ -220,8 +222,10 @@ def _resolved(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     signed = checkpointed(_signed(docs, id_col, text_col))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "h")
     classes = signed.where("n > 0").groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(F.struct("n", "sign")).alias("x"))
-    classes = classes.select(F.monotonically_increasing_id().alias("class"), "d1", "d2", "first", "x.n", "x.sign")
-    classes = checkpointed(classes)  # the numbers stay as they are written
+    # Numbers rise with the first document, so that the least class of a bucket is the earliest: originals come before
+    # their copies more often than not. They stay as they are written.
+    classes = classes.repartitionByRange("first").sortWithinPartitions("first")
+    classes = checkpointed(classes.select(F.monotonically_increasing_id().alias("class"), "d1", "d2", "first", "x.n", "x.sign"))
 
     # Sets of one or two shingles reach the threshold only if they are equal.
     keyed = _keyed(classes.where("n > 2"))

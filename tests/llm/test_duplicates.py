@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lithospark.llm.components import components
 from lithospark.llm.fingerprints import _TOP, SCALE, Sketch, edit_likeness, fingerprints, likeness, merged, op4_fingerprints, sketches
-from lithospark.llm.near_dedup import BLOCK, Block, drop_near_duplicates, near_duplicates, op7_minhash_near_dedup
+from lithospark.llm.near_dedup import Block, drop_near_duplicates, near_duplicates, op7_minhash_near_dedup
 from lithospark.llm.shingles import Words, shingle_sets
 from lithospark.llm.substring_dedup import PASSAGE, RUN, WINDOW, _keys, drop_repeated_passages, op6_substring_dedup, units
 
@@ -134,7 +134,7 @@ def test_op7(spark, folder, rows):
 
 def test_blocks_find_what_a_plain_loop_finds():
     pick = random.Random(5)
-    texts = family(pick, random_text(pick, 150), BLOCK // 8, 30)
+    texts = family(pick, random_text(pick, 150), 32, 30)
     members = [(i, i, s) for i, s in enumerate(shingle_sets([t.encode() for t in texts]))]
     block = Block(members)
     got = {frozenset(x) for m in members for x in block.links(*m)}
