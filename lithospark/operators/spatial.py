@@ -16,9 +16,9 @@ def edges(features: DataFrame, *keys: str) -> DataFrame:
     return ring_rows.select(*keys, "ring", F.posexplode(sides).alias("seq", "s")).select(*keys, "ring", "seq", "s.*")
 
 
-def crosses(x: Column, y: Column) -> Column:
+def crosses(x: Column, y: Column, *side: Column) -> Column:
     """Whether an edge crosses the ray to the right of a point: half-open, so that shared sides belong to one polygon."""
-    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    x1, y1, x2, y2 = side or (F.col(c) for c in ("x1", "y1", "x2", "y2"))
     return ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / F.nullif(y2 - y1, F.lit(0.0)) + x1)
 
 
@@ -32,19 +32,28 @@ def planar_areas(edge_rows: DataFrame, *keys: str) -> DataFrame:
     return edge_rows.groupBy(*keys).agg((F.abs(F.sum(cross)) / 2).alias("area"))
 
 
-def points_in_polygons(points: DataFrame, edge_rows: DataFrame, key: str, *, point_key: str, x: str = "x", y: str = "y", cell: float = 1.0) -> DataFrame:
-    """``(point_key, key)`` for every polygon that holds a point, by the even-odd rule.
+def points_in_polygons(points: DataFrame, edge_rows: DataFrame, key: str, *, x: str = "x", y: str = "y", cell: float = 1.0) -> DataFrame:
+    """``points`` with ``key``: a row for each point and polygon that holds it, by the even-odd rule.
 
     Points and polygons meet by the cells of a grid: a polygon is sent to the
-    cells of its bounds, a point to one, so the join is on equal cells and
-    never compares all with all. Then the crossings of each pair are counted.
+    cells of its bounds, each with the sides that a ray to the right from there
+    can cross; a point goes to one cell. So the join is on equal cells, each
+    pair is tested where it meets, and rows that repeat a point are rows of
+    their own. A point without a coordinate lies in no polygon.
     """
-    boxes = bounds(edge_rows, key)
+    side = F.struct("x1", "y1", "x2", "y2")
+    shapes = edge_rows.groupBy(key).agg(
+        F.collect_list(side).alias("__sides"), F.min("x1").alias("__xmin"), F.min("y1").alias("__ymin"), F.max("x1").alias("__xmax"), F.max("y1").alias("__ymax")
+    )
     span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
-    cells = boxes.select("*", span("xmin", "xmax").alias("__cx")).select("*", span("ymin", "ymax").alias("__cy"))
-    placed = points.select(F.col(point_key), F.col(x).alias("__x"), F.col(y).alias("__y")).where("__x is not null and __y is not null")
-    placed = placed.select("*", F.floor(F.col("__x") / cell).alias("__cx"), F.floor(F.col("__y") / cell).alias("__cy"))
-    inside = F.col("__x").between(F.col("xmin"), F.col("xmax")) & F.col("__y").between(F.col("ymin"), F.col("ymax"))
-    pairs = placed.join(cells, ["__cx", "__cy"]).where(inside).select(point_key, key, "__x", "__y")
-    hits = pairs.join(edge_rows.select(key, "x1", "y1", "x2", "y2"), key).where(crosses(F.col("__x"), F.col("__y")))
-    return hits.groupBy(point_key, key).agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").select(point_key, key)
+    cells = shapes.select("*", span("__ymin", "__ymax").alias("__cy"))
+    # A cell more on each side, for rounding.
+    in_row = lambda s: (F.greatest(s["y1"], s["y2"]) >= (F.col("__cy") - 1) * cell) & (F.least(s["y1"], s["y2"]) <= (F.col("__cy") + 2) * cell)
+    cells = cells.withColumn("__sides", F.filter("__sides", in_row)).select("*", span("__xmin", "__xmax").alias("__cx"))
+    cells = cells.withColumn("__sides", F.filter("__sides", lambda s: F.greatest(s["x1"], s["x2"]) >= (F.col("__cx") - 1) * cell))
+    placed = points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    placed = placed.withColumns({"__cx": F.floor(F.col(x) / cell), "__cy": F.floor(F.col(y) / cell)})
+    hit = lambda s: crosses(F.col(x), F.col(y), s["x1"], s["y1"], s["x2"], s["y2"])
+    inside = F.col(x).between(F.col("__xmin"), F.col("__xmax")) & F.col(y).between(F.col("__ymin"), F.col("__ymax"))
+    pairs = placed.join(cells, ["__cx", "__cy"]).where(inside).where(F.size(F.filter("__sides", hit)) % 2 == 1)
+    return pairs.select(*[pairs[c] for c in points.columns], key)

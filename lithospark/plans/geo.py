@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions.attributes import has_prop, listed, matches_text, prop
 from ..functions.geometry import centroid, hectares, ring_faults, rings, signed_area, vertex_count, with_bounds
-from ..operators.layers import by_key, by_substance, categories, concessions, in_view, land_units, layers, where, with_policy, with_substance
+from ..operators.layers import CLASSES, HOLDER, LAST_ITEM, NAME, POLICY, SUBSTANCES, UNIT, by_key, by_substance, categories, concessions, in_view, land_units, layers, where, with_policy, with_substance
 from ..operators.spatial import bounds, edges, planar_areas, points_in_polygons
-from ..sources.geojson import parse_layers
-from .claims import claims_layer, claims_sql, units_layer
+from ..session import new_folder
+from ..sources.geojson import ingest, open_layers, parse_layers, read_layer, read_layers
+from .claims import claims_layer, claims_sql, units_layer, units_sql, write_texts
 
 
 def _claims(spark: SparkSession) -> DataFrame:
@@ -50,16 +51,16 @@ def claims_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _claims(spark).select("title", "name", _plain("area_ha"), "holder", F.array_join("substances", ",").alias("substances"), _plain("granted"))
 
 
-def claims_with_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return where(with_substance(_claims(spark), "Au"), F.col("area_ha") > 8).select("name", _plain("area_ha"), _plain("granted"))
+def claims_with_iron(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return where(with_substance(_claims(spark), "Fe"), F.col("area_ha") > 8).select("name", _plain("area_ha"), _plain("granted"))
 
 
 def layer_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layers(_both(spark), "units").select("layer", "feature_id", F.trim(prop("nombre")).alias("name"))
+    return layers(_both(spark), "units").select("layer", "feature_id", F.trim(prop(UNIT)).alias("name"))
 
 
 def layer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _both(spark).groupBy("layer").agg(F.count(F.lit(1)).alias("n"), F.count_if(has_prop("SUST3")).alias("with_third"))
+    return _both(spark).groupBy("layer").agg(F.count(F.lit(1)).alias("n"), F.count_if(has_prop(SUBSTANCES[2])).alias("with_third"))
 
 
 def unit_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,19 +69,19 @@ def unit_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def units_by_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_policy(units_layer(spark), "Conservación").select("feature_id")
+    return with_policy(units_layer(spark), "Protección").select("feature_id")
 
 
 def policy_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return categories(_both(spark), "politica_ambiental")
+    return categories(_both(spark), POLICY)
 
 
 def holder_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return categories(_both(spark), "TITULAR")
+    return categories(_both(spark), HOLDER)
 
 
 def text_without_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return units_layer(spark).where(matches_text(prop("clasificacion"), "conservacion")).select("feature_id", F.size(listed(prop("clasificacion"), last="y")).cast("long").alias("items"))
+    return units_layer(spark).where(matches_text(prop(CLASSES), "bahia")).select("feature_id", F.size(listed(prop(CLASSES), last=LAST_ITEM)).cast("long").alias("items"))
 
 
 def features_in_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,18 +127,60 @@ def claim_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def customers_in_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as points in claims, and what they hold: a spatial join and an aggregate."""
-    points = _points(spark, sf_dir)
-    hits = points_in_polygons(points, _claim_edges(spark), "name", point_key="c_custkey")
-    return hits.join(points, "c_custkey").groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+    hits = points_in_polygons(_points(spark, sf_dir), _claim_edges(spark), "name")
+    return hits.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
 
 
 def points_per_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many points lie in no, one or more claims."""
     points = _points(spark, sf_dir)
-    hits = points_in_polygons(points, _claim_edges(spark), "name", point_key="c_custkey").groupBy("c_custkey").agg(F.count(F.lit(1)).alias("k"))
+    hits = points_in_polygons(points, _claim_edges(spark), "name").groupBy("c_custkey").agg(F.count(F.lit(1)).alias("k"))
     return points.join(hits, "c_custkey", "left").groupBy(F.coalesce("k", F.lit(0)).alias("claims")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def orders_in_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders at their customers' points, so that points repeat: each counts."""
+    places = _points(spark, sf_dir).select("c_custkey", "x", "y")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderkey")
+    hits = points_in_polygons(orders.join(places, F.col("o_custkey") == F.col("c_custkey")), _claim_edges(spark), "name")
+    return hits.groupBy("name").agg(F.count(F.lit(1)).alias("orders"), F.countDistinct("c_custkey").alias("customers"))
+
+
+def layer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both layers written as files and read as a folder: the features' names and bounds."""
+    folder = new_folder(spark, "layers")
+    write_texts(spark, folder)
+    found = read_layers(spark, folder, repair=True)
+    return found.select("layer", "feature_id", F.coalesce(prop(NAME), prop(UNIT)).alias("name"), "xmin", "ymin", "xmax", "ymax")
+
+
+def layer_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One layer file: typed claims by their own key, and how many sides each has."""
+    folder = new_folder(spark, "layers")
+    write_texts(spark, folder)
+    claims = concessions(read_layer(spark, f"{folder}/claims.geojson"))
+    sides = edges(claims).groupBy("layer", "feature_id").agg(F.count(F.lit(1)).alias("sides"))
+    return claims.join(sides, ["layer", "feature_id"]).select("layer", "feature_id", "title", "holder", _plain("area_ha"), "sides")
+
+
+def ingested_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both layers ingested to Parquet; those in view of one layer, pushed down to the files."""
+    folder = new_folder(spark, "ingested")
+    ingest(_both(spark), folder)
+    return in_view(layers(open_layers(spark, folder), "claims"), 4.5, 4.5, 7.0, 9.0).select("layer", "feature_id", "xmin", "ymax")
+
+
+def faulty_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings made from suppliers' keys, some open, short or clockwise: how many have which faults."""
+    key = F.col("s_suppkey")
+    point = lambda x, y: F.array(F.lit(float(x)), F.lit(float(y)))
+    ring = F.when(key % 5 == 0, F.array(point(0, 0), point(2, 0), point(0, 0))).otherwise(F.array(point(0, 0), point(2, 0), point(2, 2), point(0, 2), point(0, 0)))
+    ring = F.when(key % 3 == 0, F.slice(ring, 1, F.size(ring) - 1)).otherwise(ring)
+    ring = F.when(key % 2 == 0, F.reverse(ring)).otherwise(ring)
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.array_join(ring_faults(ring), ",").alias("faults"))
+    return rows.groupBy("faults").agg(F.count(F.lit(1)).alias("n"))
+
+
 def generated_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A layer for each supplier written as GeoJSON text and read back, by nation."""
     rows = spark.read.parquet(f"{sf_dir}/supplier.parquet")
@@ -152,9 +195,9 @@ def generated_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        claims_typed, claims_with_gold, layer_selection, layer_counts, unit_lists, units_by_policy, policy_values, holder_values, text_without_accents,
+        claims_typed, claims_with_iron, layer_selection, layer_counts, unit_lists, units_by_policy, policy_values, holder_values, text_without_accents,
         features_in_view, area_by_holder, area_by_year, area_by_substance, claim_edges, claim_bounds, claim_areas, claim_measures, customers_in_claims,
-        points_per_overlap, generated_layers,
+        points_per_overlap, orders_in_claims, layer_files, layer_file, ingested_view, faulty_rings, generated_layers,
     )
     return {f"geo_{f.__name__}": f for f in found}
 
@@ -164,33 +207,51 @@ _POINTS = (
     "h AS (SELECT p.c_custkey, e.name FROM p JOIN e ON (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / nullif(y2 - y1, 0) + x1 "
     "GROUP BY ALL HAVING count(*) % 2 = 1) "
 )
+_BOUNDS = "min(x1) AS xmin, min(y1) AS ymin, max(x1) AS xmax, max(y1) AS ymax"
 
 
 def oracle_sql() -> dict[str, str]:
     c = claims_sql()
     cross = "(x1 * y2 - x2 * y1)"
     radius = "6378137.0 * 6378137.0 / 2 / 10000"
+    unit = lambda key: f"f->>'$.properties.{key}'"
+    policy = f"trim({unit('politica_ambiental')})"
+    items = lambda key, pattern: f"list_transform(regexp_split_to_array(trim({unit(key)}), '{pattern}'), lambda x: trim(x))"
+    classes, conflicts = items("clasificacion", r"\s*,\s*|\s+y\s+"), items("conflictos_potenciales", r"\s*,\s*")
+    unit_ring = "CAST(f->'$.geometry.coordinates[0]' AS DOUBLE[][])"
+    axis = lambda k: f"list_transform({unit_ring}, lambda p: p[{k}])"
+    square = "[[0,0],[2,0],[2,2],[0,2],[0,0]]::DOUBLE[][]"
     return {
-        "geo_claims_typed": c + "SELECT CAST(title AS BIGINT) title, name, CAST(area_ha AS DOUBLE) AS area_ha, holder, array_to_string(substances, ',') AS substances, CAST(granted AS VARCHAR) AS granted FROM claims",
-        "geo_claims_with_gold": c + "SELECT name, CAST(area_ha AS DOUBLE) AS area_ha, CAST(granted AS VARCHAR) AS granted FROM claims WHERE list_contains(substances, 'Au') AND area_ha > 8",
-        "geo_layer_selection": "SELECT 'units' AS layer, 'a1' AS feature_id, 'UNIT-1' AS name",
-        "geo_layer_counts": c + "SELECT 'claims' AS layer, count(*) AS n, count(*) FILTER (len(substances) >= 3) AS with_third FROM claims UNION ALL SELECT 'units', 1, 0",
-        "geo_unit_lists": "SELECT 'UNIT-1' AS name, 1 AS population, 12.5::DOUBLE AS area_total, 'Conservación' AS policy, 'Pesca|Turismo|Conservación' AS classes, 'Agua y suelo|Ruido' AS conflicts",
-        "geo_units_by_policy": "SELECT 'a1' AS feature_id",
-        "geo_policy_values": "SELECT 'units' AS layer, 'Conservación' AS value",
+        "geo_claims_typed": c + "SELECT title, name, CAST(area_ha AS DOUBLE) AS area_ha, holder, array_to_string(substances, ',') AS substances, CAST(granted AS VARCHAR) AS granted FROM claims",
+        "geo_claims_with_iron": c + "SELECT name, CAST(area_ha AS DOUBLE) AS area_ha, CAST(granted AS VARCHAR) AS granted FROM claims WHERE list_contains(substances, 'Fe') AND area_ha > 8",
+        "geo_layer_selection": units_sql("'units' AS layer", "f->>'$.id' AS feature_id", f"trim({unit('nombre')}) AS name"),
+        "geo_layer_counts": c + "SELECT 'claims' AS layer, count(*) AS n, count(f->'$.properties.SUST3') AS with_third FROM cf UNION ALL SELECT 'units', count(*), count(t) FROM (" + units_sql("f->'$.properties.SUST3' AS t") + ")",
+        "geo_unit_lists": units_sql(f"trim({unit('nombre')}) AS name", f"CAST({unit('poblacion')} AS INTEGER) AS population", f"CAST({unit('superficie_total')} AS DOUBLE) AS area_total", f"{policy} AS policy", f"array_to_string({classes}, '|') AS classes", f"array_to_string({conflicts}, '|') AS conflicts"),
+        "geo_units_by_policy": units_sql("f->>'$.id' AS feature_id") + f" WHERE {policy} = 'Protección'",
+        "geo_policy_values": units_sql("DISTINCT 'units' AS layer", f"{policy} AS value"),
         "geo_holder_values": c + "SELECT DISTINCT 'claims' AS layer, holder AS value FROM claims",
-        "geo_text_without_accents": "SELECT 'a1' AS feature_id, 3::BIGINT AS items",
+        "geo_text_without_accents": units_sql("f->>'$.id' AS feature_id", f"len({classes}) AS items") + f" WHERE contains(lower(strip_accents({unit('clasificacion')})), 'bahia')",
         "geo_features_in_view": c + "SELECT name FROM e GROUP BY name HAVING min(x1) <= 7 AND max(x1) >= 4.5 AND min(y1) <= 9 AND max(y1) >= 4.5",
         "geo_area_by_holder": c + "SELECT holder, count(*) AS n, CAST(sum(area_ha) AS DOUBLE) AS area_ha FROM claims GROUP BY holder",
         "geo_area_by_year": c + "SELECT CAST(year(granted) AS BIGINT) AS year, count(*) AS n, CAST(sum(area_ha) AS DOUBLE) AS area_ha FROM claims GROUP BY ALL",
         "geo_area_by_substance": c + "SELECT substance, count(*) AS n, CAST(sum(area_ha) AS DOUBLE) AS area_ha FROM (SELECT unnest(substances) AS substance, area_ha FROM claims) GROUP BY substance",
         "geo_claim_edges": c + "SELECT name, CAST(seq AS BIGINT) AS seq, x1, y1, x2, y2 FROM e",
-        "geo_claim_bounds": c + "SELECT name, min(x1) AS xmin, min(y1) AS ymin, max(x1) AS xmax, max(y1) AS ymax FROM e GROUP BY name",
+        "geo_claim_bounds": c + f"SELECT name, {_BOUNDS} FROM e GROUP BY name",
         "geo_claim_areas": c + f"SELECT name, abs(sum{cross}) / 2 AS area FROM e GROUP BY name",
-        "geo_claim_measures": c + f"SELECT name, sum{cross} / 2 AS area, count(*) + 1 AS vertices, 0::BIGINT AS faults, "
+        "geo_claim_measures": c + f"SELECT name, sum{cross} / 2 AS area, any_value(len(r)) AS vertices, "
+        f"CAST(any_value(r[1] <> r[len(r)])::INTEGER + any_value(len(r) < 4)::INTEGER + (sum{cross} < 0)::INTEGER AS BIGINT) AS faults, "
         f"round(abs(sum(radians(x2 - x1) * (2 + sin(radians(y1)) + sin(radians(y2))))) * {radius}, 2) AS hectares, "
-        f"round(sum((x1 + x2) * {cross}) / (3 * sum{cross}), 6) AS cx, round(sum((y1 + y2) * {cross}) / (3 * sum{cross}), 6) AS cy FROM e GROUP BY name",
+        f"round(sum((x1 + x2) * {cross}) / (3 * sum{cross}), 6) AS cx, round(sum((y1 + y2) * {cross}) / (3 * sum{cross}), 6) AS cy FROM e JOIN rings USING (name) GROUP BY name",
         "geo_customers_in_claims": c + _POINTS + "SELECT name, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM h JOIN p USING (c_custkey) GROUP BY name",
         "geo_points_per_overlap": c + _POINTS + "SELECT claims, count(*) AS n FROM (SELECT p.c_custkey, count(h.name) AS claims FROM p LEFT JOIN h USING (c_custkey) GROUP BY ALL) GROUP BY claims",
+        "geo_orders_in_claims": c + _POINTS + "SELECT name, count(*) AS orders, count(DISTINCT c_custkey) AS customers FROM h JOIN orders ON o_custkey = c_custkey GROUP BY name",
+        "geo_layer_files": c + f"SELECT 'claims' AS layer, CAST(title AS VARCHAR) AS feature_id, name, {_BOUNDS} FROM claims JOIN e USING (name) GROUP BY title, name UNION ALL "
+        + units_sql("'units'", "f->>'$.id'", unit("nombre"), f"list_min({axis(1)})", f"list_min({axis(2)})", f"list_max({axis(1)})", f"list_max({axis(2)})"),
+        "geo_layer_file": c + "SELECT 'claims' AS layer, CAST(title AS VARCHAR) AS feature_id, title, holder, CAST(area_ha AS DOUBLE) AS area_ha, count(*) AS sides FROM claims JOIN e USING (name) GROUP BY title, holder, area_ha",
+        "geo_ingested_view": c + "SELECT 'claims' AS layer, CAST(title AS VARCHAR) AS feature_id, min(x1) AS xmin, max(y1) AS ymax FROM claims JOIN e USING (name) GROUP BY title HAVING min(x1) <= 7 AND max(x1) >= 4.5 AND min(y1) <= 9 AND max(y1) >= 4.5",
+        "geo_faulty_rings": f"WITH a AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 5 = 0 THEN [[0,0],[2,0],[0,0]]::DOUBLE[][] ELSE {square} END AS r FROM supplier), "
+        "b AS (SELECT k, CASE WHEN k % 3 = 0 THEN r[:len(r) - 1] ELSE r END AS r FROM a), d AS (SELECT k, CASE WHEN k % 2 = 0 THEN list_reverse(r) ELSE r END AS r FROM b), "
+        "g AS (SELECT r, list_sum(list_transform(range(1, len(r)), lambda i: r[i][1] * r[i + 1][2] - r[i + 1][1] * r[i][2])) AS twice FROM d) "
+        "SELECT array_to_string(list_filter([CASE WHEN r[1] <> r[len(r)] THEN 'open' END, CASE WHEN len(r) < 4 THEN 'short' END, CASE WHEN twice < 0 THEN 'clockwise' END], lambda x: x IS NOT NULL), ',') AS faults, count(*) AS n FROM g GROUP BY ALL",
         "geo_generated_layers": "SELECT s_nationkey AS nation, count(*) AS n, CAST(sum(s_suppkey) AS DOUBLE) AS x, CAST(max(s_nationkey) AS DOUBLE) AS y FROM supplier GROUP BY s_nationkey",
     }

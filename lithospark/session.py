@@ -2,18 +2,43 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
 def session(name: str = "lithospark", master: str | None = None, **conf: str) -> SparkSession:
     """A session in UTC with adaptive execution; ANSI mode stays as Spark sets it.
 
-    Keyword settings use ``__`` for dots: ``spark__sql__shuffle__partitions="8"``.
+    Checkpoints go once nothing refers to them. Keyword settings use ``__`` for
+    dots: ``spark__sql__shuffle__partitions="8"``.
     """
     builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC")
     builder = builder.config("spark.sql.adaptive.enabled", "true")
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as the cluster names it in ``spark.checkpoint.dir``.
+
+    Where none is named, a local master (tests, a laptop) gets a new local one;
+    a cluster gets an error, as its machines share no local folder.
+    """
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lithospark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

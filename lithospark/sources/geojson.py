@@ -4,10 +4,15 @@ A layer is a feature collection, one file each. Coordinates stay JSON text
 until a geometry function parses them by type, so points and multipolygons are
 not lost to a polygon's schema; attributes are a map, so a key that a feature
 leaves out differs from one that is null.
+
+A file is one JSON text, so one task reads it whole and it must be under 2 GB;
+``ingest`` writes layers in a form that many tasks read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +20,10 @@ from ..functions.geometry import with_bounds
 
 FEATURES = "array<struct<type: string, id: string, properties: map<string, string>, geometry: struct<type: string, coordinates: string>>>"
 ENVELOPE = f"type string, features {FEATURES}"
+#: Fixed value: the attribute that tells features apart where they have no id.
+NATURAL_KEYS = ("TITULO",)
+#: A layer's features, with bounds.
+LAYERS = "layer string, feature_id string, props map<string, string>, geom_type string, coords_json string, xmin double, ymin double, xmax double, ymax double"
 
 
 def repaired(text: Column) -> Column:
@@ -26,45 +35,56 @@ def repaired(text: Column) -> Column:
     return F.when(text.rlike(r"^\s*\{"), text).otherwise(F.concat(F.lit("{"), bare, F.lit("}")))
 
 
-def parse_layers(texts: DataFrame, *, repair: bool = False) -> DataFrame:
+def parse_layers(texts: DataFrame, *, repair: bool = False, keys: Sequence[str] = NATURAL_KEYS) -> DataFrame:
     """``(layer, feature_id, props, geom_type, coords_json)`` from rows ``(layer, text)``.
 
-    A text that is no feature collection raises an error that names the layer;
-    with ``repair`` fragments of one are read too.
+    A feature without an id is named by the first of the attributes ``keys``
+    that it has, one without those by its place in the layer (``#0``). A text
+    that is no feature collection, or that goes on after the first, raises an
+    error that names the layer; with ``repair`` fragments of one are read too.
     """
     text = repaired(F.col("text")) if repair else F.col("text")
-    read = F.from_json(text, ENVELOPE, {"mode": "PERMISSIVE"})
-    fault = F.raise_error(F.concat(F.lit("not a feature collection: "), F.coalesce("layer", F.lit("?"))))
-    features = texts.select("layer", read.features.alias("features")).select(
-        "layer", F.inline(F.when(F.col("features").isNull(), fault.cast(FEATURES)).otherwise(F.col("features")))
-    )
+    name = F.coalesce("layer", F.lit("?"))
+    read = F.from_json(text, ENVELOPE, {"mode": "PERMISSIVE"}).features
+    fail = lambda what: F.raise_error(F.concat(F.lit(what), name)).cast(FEATURES)
+    # As the one item of a list, a text is JSON only if nothing follows it.
+    alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))).eqNullSafe(F.lit(1))
+    whole = F.when(read.isNull(), fail("not a feature collection: ")).when(~alone, fail("not one feature collection: ")).otherwise(read)
+    features = texts.select("layer", F.posexplode(whole).alias("at", "f")).select("layer", "at", "f.*")
+    named = [F.col("properties")[k] for k in keys]
     return features.select(
         "layer",
-        F.col("id").alias("feature_id"),
+        F.coalesce("id", *named, F.concat(F.lit("#"), F.col("at").cast("string"))).alias("feature_id"),
         F.coalesce("properties", F.create_map().cast("map<string, string>")).alias("props"),
         F.col("geometry.type").alias("geom_type"),
         F.col("geometry.coordinates").alias("coords_json"),
     )
 
 
-def read_layer(spark: SparkSession, path: str, *, layer: str | None = None, repair: bool = False) -> DataFrame:
+def _layer_of(path: Column) -> Column:
+    """The layer that a file belongs to: its name, or that of the folder ``*.geojson`` that it lies in, less the ending."""
+    path = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    of_folder = F.regexp_extract(path, r"([^/]+)\.geojson/[^/]*$", 1)
+    return F.when(of_folder != "", of_folder).otherwise(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", ""))
+
+
+def read_layer(spark: SparkSession, path: str, *, layer: str | None = None, repair: bool = False, keys: Sequence[str] = NATURAL_KEYS) -> DataFrame:
     """One layer file; the layer is named after the file unless told otherwise."""
     texts = spark.read.text(path, wholetext=True)
-    name = F.lit(layer) if layer else F.regexp_replace(F.url_decode(F.col("_metadata.file_name")), r"\.[^.]*$", "")
-    return with_bounds(parse_layers(texts.select(name.alias("layer"), F.col("value").alias("text")), repair=repair))
+    name = F.lit(layer) if layer else _layer_of(F.col("_metadata.file_path"))
+    return with_bounds(parse_layers(texts.select(name.alias("layer"), F.col("value").alias("text")), repair=repair, keys=keys))
 
 
-def read_layers(spark: SparkSession, folder: str, *, repair: bool = False) -> DataFrame:
-    """Every ``*.geojson`` file of a folder, each a layer."""
-    texts = spark.read.option("pathGlobFilter", "*.geojson").text(folder, wholetext=True)
-    name = F.regexp_replace(F.url_decode(F.col("_metadata.file_name")), r"\.geojson$", "")
-    return with_bounds(parse_layers(texts.select(name.alias("layer"), F.col("value").alias("text")), repair=repair))
+def read_layers(spark: SparkSession, folder: str, *, repair: bool = False, keys: Sequence[str] = NATURAL_KEYS) -> DataFrame:
+    """Every ``*.geojson`` of a folder, each a layer: a file, or a folder of one file as Spark writes it."""
+    return read_layer(spark, f"{folder}/*.geojson", repair=repair, keys=keys)
 
 
 def ingest(layers: DataFrame, path: str) -> None:
-    """Writes layers for fast loading: Parquet by layer, with bounds that filters are pushed down to."""
-    layers.write.partitionBy("layer").parquet(path)
+    """Writes layers for fast loading: Parquet by layer, in order of the bounds, so that filters on them skip parts."""
+    layers.repartitionByRange("layer", "xmin", "ymin").sortWithinPartitions("layer", "xmin", "ymin").write.partitionBy("layer").parquet(path)
 
 
 def open_layers(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """Ingested layers, their names as they were written."""
+    return spark.read.schema(LAYERS).parquet(path).select("layer", "feature_id", "props", "geom_type", "coords_json", "xmin", "ymin", "xmax", "ymax")

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from lithospark.functions.attributes import has_prop, matches_text, prop
 from lithospark.operators.layers import by_key, by_substance, categories, concessions, in_view, land_units, layers, with_policy, with_substance
-from lithospark.plans.claims import UNIT_FRAGMENT, claims_json
+from lithospark.plans.claims import claims_json, unit_fragment, write_texts
+from lithospark.operators.spatial import edges
+from lithospark.session import shared_folder
 from lithospark.sources.geojson import ingest, open_layers, read_layer, read_layers
 
 MIXED = """{"type": "FeatureCollection", "features": [
@@ -24,7 +26,7 @@ MIXED = """{"type": "FeatureCollection", "features": [
 def folder(tmp_path):
     (tmp_path / "claims fixture.geojson").write_text(claims_json())
     (tmp_path / "crlf.geojson").write_bytes(claims_json().replace(", ", ",\r\n").encode())
-    (tmp_path / "fragment.geojson").write_text(UNIT_FRAGMENT, encoding="utf-8")
+    (tmp_path / "fragment.geojson").write_text(unit_fragment(), encoding="utf-8")
     (tmp_path / "mixed.geojson").write_text(MIXED)
     return tmp_path
 
@@ -36,8 +38,8 @@ def read(spark, folder, name, **more):
 def test_typed_view_is_exact(spark, folder):
     rows = {r.name: r for r in concessions(read(spark, folder, "claims fixture.geojson")).collect()}
     assert rows["DELTA"].area_ha == Decimal("7.12345678901")
-    assert rows["ALPHA"].granted == datetime.date(2010, 8, 31)
-    assert rows["DELTA"].substances == ["Au", "Ag", "Pb", "Cu", "TSP"]
+    assert rows["ALPHA"].granted == datetime.date(2004, 3, 5)
+    assert rows["DELTA"].substances == ["Fe", "Mn", "Sn", "Ti", "Zn"]
     assert rows["ALPHA"].layer == "claims fixture"
     assert (rows["GAMMA"].xmin, rows["GAMMA"].ymin, rows["GAMMA"].xmax, rows["GAMMA"].ymax) == (0, 4, 6, 8)
     assert sum(r.area_ha for r in rows.values()) == Decimal("167.87345678901")
@@ -52,9 +54,9 @@ def test_fragments_only_on_demand(spark, folder):
     with pytest.raises(Exception, match="not a feature collection"):
         read(spark, folder, "fragment.geojson").collect()
     unit = land_units(read(spark, folder, "fragment.geojson", repair=True)).first()
-    assert unit.classes == ["Pesca", "Turismo", "Conservación"]
-    assert unit.conflicts == ["Agua y suelo", "Ruido"]
-    assert unit.policy == "Conservación" and unit.props["politica_ambiental"] == "Conservación "
+    assert unit.classes == ["Faro", "Muelle", "Bahía"]
+    assert unit.conflicts == ["Ruido y polvo", "Basura"]
+    assert unit.policy == "Protección" and unit.props["politica_ambiental"] == "Protección "
     assert unit.feature_id == "a1"
 
 
@@ -81,15 +83,58 @@ def test_folder_and_ingest(spark, folder, tmp_path):
     assert {r.layer for r in seen.select("layer").distinct().collect()} == {"claims fixture", "crlf", "mixed"}
 
 
+def test_features_without_an_id_have_their_own_key(spark, folder):
+    claims = read(spark, folder, "claims fixture.geojson")
+    assert sorted(r.feature_id for r in claims.collect()) == ["1", "2", "3", "4"]
+    assert edges(claims).groupBy("feature_id").count().count() == 4
+    assert sorted(r.feature_id for r in read(spark, folder, "claims fixture.geojson", keys=["NOMBRELOTE"]).collect()) == ["ALPHA", "BETA", "DELTA", "GAMMA"]
+    assert sorted(r.feature_id for r in read(spark, folder, "claims fixture.geojson", keys=[]).collect()) == ["#0", "#1", "#2", "#3"]
+
+
+@pytest.mark.parametrize("more", [claims_json(), " {}", ", {}", " x"])
+def test_text_after_the_collection_is_an_error(spark, folder, more):
+    (folder / "two.geojson").write_text(claims_json() + more)
+    with pytest.raises(Exception, match="not one feature collection: two"):
+        read(spark, folder, "two.geojson").collect()
+    (folder / "two.geojson").write_text(claims_json() + "\n \n")
+    assert read(spark, folder, "two.geojson").count() == 4
+
+
+def test_layer_names_stay_text(spark, folder, tmp_path):
+    for name in ("007", "a+b", "c%20d", "e.f"):
+        (folder / f"{name}.geojson").write_text(claims_json())
+    write_texts(spark, str(folder / "written"))
+    found = read_layers(spark, str(folder), repair=True)
+    names = {"007", "a+b", "c%20d", "e.f", "claims fixture", "crlf", "fragment", "mixed"}
+    assert {r.layer for r in found.select("layer").distinct().collect()} == names
+    ingest(found, str(tmp_path / "out"))
+    back = open_layers(spark, str(tmp_path / "out"))
+    assert back.columns == found.columns and {r.layer for r in back.select("layer").distinct().collect()} == names
+    assert {r.layer for r in read_layers(spark, str(folder / "written"), repair=True).collect()} == {"claims", "units"}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session)
+
+
 def test_filters_and_aggregates(spark, folder):
     raw = read(spark, folder, "claims fixture.geojson")
     claims = concessions(raw)
-    assert {r.name for r in with_substance(claims, "Au").collect()} == {"ALPHA", "GAMMA", "DELTA"}
+    assert {r.name for r in with_substance(claims, "Fe").collect()} == {"ALPHA", "GAMMA", "DELTA"}
     assert raw.where(has_prop("SUST3")).count() == 2
-    assert {r.substance: (r.n, r.area_ha) for r in by_substance(claims).collect()}["TSP"] == (2, Decimal("57.37345678901"))
+    assert {r.substance: (r.n, r.area_ha) for r in by_substance(claims).collect()}["Zn"] == (2, Decimal("57.37345678901"))
     assert {r.holder: r.n for r in by_key(claims, "holder").collect()} == {"HOLDER ONE": 2, "HOLDER TWO": 1, "HOLDER THREE": 1}
-    assert {r.y: r.n for r in by_key(claims, F.year("granted").alias("y")).collect()} == {2010: 2, 2011: 1, 2012: 1}
+    assert {r.y: r.n for r in by_key(claims, F.year("granted").alias("y")).collect()} == {2004: 2, 2006: 1, 2009: 1}
     unit = read(spark, folder, "fragment.geojson", repair=True)
-    assert with_policy(unit, "Conservación").count() == 1
-    assert [r.value for r in categories(unit, "politica_ambiental").collect()] == ["Conservación"]
-    assert unit.where(matches_text(prop("clasificacion"), "conservacion")).count() == 1
+    assert with_policy(unit, "Protección").count() == 1
+    assert [r.value for r in categories(unit, "politica_ambiental").collect()] == ["Protección"]
+    assert unit.where(matches_text(prop("clasificacion"), "bahia")).count() == 1

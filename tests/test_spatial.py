@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -26,10 +28,17 @@ def sides(spark):
 @pytest.mark.parametrize("cell", [0.5, 1.0, 7.0])
 def test_point_lookup(spark, sides, cell):
     points = spark.createDataFrame([(k, x, y) for k, (x, y, _) in LOOKUPS.items()] + [("none", None, 1.0)], "p string, x double, y double")
-    found = {(r.p, r.name) for r in points_in_polygons(points, sides, "name", point_key="p", cell=cell).collect()}
+    found = {(r.p, r.name) for r in points_in_polygons(points, sides, "name", cell=cell).collect()}
     assert found == {(k, n) for k, (_, _, names) in LOOKUPS.items() for n in names}
 
 
+def test_points_that_repeat_are_all_found(spark, sides):
+    points = spark.createDataFrame([("P3", 3.5, 3.5, k % 2) for k in range(4)] + [(None, 1.0, 1.0, 5)] * 2, "p string, x double, y double, k int")
+    found = points_in_polygons(points, sides, "name")
+    assert found.columns == ["p", "x", "y", "k", "name"]
+    assert Counter((r.p, r.k, r.name) for r in found.collect()) == {("P3", k, n): 2 for k in (0, 1) for n in ("ALPHA", "DELTA")} | {(None, 5, "ALPHA"): 2}
+
+
 def test_areas_bounds_and_edges(sides):
     assert {r.name: r.area for r in planar_areas(sides, "name").collect()} == {"ALPHA": 16, "BETA": 16, "GAMMA": 16, "DELTA": 4}
     assert {r.name: r["count"] for r in sides.groupBy("name").count().collect()} == {"ALPHA": 4, "BETA": 4, "GAMMA": 6, "DELTA": 4}
@@ -53,6 +62,6 @@ def test_ring_measures(spark):
 @given(st.lists(st.tuples(st.floats(-1, 9), st.floats(-1, 9)), min_size=1, max_size=30), st.sampled_from([0.3, 1.0, 2.5]))
 def test_grid_join_equals_plain_join(spark, sides, places, cell):
     points = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "p int, x double, y double")
-    grid = {tuple(r) for r in points_in_polygons(points, sides, "name", point_key="p", cell=cell).collect()}
+    grid = {(r.p, r.name) for r in points_in_polygons(points, sides, "name", cell=cell).collect()}
     plain = points.join(F.broadcast(sides), crosses(F.col("x"), F.col("y"))).groupBy("p", "name").count().where("count % 2 = 1")
     assert grid == {(r.p, r.name) for r in plain.collect()}
