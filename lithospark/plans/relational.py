@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..streaming.events import sessions, tumbling
+from ..session import new_folder
+from ..streaming.events import event_stream, sessions, to_latest, tumbling
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,8 +27,8 @@ def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def join_revenue_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customer, nation, region = (_t(spark, sf_dir, n) for n in ("orders", "customer", "nation", "region"))
-    small = F.broadcast(nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")))  # 25 rows and 5
-    rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(small, F.col("c_nationkey") == F.col("n_nationkey"))
+    places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(places, F.col("c_nationkey") == F.col("n_nationkey"))
     return rows.groupBy("r_name", "n_name").agg(_money("o_totalprice").alias("price"), F.count(F.lit(1)).alias("n"))
 
 
@@ -48,7 +49,9 @@ def join_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def join_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    """Customers without a large order."""
+    large = _t(spark, sf_dir, "orders").where("o_totalprice > 300000")
+    return _t(spark, sf_dir, "customer").join(large, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 def join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +88,13 @@ def grouping_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(_money("l_quantity").alias("quantity"))
 
 
+def grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _t(spark, sf_dir, "orders")
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    rows = orders.groupingSets([[status, priority], [priority], []], status, priority).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"))
+    return rows.withColumn("level", F.col("level").cast("long"))
+
+
 def window_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey")
     rows = _t(spark, sf_dir, "customer").withColumn("place", F.row_number().over(w).cast("long")).where("place <= 3")
@@ -97,6 +107,21 @@ def window_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+def window_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first and last value of each user, and the last one before that was large."""
+    events = _t(spark, sf_dir, "events")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    large = F.last_value(F.when(F.col("value") > 30, F.col("value")), ignoreNulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return events.select("event_id", F.first_value("value").over(whole).alias("opened"), F.last_value("value").over(whole).alias("closed"), large.alias("large"))
+
+
+def window_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events within the six hours up to each: a range of time, not of rows."""
+    frame = "over (partition by user_id order by ts range between interval 6 hours preceding and current row)"
+    return _t(spark, sf_dir, "events").selectExpr("event_id", f"count(*) {frame} as n", f"max(value) {frame} as most")
+
+
 def window_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(-2, 0)
     price = F.col("o_totalprice").cast("decimal(20,2)")
@@ -133,8 +158,8 @@ def pivot_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unpivot_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_discount", "l_tax")
-    return rows.unpivot(["l_orderkey"], ["l_discount", "l_tax"], "kind", "value").groupBy("kind").agg(F.count("value").alias("n"), F.max("value").alias("most"))
+    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_tax")
+    return rows.unpivot(["l_orderkey", "l_linenumber"], ["l_discount", "l_tax"], "kind", "value").groupBy("kind").agg(F.count("value").alias("n"), F.max("value").alias("most"))
 
 
 def strings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,6 +172,28 @@ def dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "orders").groupBy(month).agg(F.count(F.lit(1)).alias("n"), F.min(F.dayofmonth("o_orderdate")).cast("long").alias("first_day"))
 
 
+def dates_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by the month of their order, and the days from order to shipping."""
+    orders, lines = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem")
+    days = F.datediff("l_shipdate", "o_orderdate")
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.date_trunc("month", "o_orderdate").cast("date").cast("string").alias("month"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.min(days).cast("long").alias("soonest"), F.sum(days).cast("long").alias("days"))
+
+
+def json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("long")
+    return _t(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(k).alias("sum"), F.max(k).alias("most"), F.count_if(k % 2 == 0).alias("even"))
+
+
+def maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each segment's customers by nation as a map, and back as rows of the larger entries."""
+    counts = _t(spark, sf_dir, "customer").groupBy("c_mktsegment", "c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    held = counts.groupBy("c_mktsegment").agg(F.map_from_entries(F.collect_list(F.struct("c_nationkey", "n"))).alias("m"))
+    large = F.map_filter("m", lambda k, v: (v > 1) & (k != 7))
+    doubled = F.transform_values(large, lambda k, v: v * 2)
+    return held.select("c_mktsegment", F.size(F.map_keys("m")).cast("long").alias("nations"), F.explode(doubled).alias("nation", "twice"))
+
+
 def json_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _t(spark, sf_dir, "events").select("event_type", F.explode(F.json_object_keys("props")).alias("key"))
     return rows.groupBy("event_type", "key").agg(F.count(F.lit(1)).alias("n"))
@@ -167,6 +214,13 @@ def windows_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``windows_by_day`` from a stream that runs over what is there, its state kept in the shared folder."""
+    folder = new_folder(spark, "stream")
+    to_latest(tumbling(event_stream(spark, sf_dir)), f"{folder}/out", f"{folder}/state")
+    return spark.read.parquet(f"{folder}/out").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
 def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sessions(_t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
     return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest"))
@@ -175,7 +229,8 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (
     pricing_summary, join_revenue_by_nation, join_left, join_full, join_semi, join_anti, join_range, join_as_of, join_interval, grouping_cube,
     grouping_rollup, window_rank, window_lag, window_running, window_ntile, top_orders, set_union, set_intersect_all, set_except_all, pivot_status,
-    unpivot_prices, strings, dates, json_keys, arrays, approximate_users, windows_by_day, user_sessions,
+    unpivot_prices, strings, dates, json_keys, arrays, approximate_users, windows_by_day, user_sessions, grouping_sets, window_ends, window_range,
+    dates_apart, json_values, maps, stream_windows,
 )
 
 
@@ -194,7 +249,7 @@ def oracle_sql() -> dict[str, str]:
         "join_left": "SELECT c_mktsegment, count(DISTINCT c_custkey) AS customers, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL",
         "join_full": "SELECT coalesce(a.k, b.k) AS nation, customers, suppliers FROM (SELECT c_nationkey k, count(*) customers FROM customer GROUP BY 1) a FULL JOIN (SELECT s_nationkey k, count(*) suppliers FROM supplier GROUP BY 1) b ON a.k = b.k",
         "join_semi": "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)",
-        "join_anti": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+        "join_anti": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)",
         "join_range": "SELECT CAST(b.k AS INTEGER) AS band, count(*) AS n FROM orders JOIN (SELECT unnest(range(6)) AS k) b ON o_totalprice >= k * 100000.0 AND o_totalprice < (k + 1) * 100000.0 GROUP BY ALL",
         "join_as_of": "SELECT event_id, user_id, seen FROM (SELECT event_id, user_id, event_type, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM events) WHERE event_type = 'purchase'",
         "join_interval": "SELECT a.user_id, a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR WHERE a.event_type = 'click' AND b.event_type = 'purchase'",
@@ -209,7 +264,7 @@ def oracle_sql() -> dict[str, str]:
         "set_intersect_all": _KEYS.format("INTERSECT ALL"),
         "set_except_all": _KEYS.format("EXCEPT ALL"),
         "pivot_status": "SELECT o_orderpriority, " + ", ".join(f"count(*) FILTER (o_orderstatus = '{s}') AS {s.lower()}" for s in "FOP") + " FROM orders GROUP BY ALL",
-        "unpivot_prices": " UNION ALL ".join(f"SELECT '{c}' AS kind, count({c}) AS n, max({c}) AS most FROM lineitem WHERE l_linenumber = 1" for c in ("l_discount", "l_tax")),
+        "unpivot_prices": " UNION ALL ".join(f"SELECT '{c}' AS kind, count({c}) AS n, max({c}) AS most FROM lineitem" for c in ("l_discount", "l_tax")),
         "strings": "SELECT split_part(lower(p_type), ' ', 1) AS word, regexp_extract(p_brand, '([0-9]+)', 1) AS brand, count(*) AS n FROM part GROUP BY ALL",
         "dates": "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, min(day(o_orderdate)) AS first_day FROM orders GROUP BY 1",
         "json_keys": "SELECT event_type, key, count(*) AS n FROM (SELECT event_type, unnest(json_keys(props)) AS key FROM events) GROUP BY ALL",
@@ -217,4 +272,13 @@ def oracle_sql() -> dict[str, str]:
         "windows_by_day": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
         "user_sessions": "SELECT user_id, count(*) AS sessions, max(n) AS longest FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY ALL) GROUP BY user_id",
     }
+    made |= {
+        "grouping_sets": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping(o_orderstatus, o_orderpriority) AS BIGINT) AS level FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderpriority), ())",
+        "window_ends": "SELECT event_id, first_value(value) OVER a AS opened, last_value(value) OVER a AS closed, last_value(CASE WHEN value > 30 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS large FROM events WINDOW a AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
+        "window_range": "SELECT event_id, count(*) OVER w AS n, max(value) OVER w AS most FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW)",
+        "dates_apart": "SELECT CAST(CAST(date_trunc('month', o_orderdate) AS DATE) AS VARCHAR) AS month, count(*) AS n, min(date_diff('day', o_orderdate, l_shipdate)) AS soonest, CAST(sum(date_diff('day', o_orderdate, l_shipdate)) AS BIGINT) AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1",
+        "json_values": "SELECT event_type, CAST(sum(k) AS BIGINT) AS sum, max(k) AS most, count(*) FILTER (k % 2 = 0) AS even FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY event_type",
+        "maps": "WITH c AS (SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY ALL) SELECT c_mktsegment, (SELECT count(*) FROM c d WHERE d.c_mktsegment = c.c_mktsegment) AS nations, c_nationkey AS nation, n * 2 AS twice FROM c WHERE n > 1 AND c_nationkey <> 7",
+    }
+    made["stream_windows"] = made["windows_by_day"]
     return {f"x_{k}": v for k, v in made.items()}

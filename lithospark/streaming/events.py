@@ -37,3 +37,9 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") ->
 def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Runs a stream over what is there now and writes Parquet, exactly once."""
     stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint).format("parquet").start(path).awaitTermination()
+
+
+def to_latest(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Runs an aggregate over what is there now and leaves its whole latest result as Parquet, windows that may still grow included."""
+    replace = lambda rows, _: rows.write.mode("overwrite").parquet(path)
+    stream.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(replace).start().awaitTermination()
