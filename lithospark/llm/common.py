@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: One word: a run of characters outside ASCII space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -42,21 +44,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it in ``spark.checkpoint.dir``.
-
-    Where none is named, a local master (tests, a laptop) gets a new local one;
-    a cluster gets an error, as its machines share no local folder.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lithospark-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared store that is no longer read."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -65,7 +52,7 @@ def remove_folder(spark: SparkSession, path: str) -> None:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once into the shared folder, without its lineage."""
-    scratch_folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
