@@ -145,8 +145,8 @@ def edited(text: str, following: str) -> str:
 def in_descending_blocks(docs: DataFrame, *, id_col: str, text_col: str, block_bytes: int = 16 << 20) -> DataFrame:
     """Rows ``(id, text, block, tail)`` in blocks of descending id, each ended by a copy of the next block's first row.
 
-    Blocks begin at ids sampled from all rows: at most 50,000 starts go to the
-    driver. Rows of one id go by a hash of their text, null ids come last.
+    Blocks begin at ids sampled from all rows, of which about 250,000 at most go
+    to the driver. Rows of one id go by a hash of their text, null ids come last.
     """
     rows = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text")).withColumn(
         "hash", F.xxhash64("text")
@@ -157,7 +157,7 @@ def in_descending_blocks(docs: DataFrame, *, id_col: str, text_col: str, block_b
     blocks = min(max(24, math.ceil((size or 0) / block_bytes)), 50_000)
     # Descending order is ascending order of the negated key.
     negated = lambda known, i, h: (not known, -i, -h)
-    sampled = rows.select("id", "hash").sample(fraction=min(1.0, 20 * blocks / max(1, count)), seed=11).collect()
+    sampled = rows.select("id", "hash").sample(fraction=min(1.0, min(20 * blocks, 250_000) / max(1, count)), seed=11).collect()
     keys = sorted({negated(r.id is not None, r.id or 0, r.hash) for r in sampled})
     begin = negated(*first) if first else None
     starts = [k for k in keys[:: max(1, len(keys) // blocks)] if k != begin]
