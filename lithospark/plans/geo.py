@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.attributes import has_prop, listed, matches_text, prop
 from ..functions.geometry import centroid, hectares, ring_faults, rings, signed_area, vertex_count, with_bounds
-from ..operators.layers import CLASSES, HOLDER, LAST_ITEM, NAME, POLICY, SUBSTANCES, UNIT, by_key, by_substance, categories, concessions, in_view, land_units, layers, where, with_policy, with_substance
+from ..operators.layers import CLASSES, CONFLICTS, HOLDER, LAST_ITEM, NAME, POLICY, POPULATION, SUBSTANCES, UNIT, UNIT_AREA, by_key, by_substance, categories, concessions, in_view, land_units, layers, where, with_policy, with_substance
 from ..operators.spatial import bounds, edges, planar_areas, points_in_polygons
 from ..session import new_folder
 from ..sources.geojson import ingest, open_layers, parse_layers, read_layer, read_layers
@@ -215,22 +215,22 @@ def oracle_sql() -> dict[str, str]:
     cross = "(x1 * y2 - x2 * y1)"
     radius = "6378137.0 * 6378137.0 / 2 / 10000"
     unit = lambda key: f"f->>'$.properties.{key}'"
-    policy = f"trim({unit('politica_ambiental')})"
+    policy = f"trim({unit(POLICY)})"
     items = lambda key, pattern: f"list_transform(regexp_split_to_array(trim({unit(key)}), '{pattern}'), lambda x: trim(x))"
-    classes, conflicts = items("clasificacion", r"\s*,\s*|\s+y\s+"), items("conflictos_potenciales", r"\s*,\s*")
+    classes, conflicts = items(CLASSES, rf"\s*,\s*|\s+{LAST_ITEM}\s+"), items(CONFLICTS, r"\s*,\s*")
     unit_ring = "CAST(f->'$.geometry.coordinates[0]' AS DOUBLE[][])"
     axis = lambda k: f"list_transform({unit_ring}, lambda p: p[{k}])"
     square = "[[0,0],[2,0],[2,2],[0,2],[0,0]]::DOUBLE[][]"
     return {
         "geo_claims_typed": c + "SELECT title, name, CAST(area_ha AS DOUBLE) AS area_ha, holder, array_to_string(substances, ',') AS substances, CAST(granted AS VARCHAR) AS granted FROM claims",
         "geo_claims_with_iron": c + "SELECT name, CAST(area_ha AS DOUBLE) AS area_ha, CAST(granted AS VARCHAR) AS granted FROM claims WHERE list_contains(substances, 'Fe') AND area_ha > 8",
-        "geo_layer_selection": units_sql("'units' AS layer", "f->>'$.id' AS feature_id", f"trim({unit('nombre')}) AS name"),
-        "geo_layer_counts": c + "SELECT 'claims' AS layer, count(*) AS n, count(f->'$.properties.SUST3') AS with_third FROM cf UNION ALL SELECT 'units', count(*), count(t) FROM (" + units_sql("f->'$.properties.SUST3' AS t") + ")",
-        "geo_unit_lists": units_sql(f"trim({unit('nombre')}) AS name", f"CAST({unit('poblacion')} AS INTEGER) AS population", f"CAST({unit('superficie_total')} AS DOUBLE) AS area_total", f"{policy} AS policy", f"array_to_string({classes}, '|') AS classes", f"array_to_string({conflicts}, '|') AS conflicts"),
+        "geo_layer_selection": units_sql("'units' AS layer", "f->>'$.id' AS feature_id", f"trim({unit(UNIT)}) AS name"),
+        "geo_layer_counts": c + "SELECT 'claims' AS layer, count(*) AS n, count(f->'$.properties." + SUBSTANCES[2] + "') AS with_third FROM cf UNION ALL SELECT 'units', count(*), count(t) FROM (" + units_sql(f"f->'$.properties.{SUBSTANCES[2]}' AS t") + ")",
+        "geo_unit_lists": units_sql(f"trim({unit(UNIT)}) AS name", f"CAST({unit(POPULATION)} AS INTEGER) AS population", f"CAST({unit(UNIT_AREA)} AS DOUBLE) AS area_total", f"{policy} AS policy", f"array_to_string({classes}, '|') AS classes", f"array_to_string({conflicts}, '|') AS conflicts"),
         "geo_units_by_policy": units_sql("f->>'$.id' AS feature_id") + f" WHERE {policy} = 'Protección'",
         "geo_policy_values": units_sql("DISTINCT 'units' AS layer", f"{policy} AS value"),
         "geo_holder_values": c + "SELECT DISTINCT 'claims' AS layer, holder AS value FROM claims",
-        "geo_text_without_accents": units_sql("f->>'$.id' AS feature_id", f"len({classes}) AS items") + f" WHERE contains(lower(strip_accents({unit('clasificacion')})), 'bahia')",
+        "geo_text_without_accents": units_sql("f->>'$.id' AS feature_id", f"len({classes}) AS items") + f" WHERE contains(lower(strip_accents({unit(CLASSES)})), 'bahia')",
         "geo_features_in_view": c + "SELECT name FROM e GROUP BY name HAVING min(x1) <= 7 AND max(x1) >= 4.5 AND min(y1) <= 9 AND max(y1) >= 4.5",
         "geo_area_by_holder": c + "SELECT holder, count(*) AS n, CAST(sum(area_ha) AS DOUBLE) AS area_ha FROM claims GROUP BY holder",
         "geo_area_by_year": c + "SELECT CAST(year(granted) AS BIGINT) AS year, count(*) AS n, CAST(sum(area_ha) AS DOUBLE) AS area_ha FROM claims GROUP BY ALL",
@@ -246,7 +246,7 @@ def oracle_sql() -> dict[str, str]:
         "geo_points_per_overlap": c + _POINTS + "SELECT claims, count(*) AS n FROM (SELECT p.c_custkey, count(h.name) AS claims FROM p LEFT JOIN h USING (c_custkey) GROUP BY ALL) GROUP BY claims",
         "geo_orders_in_claims": c + _POINTS + "SELECT name, count(*) AS orders, count(DISTINCT c_custkey) AS customers FROM h JOIN orders ON o_custkey = c_custkey GROUP BY name",
         "geo_layer_files": c + f"SELECT 'claims' AS layer, CAST(title AS VARCHAR) AS feature_id, name, {_BOUNDS} FROM claims JOIN e USING (name) GROUP BY title, name UNION ALL "
-        + units_sql("'units'", "f->>'$.id'", unit("nombre"), f"list_min({axis(1)})", f"list_min({axis(2)})", f"list_max({axis(1)})", f"list_max({axis(2)})"),
+        + units_sql("'units'", "f->>'$.id'", unit(UNIT), f"list_min({axis(1)})", f"list_min({axis(2)})", f"list_max({axis(1)})", f"list_max({axis(2)})"),
         "geo_layer_file": c + "SELECT 'claims' AS layer, CAST(title AS VARCHAR) AS feature_id, title, holder, CAST(area_ha AS DOUBLE) AS area_ha, count(*) AS sides FROM claims JOIN e USING (name) GROUP BY title, holder, area_ha",
         "geo_ingested_view": c + "SELECT 'claims' AS layer, CAST(title AS VARCHAR) AS feature_id, min(x1) AS xmin, max(y1) AS ymax FROM claims JOIN e USING (name) GROUP BY title HAVING min(x1) <= 7 AND max(x1) >= 4.5 AND min(y1) <= 9 AND max(y1) >= 4.5",
         "geo_faulty_rings": f"WITH a AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 5 = 0 THEN [[0,0],[2,0],[0,0]]::DOUBLE[][] ELSE {square} END AS r FROM supplier), "

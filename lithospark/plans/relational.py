@@ -206,7 +206,10 @@ def arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def approximate_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users"))
+    """Users by type of event, and whether a sketch of them is within 15 %."""
+    users = F.countDistinct("user_id")
+    near = F.abs(F.approx_count_distinct("user_id") - users) <= 0.15 * users
+    return _t(spark, sf_dir, "events").groupBy("event_type").agg(users.alias("users"), near.alias("near"))
 
 
 def windows_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,6 +276,7 @@ def oracle_sql() -> dict[str, str]:
         "user_sessions": "SELECT user_id, count(*) AS sessions, max(n) AS longest FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY ALL) GROUP BY user_id",
     }
     made |= {
+        "approximate_users": "SELECT event_type, count(DISTINCT user_id) AS users, true AS near FROM events GROUP BY event_type",
         "grouping_sets": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping(o_orderstatus, o_orderpriority) AS BIGINT) AS level FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderpriority), ())",
         "window_ends": "SELECT event_id, first_value(value) OVER a AS opened, last_value(value) OVER a AS closed, last_value(CASE WHEN value > 30 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS large FROM events WINDOW a AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
         "window_range": "SELECT event_id, count(*) OVER w AS n, max(value) OVER w AS most FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW)",

@@ -17,11 +17,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import with_bounds
+from ..operators.layers import TITLE
 
 FEATURES = "array<struct<type: string, id: string, properties: map<string, string>, geometry: struct<type: string, coordinates: string>>>"
 ENVELOPE = f"type string, features {FEATURES}"
-#: Fixed value: the attribute that tells features apart where they have no id.
-NATURAL_KEYS = ("TITULO",)
+#: The attributes that tell features apart where they have no id.
+NATURAL_KEYS = (TITLE,)
 #: A layer's features, with bounds.
 LAYERS = "layer string, feature_id string, props map<string, string>, geom_type string, coords_json string, xmin double, ymin double, xmax double, ymax double"
 

@@ -51,9 +51,3 @@ def test_agrees(spark, duck, name):
 
 def test_entry(spark, duck):
     assert entry.entry(spark).count() > 0
-
-
-def test_sketches_are_near(spark, duck):
-    got = {r.event_type: r.users for r in entry.queries()["x_approximate_users"](spark, FOLDER).collect()}
-    want = dict(duck.execute("SELECT event_type, count(DISTINCT user_id) FROM events GROUP BY 1").fetchall())
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= max(2, 0.15 * want[k]) for k in want)
