@@ -34,9 +34,9 @@ THRESHOLD = 75
 CHUNKS, CHUNK = 16, 5
 SYMBOLS = CHUNKS * CHUNK
 #: Shingles of the classes that one block holds, about.
-BLOCK_SHINGLES = 400_000
+BLOCK_SHINGLES = 60_000
 #: Other classes that a task compares a block with, about.
-OTHERS = 4096
+OTHERS = 1024
 #: Rows of ids that may be broadcast (under 100 bytes each).
 BROADCAST_IDS = 200_000
 
