@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -212,6 +213,27 @@ def approximate_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "events").groupBy("event_type").agg(users.alias("users"), near.alias("near"))
 
 
+def vectorised_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function of Arrow batches, for what no built-in expresses."""
+
+    @F.pandas_udf("double")
+    def reduced(prices: pd.Series) -> pd.Series:
+        return prices * 0.9
+
+    return _t(spark, sf_dir, "part").select("p_partkey", reduced("p_retailprice").alias("price"))
+
+
+def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function that makes several rows of one: the words of a part's type, with their places."""
+
+    @F.udtf(returnType="place int, word string")
+    class Words:
+        def eval(self, text: str):
+            yield from enumerate((text or "").split())
+
+    return _t(spark, sf_dir, "part").select("p_partkey", "p_type").lateralJoin(Words(F.col("p_type").outer())).select("p_partkey", "place", "word")
+
+
 def windows_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tumbling(_t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
     return rows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
@@ -233,7 +255,7 @@ _ALL = (
     pricing_summary, join_revenue_by_nation, join_left, join_full, join_semi, join_anti, join_range, join_as_of, join_interval, grouping_cube,
     grouping_rollup, window_rank, window_lag, window_running, window_ntile, top_orders, set_union, set_intersect_all, set_except_all, pivot_status,
     unpivot_prices, strings, dates, json_keys, arrays, approximate_users, windows_by_day, user_sessions, grouping_sets, window_ends, window_range,
-    dates_apart, json_values, maps, stream_windows,
+    dates_apart, json_values, maps, stream_windows, vectorised_function, table_function,
 )
 
 
@@ -277,6 +299,8 @@ def oracle_sql() -> dict[str, str]:
     }
     made |= {
         "approximate_users": "SELECT event_type, count(DISTINCT user_id) AS users, true AS near FROM events GROUP BY event_type",
+        "vectorised_function": "SELECT p_partkey, p_retailprice * CAST(0.9 AS DOUBLE) AS price FROM part",
+        "table_function": "SELECT p_partkey, CAST(k - 1 AS INTEGER) AS place, w[k] AS word FROM (SELECT p_partkey, w, unnest(range(1, len(w) + 1)) AS k FROM (SELECT p_partkey, string_split(p_type, ' ') AS w FROM part))",
         "grouping_sets": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping(o_orderstatus, o_orderpriority) AS BIGINT) AS level FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderpriority), ())",
         "window_ends": "SELECT event_id, first_value(value) OVER a AS opened, last_value(value) OVER a AS closed, last_value(CASE WHEN value > 30 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS large FROM events WINDOW a AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
         "window_range": "SELECT event_id, count(*) OVER w AS n, max(value) OVER w AS most FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW)",
