@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import column, ship_package, table
 
-#: Vectors in a shard, about: 350 bytes each with 64 numbers. A table of fewer than ``SPREAD`` such shards has as many
+#: Vectors, and bytes of vectors and edges, in a shard, about. A table of fewer than ``SPREAD`` such shards has as many
 #: smaller ones, of ``LEAST_ROWS`` at least, so that it is built in parallel.
-SHARD_ROWS, SPREAD, LEAST_ROWS = 65_536, 16, 4096
+SHARD_ROWS, SHARD_BYTES, SPREAD, LEAST_ROWS = 65_536, 128 << 20, 16, 4096
 #: Queries that one task searches a shard for.
 QUERY_ROWS = 16_384
 #: Edges out of a vector; candidates that a search keeps while building; the beam of a query.
@@ -225,7 +225,9 @@ def nearest_neighbours(
     sizes = {r.size: r.n for r in rows.groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()}
     asked = queries.count()
     chunks = max(1, -(-asked // QUERY_ROWS))
-    shards = shards_for(max(sizes.values(), default=0), shard_rows)
+    # Numbers are held as double and single precision, edges and ids besides.
+    fit = lambda size: max(1, min(shard_rows, SHARD_BYTES // (12 * size + 4 * DEGREE + 32)))
+    shards = max((shards_for(n, fit(size)) for size, n in sizes.items()), default=1)
 
     def build(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         vectors = np.stack(part["v"].to_numpy())
