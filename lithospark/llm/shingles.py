@@ -14,7 +14,7 @@ import numpy as np
 #: Words in a shingle.
 WIDTH = 5
 #: Bytes of text hashed together; a longer text is taken alone.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -57,7 +57,7 @@ class Words:
     def __init__(self, texts: Sequence[bytes]) -> None:
         self.raw = raw = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
         n = len(raw)
-        up, down = powers(1 << max(21, (n + 1).bit_length()))
+        up, down = powers(1 << max(20, (n + 1).bit_length()))
         edge = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[raw])).view(np.int8)))
         self.starts, self.ends = edge[::2], edge[1::2]
         sums = np.zeros(n + 1, dtype=np.uint64)

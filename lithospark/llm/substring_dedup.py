@@ -150,7 +150,7 @@ def units(texts: list[bytes], least: int = PASSAGE) -> Iterator[Units]:
             unit_first, unit_last = np.concatenate((unit_first, back[extra])), np.concatenate((unit_last, closing[extra]))
             order = np.lexsort((unit_last, unit_first))
             unit_first, unit_last = unit_first[order], unit_last[order]
-            up, down = powers(1 << max(21, (n + 1).bit_length()))
+            up, down = powers(1 << max(20, (n + 1).bit_length()))
             digests, a, b = [], first[unit_first], ends[unit_last]
             for seed in _DIGESTS:
                 sums = np.zeros(n + 1, dtype=np.uint64)
