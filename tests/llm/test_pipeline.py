@@ -93,6 +93,7 @@ CONTRACTS = {
     "op6_substring_dedup": "doc_id bigint, text string, removed array<struct<start:bigint,end:bigint>>",
     "op7_minhash_near_dedup": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
     "op10_quality_classifier": "doc_id bigint, weak_label double, quality double, kept boolean",
+    "op12_merkle_manifest": "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean",
 }
 
 
