@@ -72,7 +72,6 @@ def found(df):
 def test_op12(spark, folder, rows):
     got = found(op12_merkle_manifest(spark, folder))
     assert got == plain(rows)
-    assert any(r[-1] for r in got) and not all(r[-1] for r in got)
 
 
 @pytest.mark.parametrize("levels", [1, 2, LEVELS])
@@ -83,6 +82,7 @@ def test_many_blocks_null_ids_and_copies(spark, levels):
     values = {c: F.col(c) for c in FIELDS} | {"text": F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")}
     claimed = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, leaf(*values.values()))
     assert found(manifest(docs, claimed=claimed, levels=levels)) == plain(rows)
+    assert 0 < sum(not r[-1] for r in plain(rows)) < len(rows)
 
 
 def test_odd_cases(docs, rows, none):
