@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, language, merkle, mixing, near_dedup, quality, sharding, substring_dedup, urls, vectors
+from . import alignment, bpe, fingerprints, language, main_text, merkle, mixing, near_dedup, quality, sharding, substring_dedup, urls, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,7 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filters": urls.op8_url_filters,
         "op9_nearest_neighbours": vectors.op9_nearest_neighbours,
         "op10_quality_classifier": quality.op10_quality_classifier,
+        "op11_html_extraction": main_text.op11_html_extraction,
         "op12_merkle_manifest": merkle.op12_merkle_manifest,
+        "op13_cross_tokenizer_alignment": alignment.op13_cross_tokenizer_alignment,
     }
 
 

@@ -94,6 +94,7 @@ CONTRACTS = {
     "op7_minhash_near_dedup": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
     "op10_quality_classifier": "doc_id bigint, weak_label double, quality double, kept boolean",
     "op12_merkle_manifest": "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean",
+    "op13_cross_tokenizer_alignment": "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string",
 }
 
 
@@ -107,5 +108,5 @@ def test_columns_and_rows_of_each_query(spark, folder, rows, tmp_path, name):
 
 
 def test_all_are_registered():
-    assert {f"op{n}_" for n in range(1, 11)} == {k[: k.index("_") + 1] for k in entry.queries() if k.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {k[: k.index("_") + 1] for k in entry.queries() if k.startswith("op")}
     assert "pipeline" in entry.queries() and duckdb and FOLDER
