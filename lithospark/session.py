@@ -42,3 +42,13 @@ def shared_folder(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def temporary_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder whose files go when the application ends."""
+    made = new_folder(spark, name)
+    at = spark._jvm.org.apache.hadoop.fs.Path(made)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return f"{made}/files"
