@@ -28,8 +28,6 @@ from .common import checkpointed, column, ship_package, sliced, table
 BROADCAST_PAIRS = 1_000_000
 #: Parts that an id pair's partial counts are spread over.
 SALTS = 16
-#: Words whose pieces a worker keeps at most; then it starts again.
-KEPT_WORDS = 200_000
 #: Fixed value: how pieces write a space.
 SPACE = "▁"
 
@@ -48,20 +46,11 @@ class ByteTokens:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return list(self.codec.encode_batch([" " + t for t in texts]))
 
-    def forget(self) -> None:
-        self.codec.known.clear()
-
 
 class PieceTokens:
-    """A sentencepiece model that puts a space before each text and turns unknown characters into bytes.
-
-    If no piece goes on past a space after another character, words are encoded
-    alone, once each, which gives the same pieces as the whole text; else whole
-    texts are.
-    """
+    """A sentencepiece model that puts a space before each text and turns unknown characters into bytes."""
 
     def __init__(self, model: bytes) -> None:
-        import regex
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -69,36 +58,9 @@ class PieceTokens:
         self.bytes_of = [
             bytes([int(n[3:5], 16)]) if self.library.is_byte(i) else n.replace(SPACE, " ").encode() for i, n in enumerate(names)
         ]
-        self.by_words = not any(SPACE in n.lstrip(SPACE) for n in names)
-        self.words = regex.compile(r" +[^ ]+")
-        self.known: dict[str, tuple[int, ...]] = {}
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        if not self.by_words:
-            return self.library.encode(texts, num_threads=1)
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        split, known = [], self.known
-        for text in texts:
-            whole = " " + text
-            words = self.words.findall(whole)
-            # Spaces at the end stand alone: the library gets them whole, less the one that it adds.
-            tail = len(whole) - len(whole.rstrip(" "))
-            split.append((words, tail, text))
-        fresh = [w for w in {w for words, _, _ in split for w in words} if w not in known]
-        for w, ids in zip(fresh, self.library.encode([w[1:] for w in fresh], num_threads=1), strict=True):
-            known[w] = tuple(ids)
-        out = []
-        for words, tail, text in split:
-            # A mark of a space inside a text is read as one, so words would begin elsewhere.
-            if tail or SPACE in text:
-                out.append(self.library.encode(text, num_threads=1))
-            else:
-                out.append([i for w in words for i in known[w]])
-        return out
-
-    def forget(self) -> None:
-        self.known.clear()
+        return self.library.encode(texts, num_threads=1)
 
 
 @lru_cache(maxsize=2)
@@ -121,7 +83,8 @@ def linked(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
     Ends ascend; several tokens of a side that end together are paired each.
     """
-    cuts = np.intersect1d(a_ends, b_ends)
+    rising = all((e[1:] > e[:-1]).all() for e in (a_ends, b_ends))
+    cuts = np.intersect1d(a_ends, b_ends, assume_unique=rising)
     first_a, first_b = np.searchsorted(a_ends, cuts), np.searchsorted(b_ends, cuts)
     many_a = np.searchsorted(a_ends, cuts, side="right") - first_a
     many_b = np.searchsorted(b_ends, cuts, side="right") - first_b
@@ -206,8 +169,6 @@ def align(
             if with_groups:
                 arrays.append(pa.array([m["groups"] for m in made], pa.string()))
             yield pa.RecordBatch.from_arrays(arrays, ["id", *columns, "groups_sha256", "pairs", "times", *(["groups"] if with_groups else [])])
-        own_a.forget()
-        own_b.forget()
 
     more = ", groups string" if with_groups else ""
     kinds = f"id {kind}, " + ", ".join(f"{c} long" for c in columns) + f", groups_sha256 string, pairs array<long>, times array<int>{more}"

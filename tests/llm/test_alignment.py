@@ -8,13 +8,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from lithospark.llm.alignment import PieceTokens, align, linked, op13_cross_tokenizer_alignment, piece_model, with_counts
+from lithospark.llm.alignment import align, linked, op13_cross_tokenizer_alignment, with_counts
 from lithospark.llm.bpe import byte_characters
 
 from .conftest import COLUMNS
@@ -106,23 +104,6 @@ def test_groups_themselves_and_clashing_columns(docs, none, libraries, rows):
     assert align(none).count() == 0
 
 
-@pytest.fixture(scope="module")
-def pieces():
-    return PieceTokens(piece_model())
-
-
-def test_words_alone_give_the_pieces_of_the_text(pieces, libraries):
-    assert pieces.by_words
-    texts = ODD + ["", "the  house", "a " * 100, " x y  z   w    v"]
-    assert pieces.encode(texts) == [libraries[1].encode(t) for t in texts]
-
-
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(alphabet=" \u2581ab.\n\u00e9<0x>\u65e5", max_size=30), max_size=4))
-def test_any_text_like_the_library(pieces, libraries, texts):
-    assert pieces.encode(texts) == [libraries[1].encode(t) for t in texts]
-
-
 def test_tokens_without_bytes_are_linked_each():
     a, b = np.array([1, 3, 3, 6]), np.array([3, 3, 5, 6])
     cuts, left, right = linked(a, b)
