@@ -22,11 +22,24 @@ def rings(geom_type: Column, coords_json: Column) -> Column:
     return F.flatten(polygons(geom_type, coords_json))
 
 
+def positions(geom_type: Column, coords_json: Column) -> Column:
+    """All points of a geometry of any type, in order; of a collection, those of its members."""
+    of = lambda depth: F.from_json(coords_json, "array<" * depth + "double" + ">" * depth)
+    number = r"(-?[0-9][0-9.eE+-]*)"
+    axis = lambda k: F.regexp_extract_all(coords_json, F.lit(rf"\[\s*{number}\s*,\s*{number}"), F.lit(k))
+    members = F.zip_with(axis(1), axis(2), lambda x, y: F.array(x.cast("double"), y.cast("double")))
+    return (
+        F.when(geom_type == "Point", F.array(of(1)))
+        .when(geom_type.isin("LineString", "MultiPoint"), of(2))
+        .when(geom_type.isin("Polygon", "MultiLineString"), F.flatten(of(3)))
+        .when(geom_type == "MultiPolygon", F.flatten(F.flatten(of(4))))
+        .when(geom_type == "GeometryCollection", members)
+    )
+
+
 def with_bounds(features: DataFrame) -> DataFrame:
-    """Features with ``xmin``, ``ymin``, ``xmax`` and ``ymax`` of their rings, or of their point."""
-    outline = F.flatten(rings(F.col("geom_type"), F.col("coords_json")))
-    point = F.when(F.col("geom_type") == "Point", F.array(F.from_json("coords_json", "array<double>")))
-    made = features.withColumn("__points", F.coalesce(outline, point))
+    """Features with ``xmin``, ``ymin``, ``xmax`` and ``ymax`` of all their points; null where they have none."""
+    made = features.withColumn("__points", positions(F.col("geom_type"), F.col("coords_json")))
     xs, ys = F.transform("__points", lambda p: p[0]), F.transform("__points", lambda p: p[1])
     return made.select(
         *features.columns,

@@ -78,3 +78,8 @@ def by_substance(claims: DataFrame) -> DataFrame:
 def categories(features: DataFrame, key: str) -> DataFrame:
     """The distinct values of an attribute, by layer."""
     return features.select("layer", F.trim(prop(key)).alias("value")).where("value is not null").distinct()
+
+
+def repeats(features: DataFrame) -> DataFrame:
+    """``(layer, feature_id, n)`` of names that several features of a layer share, so that their key does not tell them apart."""
+    return features.groupBy("layer", "feature_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

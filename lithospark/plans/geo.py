@@ -1,7 +1,7 @@
 """Queries of geographic layers.
 
-The driver's tables hold no geometry. The layers are the synthetic ones of
-``claims``; points come from integer keys of ``customer`` and are artificial.
+The driver's tables hold no geometry: the layers are made from their keys, as
+GeoJSON text that is read back (see ``tables``).
 """
 
 from __future__ import annotations
@@ -13,15 +13,16 @@ from pyspark.sql import functions as F
 
 from ..functions.attributes import has_prop, listed, matches_text, prop
 from ..functions.geometry import centroid, hectares, ring_faults, rings, signed_area, vertex_count, with_bounds
-from ..operators.layers import CLASSES, CONFLICTS, HOLDER, LAST_ITEM, NAME, POLICY, POPULATION, SUBSTANCES, UNIT, UNIT_AREA, by_key, by_substance, categories, concessions, in_view, land_units, layers, where, with_policy, with_substance
+from ..operators.layers import CLASSES, HOLDER, LAST_ITEM, NAME, POLICY, SUBSTANCES, UNIT, by_key, by_substance, categories, concessions, in_view, land_units, layers, repeats, where, with_policy, with_substance
 from ..operators.spatial import bounds, edges, planar_areas, points_in_polygons
-from ..session import new_folder
+from ..session import temporary_folder
 from ..sources.geojson import ingest, open_layers, parse_layers, read_layer, read_layers
-from .claims import claims_layer, claims_sql, units_layer, units_sql, write_texts
+from . import tables
+from .tables import claim_texts, claims_layer, points, unit_texts, units_layer
 
 
-def _claims(spark: SparkSession) -> DataFrame:
-    return concessions(claims_layer(spark))
+def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return concessions(claims_layer(spark, sf_dir))
 
 
 def _plain(name: str) -> Column:
@@ -29,145 +30,155 @@ def _plain(name: str) -> Column:
     return F.col(name).cast("string" if name == "granted" else "double").alias(name)
 
 
-def _both(spark: SparkSession) -> DataFrame:
-    return claims_layer(spark).unionByName(units_layer(spark))
+def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return claims_layer(spark, sf_dir).unionByName(units_layer(spark, sf_dir))
 
 
-def _claim_edges(spark: SparkSession) -> DataFrame:
-    return edges(_claims(spark), "name")
-
-
-def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    place = lambda a, b: ((F.col("c_custkey") * a) % b / 10).cast("double")
-    return customers.select("c_custkey", "c_acctbal", place(37, 101).alias("x"), place(53, 97).alias("y"))
+def _claim_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges(claims_layer(spark, sf_dir))
 
 
 def _ring() -> Column:
     return F.element_at(rings(F.col("geom_type"), F.col("coords_json")), 1)
 
 
+def _written(spark: SparkSession, texts: DataFrame) -> str:
+    """Layers as files of a folder: ``layer=<name>/``, read as folders of layers."""
+    folder = temporary_folder(spark, "layers")
+    texts.select("text", F.concat("layer", F.lit(".geojson")).alias("file")).write.partitionBy("file").text(folder)
+    return folder
+
+
 def claims_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _claims(spark).select("title", "name", _plain("area_ha"), "holder", F.array_join("substances", ",").alias("substances"), _plain("granted"))
+    return _claims(spark, sf_dir).select("layer", "title", "name", _plain("area_ha"), "holder", F.array_join("substances", ",").alias("substances"), _plain("granted"))
 
 
 def claims_with_iron(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return where(with_substance(_claims(spark), "Fe"), F.col("area_ha") > 8).select("name", _plain("area_ha"), _plain("granted"))
+    return where(with_substance(_claims(spark, sf_dir), "Fe"), F.col("area_ha") > 905).select("title", "name", _plain("area_ha"), _plain("granted"))
 
 
 def layer_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layers(_both(spark), "units").select("layer", "feature_id", F.trim(prop(UNIT)).alias("name"))
+    return layers(_both(spark, sf_dir), "units-0", "units-1", "claims 2").select("layer", "feature_id", F.trim(F.coalesce(prop(UNIT), prop(NAME))).alias("name"))
 
 
 def layer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _both(spark).groupBy("layer").agg(F.count(F.lit(1)).alias("n"), F.count_if(has_prop(SUBSTANCES[2])).alias("with_third"))
+    return _both(spark, sf_dir).groupBy("layer").agg(F.count(F.lit(1)).alias("n"), F.count_if(has_prop(SUBSTANCES[2])).alias("with_third"))
 
 
 def unit_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = land_units(units_layer(spark))
+    units = land_units(units_layer(spark, sf_dir))
     return units.select("name", "population", "area_total", "policy", F.array_join("classes", "|").alias("classes"), F.array_join("conflicts", "|").alias("conflicts"))
 
 
 def units_by_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_policy(units_layer(spark), "Protección").select("feature_id")
+    return with_policy(units_layer(spark, sf_dir), "Protección").select("layer", "feature_id")
 
 
 def policy_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return categories(_both(spark), POLICY)
+    return categories(_both(spark, sf_dir), POLICY)
 
 
 def holder_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return categories(_both(spark), HOLDER)
+    return categories(_both(spark, sf_dir), HOLDER)
 
 
 def text_without_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return units_layer(spark).where(matches_text(prop(CLASSES), "bahia")).select("feature_id", F.size(listed(prop(CLASSES), last=LAST_ITEM)).cast("long").alias("items"))
+    return units_layer(spark, sf_dir).where(matches_text(prop(CLASSES), "bahia")).select("feature_id", F.size(listed(prop(CLASSES), last=LAST_ITEM)).cast("long").alias("items"))
 
 
 def features_in_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return in_view(_claims(spark), 4.5, 4.5, 7.0, 9.0).select("name")
+    """Features of every kind of geometry whose bounds meet a rectangle."""
+    return in_view(_both(spark, sf_dir), 10.5, 1.5, 50.0, 4.0).select("layer", "feature_id", "geom_type")
 
 
 def area_by_holder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return by_key(_claims(spark), "holder").withColumn("area_ha", _plain("area_ha"))
+    return by_key(_claims(spark, sf_dir), "holder").withColumn("area_ha", _plain("area_ha"))
 
 
 def area_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return by_key(_claims(spark), F.year("granted").cast("long").alias("year")).withColumn("area_ha", _plain("area_ha"))
+    return by_key(_claims(spark, sf_dir), F.year("granted").cast("long").alias("year")).withColumn("area_ha", _plain("area_ha"))
 
 
 def area_by_substance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return by_substance(_claims(spark)).withColumn("area_ha", _plain("area_ha"))
+    return by_substance(_claims(spark, sf_dir)).withColumn("area_ha", _plain("area_ha"))
 
 
 def claim_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _claim_edges(spark).select("name", F.col("seq").cast("long").alias("seq"), "x1", "y1", "x2", "y2")
+    return _claim_edges(spark, sf_dir).select("layer", "feature_id", F.col("seq").cast("long").alias("seq"), "x1", "y1", "x2", "y2")
 
 
 def claim_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bounds(_claim_edges(spark), "name")
+    return bounds(_claim_edges(spark, sf_dir), "layer", "feature_id")
 
 
 def claim_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planar_areas(_claim_edges(spark), "name")
+    return planar_areas(_claim_edges(spark, sf_dir), "layer", "feature_id")
 
 
 def claim_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = _claims(spark).select("name", _ring().alias("ring"))
+    made = claims_layer(spark, sf_dir).select("layer", "feature_id", _ring().alias("ring"))
     return made.select(
-        "name",
+        "layer",
+        "feature_id",
         signed_area("ring").alias("area"),
         vertex_count(F.col("ring")).cast("long").alias("vertices"),
         F.size(ring_faults(F.col("ring"))).cast("long").alias("faults"),
-        F.round(hectares(F.col("ring")), 2).alias("hectares"),
-        F.round(centroid(F.col("ring"))["x"], 6).alias("cx"),
-        F.round(centroid(F.col("ring"))["y"], 6).alias("cy"),
+        F.round(hectares(F.col("ring")), 1).alias("hectares"),
+        F.round(centroid(F.col("ring"))["x"], 4).alias("cx"),
+        F.round(centroid(F.col("ring"))["y"], 4).alias("cy"),
     )
 
 
+def _customers_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points_in_polygons(points(spark, sf_dir), _claim_edges(spark, sf_dir))
+
+
 def customers_in_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as points in claims, and what they hold: a spatial join and an aggregate."""
-    hits = points_in_polygons(_points(spark, sf_dir), _claim_edges(spark), "name")
-    return hits.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+    balance = F.sum(F.col("c_acctbal").cast("decimal(20,2)")).cast("double")
+    return _customers_inside(spark, sf_dir).groupBy("layer", "feature_id").agg(F.count(F.lit(1)).alias("n"), balance.alias("balance"))
 
 
 def points_per_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many points lie in no, one or more claims."""
-    points = _points(spark, sf_dir)
-    hits = points_in_polygons(points, _claim_edges(spark), "name").groupBy("c_custkey").agg(F.count(F.lit(1)).alias("k"))
-    return points.join(hits, "c_custkey", "left").groupBy(F.coalesce("k", F.lit(0)).alias("claims")).agg(F.count(F.lit(1)).alias("n"))
+    hits = _customers_inside(spark, sf_dir).groupBy("c_custkey").agg(F.count(F.lit(1)).alias("k"))
+    return points(spark, sf_dir).join(hits, "c_custkey", "left").groupBy(F.coalesce("k", F.lit(0)).alias("claims")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def orders_in_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders at their customers' points, so that points repeat: each counts."""
-    places = _points(spark, sf_dir).select("c_custkey", "x", "y")
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderkey")
-    hits = points_in_polygons(orders.join(places, F.col("o_custkey") == F.col("c_custkey")), _claim_edges(spark), "name")
-    return hits.groupBy("name").agg(F.count(F.lit(1)).alias("orders"), F.countDistinct("c_custkey").alias("customers"))
+    places = points(spark, sf_dir).select("c_custkey", "x", "y")
+    orders = tables.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    hits = points_in_polygons(orders.join(places, F.col("o_custkey") == F.col("c_custkey")), _claim_edges(spark, sf_dir))
+    return hits.groupBy("layer", "feature_id").agg(F.count(F.lit(1)).alias("orders"), F.countDistinct("c_custkey").alias("customers"))
 
 
 def layer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both layers written as files and read as a folder: the features' names and bounds."""
-    folder = new_folder(spark, "layers")
-    write_texts(spark, folder)
+    """All layers written as files, fragments among them, and read as a folder: the features' names and bounds."""
+    folder = _written(spark, claim_texts(spark, sf_dir).unionByName(unit_texts(spark, sf_dir)))
     found = read_layers(spark, folder, repair=True)
-    return found.select("layer", "feature_id", F.coalesce(prop(NAME), prop(UNIT)).alias("name"), "xmin", "ymin", "xmax", "ymax")
+    return found.select(F.replace("layer", F.lit("file="), F.lit("")).alias("layer"), "feature_id", F.trim(F.coalesce(prop(NAME), prop(UNIT))).alias("name"), "xmin", "ymin", "xmax", "ymax")
 
 
 def layer_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One layer file: typed claims by their own key, and how many sides each has."""
-    folder = new_folder(spark, "layers")
-    write_texts(spark, folder)
-    claims = concessions(read_layer(spark, f"{folder}/claims.geojson"))
+    """Layers of one kind read by their paths: typed claims by their own key, and how many sides each has."""
+    folder = _written(spark, claim_texts(spark, sf_dir))
+    claims = concessions(read_layer(spark, f"{folder}/file=claims*.geojson"))
     sides = edges(claims).groupBy("layer", "feature_id").agg(F.count(F.lit(1)).alias("sides"))
-    return claims.join(sides, ["layer", "feature_id"]).select("layer", "feature_id", "title", "holder", _plain("area_ha"), "sides")
+    joined = claims.join(sides, ["layer", "feature_id"])
+    return joined.select(F.replace("layer", F.lit("file="), F.lit("")).alias("layer"), "feature_id", "title", "holder", _plain("area_ha"), "sides")
 
 
 def ingested_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both layers ingested to Parquet; those in view of one layer, pushed down to the files."""
-    folder = new_folder(spark, "ingested")
-    ingest(_both(spark), folder)
-    return in_view(layers(open_layers(spark, folder), "claims"), 4.5, 4.5, 7.0, 9.0).select("layer", "feature_id", "xmin", "ymax")
+    """All layers ingested to Parquet; those in view of two layers, pushed down to the files."""
+    folder = temporary_folder(spark, "ingested")
+    ingest(_both(spark, sf_dir), folder)
+    return in_view(layers(open_layers(spark, folder), "claims 0", "units-1"), 10.5, 1.5, 50.0, 4.0).select("layer", "feature_id", "xmin", "ymax")
+
+
+def repeated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims read with their names as keys, which they share: the names that don't tell features apart."""
+    return repeats(parse_layers(claim_texts(spark, sf_dir), keys=[NAME]))
 
 
 def faulty_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,61 +208,62 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         claims_typed, claims_with_iron, layer_selection, layer_counts, unit_lists, units_by_policy, policy_values, holder_values, text_without_accents,
         features_in_view, area_by_holder, area_by_year, area_by_substance, claim_edges, claim_bounds, claim_areas, claim_measures, customers_in_claims,
-        points_per_overlap, orders_in_claims, layer_files, layer_file, ingested_view, faulty_rings, generated_layers,
+        points_per_overlap, orders_in_claims, layer_files, layer_file, ingested_view, repeated_names, faulty_rings, generated_layers,
     )
     return {f"geo_{f.__name__}": f for f in found}
 
 
-_POINTS = (
-    ", p AS (SELECT c_custkey, c_acctbal, CAST(c_custkey * 37 % 101 AS DOUBLE) / 10 AS x, CAST(c_custkey * 53 % 97 AS DOUBLE) / 10 AS y FROM customer), "
-    "h AS (SELECT p.c_custkey, e.name FROM p JOIN e ON (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / nullif(y2 - y1, 0) + x1 "
+_HITS = (
+    ", h AS (SELECT p.c_custkey, e.layer, e.feature_id FROM p JOIN e ON (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / nullif(y2 - y1, 0) + x1 "
     "GROUP BY ALL HAVING count(*) % 2 = 1) "
 )
 _BOUNDS = "min(x1) AS xmin, min(y1) AS ymin, max(x1) AS xmax, max(y1) AS ymax"
+_VIEW = "xmin <= 50 AND xmax >= 10.5 AND ymin <= 4 AND ymax >= 1.5"
 
 
 def oracle_sql() -> dict[str, str]:
-    c = claims_sql()
     cross = "(x1 * y2 - x2 * y1)"
     radius = "6378137.0 * 6378137.0 / 2 / 10000"
-    unit = lambda key: f"f->>'$.properties.{key}'"
-    policy = f"trim({unit(POLICY)})"
-    items = lambda key, pattern: f"list_transform(regexp_split_to_array(trim({unit(key)}), '{pattern}'), lambda x: trim(x))"
-    classes, conflicts = items(CLASSES, rf"\s*,\s*|\s+{LAST_ITEM}\s+"), items(CONFLICTS, r"\s*,\s*")
-    unit_ring = "CAST(f->'$.geometry.coordinates[0]' AS DOUBLE[][])"
-    axis = lambda k: f"list_transform({unit_ring}, lambda p: p[{k}])"
     square = "[[0,0],[2,0],[2,2],[0,2],[0,0]]::DOUBLE[][]"
-    return {
-        "geo_claims_typed": c + "SELECT title, name, CAST(area_ha AS DOUBLE) AS area_ha, holder, array_to_string(substances, ',') AS substances, CAST(granted AS VARCHAR) AS granted FROM claims",
-        "geo_claims_with_iron": c + "SELECT name, CAST(area_ha AS DOUBLE) AS area_ha, CAST(granted AS VARCHAR) AS granted FROM claims WHERE list_contains(substances, 'Fe') AND area_ha > 8",
-        "geo_layer_selection": units_sql("'units' AS layer", "f->>'$.id' AS feature_id", f"trim({unit(UNIT)}) AS name"),
-        "geo_layer_counts": c + "SELECT 'claims' AS layer, count(*) AS n, count(f->'$.properties." + SUBSTANCES[2] + "') AS with_third FROM cf UNION ALL SELECT 'units', count(*), count(t) FROM (" + units_sql(f"f->'$.properties.{SUBSTANCES[2]}' AS t") + ")",
-        "geo_unit_lists": units_sql(f"trim({unit(UNIT)}) AS name", f"CAST({unit(POPULATION)} AS INTEGER) AS population", f"CAST({unit(UNIT_AREA)} AS DOUBLE) AS area_total", f"{policy} AS policy", f"array_to_string({classes}, '|') AS classes", f"array_to_string({conflicts}, '|') AS conflicts"),
-        "geo_units_by_policy": units_sql("f->>'$.id' AS feature_id") + f" WHERE {policy} = 'Protección'",
-        "geo_policy_values": units_sql("DISTINCT 'units' AS layer", f"{policy} AS value"),
-        "geo_holder_values": c + "SELECT DISTINCT 'claims' AS layer, holder AS value FROM claims",
-        "geo_text_without_accents": units_sql("f->>'$.id' AS feature_id", f"len({classes}) AS items") + f" WHERE contains(lower(strip_accents({unit(CLASSES)})), 'bahia')",
-        "geo_features_in_view": c + "SELECT name FROM e GROUP BY name HAVING min(x1) <= 7 AND max(x1) >= 4.5 AND min(y1) <= 9 AND max(y1) >= 4.5",
-        "geo_area_by_holder": c + "SELECT holder, count(*) AS n, CAST(sum(area_ha) AS DOUBLE) AS area_ha FROM claims GROUP BY holder",
-        "geo_area_by_year": c + "SELECT CAST(year(granted) AS BIGINT) AS year, count(*) AS n, CAST(sum(area_ha) AS DOUBLE) AS area_ha FROM claims GROUP BY ALL",
-        "geo_area_by_substance": c + "SELECT substance, count(*) AS n, CAST(sum(area_ha) AS DOUBLE) AS area_ha FROM (SELECT unnest(substances) AS substance, area_ha FROM claims) GROUP BY substance",
-        "geo_claim_edges": c + "SELECT name, CAST(seq AS BIGINT) AS seq, x1, y1, x2, y2 FROM e",
-        "geo_claim_bounds": c + f"SELECT name, {_BOUNDS} FROM e GROUP BY name",
-        "geo_claim_areas": c + f"SELECT name, abs(sum{cross}) / 2 AS area FROM e GROUP BY name",
-        "geo_claim_measures": c + f"SELECT name, sum{cross} / 2 AS area, any_value(len(r)) AS vertices, "
+    bounded = f"SELECT layer, feature_id, 'Polygon' AS geom_type, any_value(name) AS name, {_BOUNDS} FROM claims JOIN e USING (layer, feature_id) GROUP BY ALL"
+    kinds = "['Polygon', 'MultiPolygon', 'Point', 'LineString'][CAST(k % 4 AS INTEGER) + 1]"
+    every = f"({bounded} UNION ALL SELECT layer, feature_id, {kinds}, name, xmin, ymin, xmax, ymax FROM units)"
+    made = {
+        "claims_typed": "SELECT layer, title, name, CAST(area_ha AS DOUBLE) AS area_ha, holder, array_to_string(substances, ',') AS substances, CAST(granted AS VARCHAR) AS granted FROM claims",
+        "claims_with_iron": "SELECT title, name, CAST(area_ha AS DOUBLE) AS area_ha, CAST(granted AS VARCHAR) AS granted FROM claims WHERE list_contains(substances, 'Fe') AND area_ha > 905",
+        "layer_selection": "SELECT layer, feature_id, name FROM (SELECT layer, feature_id, name FROM claims UNION ALL SELECT layer, feature_id, name FROM units) WHERE layer IN ('units-0', 'units-1', 'claims 2')",
+        "layer_counts": "SELECT layer, count(*) AS n, count(*) FILTER (len(substances) > 2) AS with_third FROM claims GROUP BY layer UNION ALL SELECT layer, count(*), 0 FROM units GROUP BY layer",
+        "unit_lists": "SELECT name, population, area_total, policy, array_to_string(classes, '|') AS classes, array_to_string(conflicts, '|') AS conflicts FROM units",
+        "units_by_policy": "SELECT layer, feature_id FROM units WHERE policy = 'Protección'",
+        "policy_values": "SELECT DISTINCT layer, policy AS value FROM units",
+        "holder_values": "SELECT DISTINCT layer, holder AS value FROM claims",
+        "text_without_accents": "SELECT feature_id, len(classes) AS items FROM units WHERE contains(lower(strip_accents(kinds)), 'bahia')",
+        "features_in_view": f"SELECT layer, feature_id, geom_type FROM {every} WHERE {_VIEW}",
+        "area_by_holder": "SELECT holder, count(*) AS n, CAST(sum(area_ha) AS DOUBLE) AS area_ha FROM claims GROUP BY holder",
+        "area_by_year": "SELECT CAST(year(granted) AS BIGINT) AS year, count(*) AS n, CAST(sum(area_ha) AS DOUBLE) AS area_ha FROM claims GROUP BY ALL",
+        "area_by_substance": "SELECT substance, count(*) AS n, CAST(sum(area_ha) AS DOUBLE) AS area_ha FROM (SELECT unnest(substances) AS substance, area_ha FROM claims) GROUP BY substance",
+        "claim_edges": "SELECT layer, feature_id, CAST(seq AS BIGINT) AS seq, x1, y1, x2, y2 FROM e",
+        "claim_bounds": f"SELECT layer, feature_id, {_BOUNDS} FROM e GROUP BY ALL",
+        "claim_areas": f"SELECT layer, feature_id, abs(sum{cross}) / 2 AS area FROM e GROUP BY ALL",
+        "claim_measures": f"SELECT layer, feature_id, sum{cross} / 2 AS area, any_value(len(r)) AS vertices, "
         f"CAST(any_value(r[1] <> r[len(r)])::INTEGER + any_value(len(r) < 4)::INTEGER + (sum{cross} < 0)::INTEGER AS BIGINT) AS faults, "
-        f"round(abs(sum(radians(x2 - x1) * (2 + sin(radians(y1)) + sin(radians(y2))))) * {radius}, 2) AS hectares, "
-        f"round(sum((x1 + x2) * {cross}) / (3 * sum{cross}), 6) AS cx, round(sum((y1 + y2) * {cross}) / (3 * sum{cross}), 6) AS cy FROM e JOIN rings USING (name) GROUP BY name",
-        "geo_customers_in_claims": c + _POINTS + "SELECT name, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM h JOIN p USING (c_custkey) GROUP BY name",
-        "geo_points_per_overlap": c + _POINTS + "SELECT claims, count(*) AS n FROM (SELECT p.c_custkey, count(h.name) AS claims FROM p LEFT JOIN h USING (c_custkey) GROUP BY ALL) GROUP BY claims",
-        "geo_orders_in_claims": c + _POINTS + "SELECT name, count(*) AS orders, count(DISTINCT c_custkey) AS customers FROM h JOIN orders ON o_custkey = c_custkey GROUP BY name",
-        "geo_layer_files": c + f"SELECT 'claims' AS layer, CAST(title AS VARCHAR) AS feature_id, name, {_BOUNDS} FROM claims JOIN e USING (name) GROUP BY title, name UNION ALL "
-        + units_sql("'units'", "f->>'$.id'", unit(UNIT), f"list_min({axis(1)})", f"list_min({axis(2)})", f"list_max({axis(1)})", f"list_max({axis(2)})"),
-        "geo_layer_file": c + "SELECT 'claims' AS layer, CAST(title AS VARCHAR) AS feature_id, title, holder, CAST(area_ha AS DOUBLE) AS area_ha, count(*) AS sides FROM claims JOIN e USING (name) GROUP BY title, holder, area_ha",
-        "geo_ingested_view": c + "SELECT 'claims' AS layer, CAST(title AS VARCHAR) AS feature_id, min(x1) AS xmin, max(y1) AS ymax FROM claims JOIN e USING (name) GROUP BY title HAVING min(x1) <= 7 AND max(x1) >= 4.5 AND min(y1) <= 9 AND max(y1) >= 4.5",
-        "geo_faulty_rings": f"WITH a AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 5 = 0 THEN [[0,0],[2,0],[0,0]]::DOUBLE[][] ELSE {square} END AS r FROM supplier), "
+        f"round(abs(sum(radians(x2 - x1) * (2 + sin(radians(y1)) + sin(radians(y2))))) * {radius}, 1) AS hectares, "
+        f"round(sum((x1 + x2) * {cross}) / (3 * sum{cross}), 4) AS cx, round(sum((y1 + y2) * {cross}) / (3 * sum{cross}), 4) AS cy FROM e JOIN claims USING (layer, feature_id) GROUP BY ALL",
+        "customers_in_claims": "SELECT layer, feature_id, count(*) AS n, CAST(sum(CAST(c_acctbal AS DECIMAL(20,2))) AS DOUBLE) AS balance FROM h JOIN p USING (c_custkey) GROUP BY ALL",
+        "points_per_overlap": "SELECT claims, count(*) AS n FROM (SELECT p.c_custkey, count(h.feature_id) AS claims FROM p LEFT JOIN h USING (c_custkey) GROUP BY ALL) GROUP BY claims",
+        "orders_in_claims": "SELECT layer, feature_id, count(*) AS orders, count(DISTINCT c_custkey) AS customers FROM h JOIN orders ON o_custkey = c_custkey GROUP BY ALL",
+        "layer_files": f"SELECT layer, feature_id, name, xmin, ymin, xmax, ymax FROM {every}",
+        "layer_file": "SELECT layer, feature_id, title, holder, CAST(area_ha AS DOUBLE) AS area_ha, CAST(len(r) - 1 AS BIGINT) AS sides FROM claims",
+        "ingested_view": f"SELECT layer, feature_id, xmin, ymax FROM {every} WHERE {_VIEW} AND layer IN ('claims 0', 'units-1')",
+        "repeated_names": "SELECT layer, name || ' ' AS feature_id, count(*) AS n FROM claims GROUP BY ALL HAVING count(*) > 1",
+    }
+    joins = {"customers_in_claims", "points_per_overlap", "orders_in_claims"}
+    made = {k: tables.SQL + (_HITS if k in joins else "") + v for k, v in made.items()}
+    made |= {
+        "faulty_rings": f"WITH a AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 5 = 0 THEN [[0,0],[2,0],[0,0]]::DOUBLE[][] ELSE {square} END AS r FROM supplier), "
         "b AS (SELECT k, CASE WHEN k % 3 = 0 THEN r[:len(r) - 1] ELSE r END AS r FROM a), d AS (SELECT k, CASE WHEN k % 2 = 0 THEN list_reverse(r) ELSE r END AS r FROM b), "
         "g AS (SELECT r, list_sum(list_transform(range(1, len(r)), lambda i: r[i][1] * r[i + 1][2] - r[i + 1][1] * r[i][2])) AS twice FROM d) "
         "SELECT array_to_string(list_filter([CASE WHEN r[1] <> r[len(r)] THEN 'open' END, CASE WHEN len(r) < 4 THEN 'short' END, CASE WHEN twice < 0 THEN 'clockwise' END], lambda x: x IS NOT NULL), ',') AS faults, count(*) AS n FROM g GROUP BY ALL",
-        "geo_generated_layers": "SELECT s_nationkey AS nation, count(*) AS n, CAST(sum(s_suppkey) AS DOUBLE) AS x, CAST(max(s_nationkey) AS DOUBLE) AS y FROM supplier GROUP BY s_nationkey",
+        "generated_layers": "SELECT s_nationkey AS nation, count(*) AS n, CAST(sum(s_suppkey) AS DOUBLE) AS x, CAST(max(s_nationkey) AS DOUBLE) AS y FROM supplier GROUP BY s_nationkey",
     }
+    return {f"geo_{k}": v for k, v in made.items()}

@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import new_folder
+from ..operators.aggregates import Covered, aggregated
+from ..operators.intervals import as_of_join, overlap_join
+from ..session import temporary_folder
 from ..streaming.events import event_stream, sessions, to_latest, tumbling
 
 
@@ -62,11 +64,34 @@ def join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
 
 
+def join_range_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines whose price lies at an order's or up to a span above it, in cents: a few spans are a hundred times as long as the rest."""
+    cents = lambda c: F.round(F.col(c) * 100).cast("long")
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey", cents("o_totalprice").alias("low"))
+    orders = orders.withColumn("high", F.col("low") + F.when(F.col("o_orderkey") % 100 == 0, 5000).otherwise(50))
+    lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", cents("l_extendedprice").alias("price"))
+    return overlap_join(lines, orders, ("price", "price", "low", "high")).select("o_orderkey", "l_orderkey", "l_linenumber")
+
+
+def join_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a customer's orders that are open at once: spans of days that meet, by equal customers and cells."""
+    day = F.unix_date(F.col("o_orderdate").cast("date")).cast("long")
+    length = F.when(F.col("o_orderpriority") == "1-URGENT", 3).when(F.col("o_orderpriority") == "5-LOW", 200).otherwise(30)
+    side = lambda s: _t(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias(s), day.alias(f"{s}_low"), (day + length).alias(f"{s}_high"))
+    return overlap_join(side("a"), side("b"), ("a_low", "a_high", "b_low", "b_high"), ["o_custkey"]).where("a < b").select("o_custkey", "a", "b")
+
+
+def aggregate_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days on which a customer has an order open, by an aggregate of our own; spans that overlap count once."""
+    day = F.unix_date(F.col("o_orderdate").cast("date"))
+    rows = _t(spark, sf_dir, "orders").select("o_custkey", day.alias("low"), (day + F.when(F.col("o_orderpriority") == "5-LOW", 200).otherwise(30)).alias("high"))
+    return aggregated(rows, ["o_custkey"], ["low", "high"], Covered(), "days")
+
+
 def join_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each purchase the user's latest view before it, by one sort of both."""
-    events = _t(spark, sf_dir, "events")
-    last = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    seen = events.withColumn("seen", F.last(F.when(F.col("event_type") == "view", F.col("event_id")), ignorenulls=True).over(last))
+    """For each purchase the user's latest view before it; a user's days are parts of their own."""
+    view = F.when(F.col("event_type") == "view", F.col("event_id"))
+    seen = as_of_join(_t(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], view, bucket=F.to_date("ts"), name="seen")
     return seen.where(F.col("event_type") == "purchase").select("event_id", "user_id", "seen")
 
 
@@ -241,7 +266,7 @@ def windows_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``windows_by_day`` from a stream that runs over what is there, its state kept in the shared folder."""
-    folder = new_folder(spark, "stream")
+    folder = temporary_folder(spark, "stream")
     to_latest(tumbling(event_stream(spark, sf_dir)), f"{folder}/out", f"{folder}/state")
     return spark.read.parquet(f"{folder}/out").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
@@ -253,7 +278,7 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     pricing_summary, join_revenue_by_nation, join_left, join_full, join_semi, join_anti, join_range, join_as_of, join_interval, grouping_cube,
-    grouping_rollup, window_rank, window_lag, window_running, window_ntile, top_orders, set_union, set_intersect_all, set_except_all, pivot_status,
+    join_range_spans, join_overlaps, aggregate_covered, grouping_rollup, window_rank, window_lag, window_running, window_ntile, top_orders, set_union, set_intersect_all, set_except_all, pivot_status,
     unpivot_prices, strings, dates, json_keys, arrays, approximate_users, windows_by_day, user_sessions, grouping_sets, window_ends, window_range,
     dates_apart, json_values, maps, stream_windows, vectorised_function, table_function,
 )
@@ -308,5 +333,13 @@ def oracle_sql() -> dict[str, str]:
         "json_values": "SELECT event_type, CAST(sum(k) AS BIGINT) AS sum, max(k) AS most, count(*) FILTER (k % 2 = 0) AS even FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY event_type",
         "maps": "WITH c AS (SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY ALL) SELECT c_mktsegment, (SELECT count(*) FROM c d WHERE d.c_mktsegment = c.c_mktsegment) AS nations, c_nationkey AS nation, n * 2 AS twice FROM c WHERE n > 1 AND c_nationkey <> 7",
     }
+    made |= {
+        "join_range_spans": "WITH o AS (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS low, CASE WHEN o_orderkey % 100 = 0 THEN 5000 ELSE 50 END AS span FROM orders), "
+        "l AS (SELECT l_orderkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT) AS price FROM lineitem) SELECT o_orderkey, l_orderkey, l_linenumber FROM l JOIN o ON price >= low AND price <= low + span",
+        "join_overlaps": "WITH o AS (SELECT o_custkey, o_orderkey AS k, date_diff('day', DATE '1970-01-01', o_orderdate) AS low, date_diff('day', DATE '1970-01-01', o_orderdate) + "
+        "CASE o_orderpriority WHEN '1-URGENT' THEN 3 WHEN '5-LOW' THEN 200 ELSE 30 END AS high FROM orders) SELECT a.o_custkey, a.k AS a, b.k AS b FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND a.k < b.k AND a.low <= b.high AND b.low <= a.high",
+        "aggregate_covered": "WITH o AS (SELECT o_custkey, date_diff('day', DATE '1970-01-01', o_orderdate) AS low, date_diff('day', DATE '1970-01-01', o_orderdate) + CASE o_orderpriority WHEN '5-LOW' THEN 200 ELSE 30 END AS high FROM orders), "
+        "d AS (SELECT DISTINCT o_custkey, unnest(range(low, high + 1)) AS day FROM o) SELECT o_custkey, count(*) AS days FROM d GROUP BY o_custkey",
+    }
     made["stream_windows"] = made["windows_by_day"]
     return {f"x_{k}": v for k, v in made.items()}

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import with_bounds
 from ..operators.layers import TITLE
 
-FEATURES = "array<struct<type: string, id: string, properties: map<string, string>, geometry: struct<type: string, coordinates: string>>>"
+FEATURES = "array<struct<type: string, id: string, properties: map<string, string>, geometry: struct<type: string, coordinates: string, geometries: string>>>"
 ENVELOPE = f"type string, features {FEATURES}"
 #: The attributes that tell features apart where they have no id.
 NATURAL_KEYS = (TITLE,)
@@ -58,7 +58,7 @@ def parse_layers(texts: DataFrame, *, repair: bool = False, keys: Sequence[str]
         F.coalesce("id", *named, F.concat(F.lit("#"), F.col("at").cast("string"))).alias("feature_id"),
         F.coalesce("properties", F.create_map().cast("map<string, string>")).alias("props"),
         F.col("geometry.type").alias("geom_type"),
-        F.col("geometry.coordinates").alias("coords_json"),
+        F.coalesce("geometry.coordinates", "geometry.geometries").alias("coords_json"),
     )
 
 

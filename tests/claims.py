@@ -6,9 +6,9 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.geometry import with_bounds
-from ..operators.layers import AREA, CLASSES, CONFLICTS, GRANTED, HOLDER, NAME, PLACE, POLICY, POPULATION, SUBSTANCES, TITLE, UNIT, UNIT_AREA
-from ..sources.geojson import parse_layers
+from lithospark.functions.geometry import with_bounds
+from lithospark.operators.layers import AREA, CLASSES, CONFLICTS, GRANTED, HOLDER, NAME, PLACE, POLICY, POPULATION, SUBSTANCES, TITLE, UNIT, UNIT_AREA
+from lithospark.sources.geojson import parse_layers
 
 #: Number, name, area, holder, substances, grant, ring.
 CLAIMS = (
@@ -43,30 +43,7 @@ def claims_layer(spark: SparkSession) -> DataFrame:
     return with_bounds(parse_layers(spark.createDataFrame([("claims", claims_json())], "layer string, text string")))
 
 
-def units_layer(spark: SparkSession) -> DataFrame:
-    return with_bounds(parse_layers(spark.createDataFrame([("units", unit_fragment())], "layer string, text string"), repair=True))
-
-
 def write_texts(spark: SparkSession, folder: str) -> None:
     """Both layers as files of a folder, one each."""
     for layer, text in (("claims", claims_json()), ("units", unit_fragment())):
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{folder}/{layer}.geojson")
-
-
-def claims_sql() -> str:
-    """From the layer's text the claims as a common table expression ``claims``, their rings as ``rings`` and edges as ``e``."""
-    of = lambda key: f"f->>'$.properties.{key}'"
-    substances = ", ".join(of(k) for k in SUBSTANCES)
-    return (
-        f"WITH cf AS (SELECT unnest(json_extract('{claims_json()}'::JSON, '$.features[*]')) AS f), "
-        f"claims AS (SELECT CAST({of(TITLE)} AS BIGINT) AS title, {of(NAME)} AS name, CAST({of(AREA)} AS DECIMAL(20,11)) AS area_ha, {of(HOLDER)} AS holder, "
-        f"list_filter([{substances}], lambda x: x IS NOT NULL) AS substances, CAST(strptime({of(GRANTED)}, '%Y/%m/%d') AS DATE) AS granted FROM cf), "
-        f"rings AS (SELECT {of(NAME)} AS name, CAST(f->'$.geometry.coordinates[0]' AS DOUBLE[][]) AS r FROM cf), "
-        "e AS (SELECT name, k - 1 AS seq, r[k][1] AS x1, r[k][2] AS y1, r[k + 1][1] AS x2, r[k + 1][2] AS y2 FROM (SELECT name, r, unnest(range(1, len(r))) AS k FROM rings)) "
-    )
-
-
-def units_sql(*columns: str) -> str:
-    """A query of the unit's text, made whole as ``repair`` makes it; ``f`` is the feature."""
-    text = unit_fragment().replace("'", "''")
-    return f"SELECT {', '.join(columns)} FROM (SELECT unnest(json_extract(('{{' || rtrim('{text}', ', ' || chr(10)) || '}}')::JSON, '$.features[*]')) AS f)"

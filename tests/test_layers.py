@@ -9,12 +9,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from lithospark.functions.attributes import has_prop, matches_text, prop
-from lithospark.operators.layers import by_key, by_substance, categories, concessions, in_view, land_units, layers, with_policy, with_substance
-from lithospark.plans.claims import claims_json, unit_fragment, write_texts
+from lithospark.operators.layers import by_key, by_substance, categories, concessions, in_view, land_units, layers, repeats, with_policy, with_substance
 from lithospark.operators.spatial import edges
 from lithospark.session import shared_folder
 from lithospark.sources.geojson import ingest, open_layers, read_layer, read_layers
 
+from .claims import claims_json, unit_fragment, write_texts
+
 MIXED = """{"type": "FeatureCollection", "features": [
  {"type": "Feature", "id": "p", "properties": null, "geometry": {"type": "Point", "coordinates": [1, 2]}},
  {"type": "Feature", "id": "n", "properties": {}, "geometry": null},
@@ -72,6 +73,24 @@ def test_other_geometries_keep_their_coordinates(spark, folder):
     assert rows["m"].props == {"a": '{"b":1}', "c": None}
 
 
+EVERY = """{"type": "FeatureCollection", "features": [
+ {"type": "Feature", "id": "l", "geometry": {"type": "LineString", "coordinates": [[0, 5], [3, 1.5e0], [2, -1]]}},
+ {"type": "Feature", "id": "mp", "geometry": {"type": "MultiPoint", "coordinates": [[7, 7], [8, 9, 100]]}},
+ {"type": "Feature", "id": "ml", "geometry": {"type": "MultiLineString", "coordinates": [[[1, 1], [2, 2]], [[-3, 4], [0, 0]]]}},
+ {"type": "Feature", "id": "c", "geometry": {"type": "GeometryCollection", "geometries": [{"type": "Point", "coordinates": [1, 2]}, {"type": "LineString", "coordinates": [[ -5e1 , 6], [3, 4]]}]}},
+ {"type": "Feature", "id": "e", "geometry": {"type": "MultiPoint", "coordinates": []}}, {"type": "Feature", "id": "e"}]}"""
+
+
+def test_every_kind_of_geometry_has_bounds_and_can_be_in_view(spark, folder):
+    (folder / "every.geojson").write_text(EVERY)
+    found = read(spark, folder, "every.geojson")
+    rows = {r.feature_id: (r.xmin, r.ymin, r.xmax, r.ymax) for r in found.collect()}
+    assert rows == {"l": (0, -1, 3, 5), "mp": (7, 7, 8, 9), "ml": (-3, 0, 2, 4), "c": (-50, 2, 3, 6), "e": (None,) * 4}
+    assert sorted(r.feature_id for r in in_view(found, -10, 4.5, -4, 5).collect()) == ["c"]
+    assert sorted(r.feature_id for r in in_view(found, 0, 0, 1, 1).collect()) == ["l", "ml"]
+    assert [tuple(r) for r in repeats(found).collect()] == [("every", "e", 2)]
+
+
 def test_folder_and_ingest(spark, folder, tmp_path):
     found = read_layers(spark, str(folder), repair=True)
     assert {r.layer: r["count"] for r in found.groupBy("layer").count().collect()} == {"claims fixture": 4, "crlf": 4, "fragment": 1, "mixed": 3}

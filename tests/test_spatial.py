@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import random
 from collections import Counter
 
 import pytest
@@ -11,8 +13,9 @@ from pyspark.sql import functions as F
 
 from lithospark.functions.geometry import centroid, hectares, ring_faults, signed_area
 from lithospark.operators.layers import concessions
-from lithospark.operators.spatial import bounds, crosses, edges, planar_areas, points_in_polygons
-from lithospark.plans.claims import claims_layer
+from lithospark.operators.spatial import MOST_SIDES, SPLITS, bounds, cover, crosses, edges, planar_areas, points_in_polygons
+
+from .claims import claims_layer
 
 LOOKUPS = {
     "P1": (1.0, 1.0, {"ALPHA"}), "P2": (4.0, 1.0, {"BETA"}), "P3": (3.5, 3.5, {"ALPHA", "DELTA"}), "P4": (3.0, 7.0, set()),
@@ -25,10 +28,9 @@ def sides(spark):
     return edges(concessions(claims_layer(spark)), "name").cache()
 
 
-@pytest.mark.parametrize("cell", [0.5, 1.0, 7.0])
-def test_point_lookup(spark, sides, cell):
-    points = spark.createDataFrame([(k, x, y) for k, (x, y, _) in LOOKUPS.items()] + [("none", None, 1.0)], "p string, x double, y double")
-    found = {(r.p, r.name) for r in points_in_polygons(points, sides, "name", cell=cell).collect()}
+def test_point_lookup(spark, sides):
+    points = spark.createDataFrame([(k, x, y) for k, (x, y, _) in LOOKUPS.items()] + [("none", None, 1.0), ("far", float("inf"), 1.0), ("nan", 1.0, float("nan"))], "p string, x double, y double")
+    found = {(r.p, r.name) for r in points_in_polygons(points, sides, "name").collect()}
     assert found == {(k, n) for k, (_, _, names) in LOOKUPS.items() for n in names}
 
 
@@ -58,10 +60,58 @@ def test_ring_measures(spark):
     assert got["ok"].h == pytest.approx(2 * 111319.49**2 / 1e4, rel=1e-3)
 
 
+def plain(points, sides, *keys):
+    met = points.join(F.broadcast(sides), crosses(F.col("x"), F.col("y"))).groupBy("p", *keys).count().where("count % 2 = 1")
+    return {(r.p, *[r[k] for k in keys]) for r in met.collect()}
+
+
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.tuples(st.floats(-1, 9), st.floats(-1, 9)), min_size=1, max_size=30), st.sampled_from([0.3, 1.0, 2.5]))
-def test_grid_join_equals_plain_join(spark, sides, places, cell):
+@given(st.lists(st.tuples(st.floats(-1, 9), st.floats(-1, 9)), min_size=1, max_size=30))
+def test_join_by_cells_equals_plain_join(spark, sides, places):
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "p int, x double, y double")
+    assert {(r.p, r.name) for r in points_in_polygons(points, sides, "name").collect()} == plain(points, sides, "name")
+
+
+def ring(points):
+    return [(i, *a, *b) for i, (a, b) in enumerate(zip(points, [*points[1:], points[0]]))]
+
+
+@pytest.fixture(scope="module")
+def crowd(spark):
+    """A large star of many sides with a hole, among many small squares, two of them with one name in different layers."""
+    star = [((300 + 200 * (k % 2)) * math.cos(k * math.pi / 500) + 0.1, (300 + 200 * (k % 2)) * math.sin(k * math.pi / 500)) for k in range(1000)]
+    hole = [(-50.0, -50.0), (-50.0, 50.0), (50.0, 50.0), (50.0, -50.0)]
+    rows = [("big", "star", *s) for s in ring(star) + ring(hole)]
+    for k in range(300):
+        x, y, w = float(k * 37 % 1000 - 500), float(k * 91 % 1000 - 500), 0.25 * (1 + k % 9)
+        rows += [(f"l{k % 2}", f"f{k // 2}", *s) for s in ring([(x, y), (x + w, y), (x + w, y + w), (x, y + w)])]
+    return spark.createDataFrame(rows, "layer string, feature_id string, seq int, x1 double, y1 double, x2 double, y2 double").cache()
+
+
+def test_a_large_polygon_among_small_ones(spark, crowd):
+    pick = random.Random(7)
+    places = [(pick.uniform(-520, 520), pick.uniform(-520, 520)) for _ in range(1500)] + [(float(k * 37 % 1000 - 500), float(k * 91 % 1000 - 500)) for k in range(300)]
+    places += [(pick.randrange(-500, 500) / 1.0, pick.randrange(-500, 500) / 1.0) for _ in range(500)]
     points = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "p int, x double, y double")
-    grid = {(r.p, r.name) for r in points_in_polygons(points, sides, "name", cell=cell).collect()}
-    plain = points.join(F.broadcast(sides), crosses(F.col("x"), F.col("y"))).groupBy("p", "name").count().where("count % 2 = 1")
-    assert grid == {(r.p, r.name) for r in plain.collect()}
+    found = points_in_polygons(points, crowd)
+    assert {(r.p, r.layer, r.feature_id) for r in found.collect()} == plain(points, crowd, "layer", "feature_id")
+    assert found.columns == ["p", "x", "y", "layer", "feature_id"]
+
+
+def test_cells_are_bounded_and_inner_ones_hold_no_sides(crowd):
+    cells = cover(crowd).cache()
+    counts = {(r.layer, r.feature_id): r["count"] for r in cells.groupBy("layer", "feature_id").count().collect()}
+    assert max(n for (layer, _), n in counts.items() if layer != "big") <= 4
+    assert 16 < counts["big", "star"] <= 4 * 4**SPLITS
+    assert cells.where("inner and size(sides) > 0").isEmpty() and not cells.where("inner and layer = 'big'").isEmpty()
+    # A cell of the smallest size has as many sides as its row; all others few.
+    least = cells.where("layer = 'big'").agg(F.min("level")).first()[0]
+    assert cells.where((F.col("layer") == "big") & (F.col("level") > least) & (F.size("sides") > MOST_SIDES)).isEmpty()
+
+
+def test_equal_names_in_two_layers_are_two_polygons(spark):
+    square = ring([(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)])
+    sides = spark.createDataFrame([(layer, "same", *s) for layer in ("a", "b") for s in square], "layer string, feature_id string, seq int, x1 double, y1 double, x2 double, y2 double")
+    points = spark.createDataFrame([(1, 1.0, 1.0)], "p int, x double, y double")
+    assert sorted(r.layer for r in points_in_polygons(points, sides).collect()) == ["a", "b"]
+    assert points_in_polygons(points, sides.where("false")).count() == 0 and points_in_polygons(points.where("false"), sides).count() == 0

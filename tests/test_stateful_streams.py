@@ -1,0 +1,74 @@
+"""Streams with state: late and repeated rows, timers, and two streams joined."""
+
+from __future__ import annotations
+
+import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from lithospark.streaming.replay import ROCKS, replay
+from lithospark.streaming.state import deduplicated, interval_join, outcomes
+
+START = datetime.datetime(2024, 1, 1)
+
+
+def events(spark, rows):
+    """Rows ``(event_id, user_id, event_type, minute, batch)``."""
+    made = [(i, u, kind, START + datetime.timedelta(minutes=m), b) for i, u, kind, m, b in rows]
+    return spark.createDataFrame(made, "event_id long, user_id long, event_type string, ts timestamp, batch int")
+
+
+def run(spark, tmp_path, rows, made, **more):
+    told = replay(rows, "batch", str(tmp_path / "stream"), made, out=str(tmp_path / "out"), **more)
+    return told, spark.read.parquet(str(tmp_path / "out"))
+
+
+def test_late_rows_go_and_are_counted_and_repeats_go_once(spark, tmp_path):
+    # After the first batch the watermark is an hour behind minute 200: rows up to minute 140 are late.
+    rows = events(spark, [(1, 1, "x", 0, 0), (2, 1, "x", 200, 0), (1, 1, "x", 0, 0), (2, 1, "x", 200, 1), (3, 1, "x", 140, 1), (4, 1, "x", 141, 1), (1, 1, "x", 0, 1), (5, 1, "x", 30, 2)])
+    told, out = run(spark, tmp_path, rows, lambda s: deduplicated(s, "event_id", late="1 hour"))
+    assert sorted(r.event_id for r in out.collect()) == [1, 2, 4]
+    assert [(t.batch, t.late) for t in told] == [(0, 0), (1, 2), (2, 1)]
+
+
+def test_state_of_seen_keys_goes(spark, tmp_path):
+    rows = events(spark, [(k, 1, "x", 60 * b, b) for b in range(4) for k in range(50 * b, 50 * b + 50)])
+    told, out = run(spark, tmp_path, rows, lambda s: deduplicated(s, "event_id", late="30 minutes"))
+    assert out.count() == 200
+    assert all(t.held <= 100 for t in told)
+
+
+def test_timers_decide_views_in_any_order(spark, tmp_path):
+    hour = 60
+    rows = [
+        (1, 1, "view", 0, 0), (2, 1, "purchase", 30, 0), (3, 1, "view", 40, 0), (4, 2, "view", 10, 0), (5, 2, "purchase", 70, 0), (6, 2, "purchase", 65, 1),
+        (7, 1, "view", 500, 1), (8, 1, "purchase", 520, 1), (9, 3, "view", 600, 1), (10, 1, "purchase", 510, 2), (11, 3, "purchase", 590, 2), (12, 9, "other", 2000, 3),
+        (13, 9, "view", 1990, 4), (14, 2, "purchase", 12, 2),
+    ]
+    told, out = run(spark, tmp_path, events(spark, rows), lambda s: outcomes(s, within_ms=hour * 60_000, late="2 hours"), state=ROCKS)
+    got = {r.event_id: (r.user_id, r.outcome, r.purchase_id) for r in out.collect()}
+    # 6 came after 5 but lies before it, as 10 and 8; 14 came too late; 11 lies before its view; 13 is not decided yet.
+    assert got == {1: (1, "bought", 2), 3: (1, "abandoned", None), 4: (2, "bought", 6), 7: (1, "bought", 10), 9: (3, "abandoned", None)}
+
+
+def test_both_sides_of_a_stream_join_are_cleared(spark, tmp_path):
+    rows = [(1000 * b + k, k % 20, "click" if k % 2 else "purchase", 600 * b + k, b) for b in range(5) for k in range(100)]
+    rows = events(spark, rows)
+
+    def made(s):
+        a = s.where("event_type = 'click'").select("user_id", F.col("event_id").alias("a"), F.col("ts").alias("ta"))
+        b = s.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("b"), F.col("ts").alias("tb"))
+        return interval_join(a, b, "user_id", left_ts="ta", right_ts="tb", within="20 minutes", late="10 minutes")
+
+    told, out = run(spark, tmp_path, rows.withColumn("user_id", F.col("user_id") % 2 * 0), made)
+    plain = rows.alias("x").join(rows.alias("y"), F.expr("x.event_type = 'click' and y.event_type = 'purchase' and y.ts >= x.ts and y.ts <= x.ts + interval 20 minutes"))
+    want = sorted(tuple(r) for r in plain.select("x.event_id", "y.event_id").collect())
+    assert sorted((r.a, r.b) for r in out.collect()) == want and want
+    # Each batch brings 100 rows; what the ones before left is gone by the watermark.
+    assert all(t.held <= 100 for t in told) and max(t.most for t in told) <= 200
+
+
+@pytest.mark.parametrize("made", [lambda s: deduplicated(s, "event_id")])
+def test_no_rows(spark, tmp_path, made):
+    assert replay(events(spark, []), "batch", str(tmp_path / "stream"), made, out=str(tmp_path / "out")) == []
