@@ -117,21 +117,21 @@ def fingerprints(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Likeness of two fingerprints, from their strings; null where they give no estimate."""
+    """Likeness of two fingerprints, from their strings; null where they give no estimate, or where one is null."""
 
     @F.pandas_udf("double")
     def compared(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([Sketch.parse(x).likeness(Sketch.parse(y)) for x, y in zip(a, b, strict=True)], dtype=object)
+        return pd.Series([None if x is None or y is None else Sketch.parse(x).likeness(Sketch.parse(y)) for x, y in zip(a, b, strict=True)], dtype=object)
 
     return compared(a, b)
 
 
 def merged(a: Column, b: Column) -> Column:
-    """The fingerprint of two texts together, from their fingerprints."""
+    """The fingerprint of two texts together, from their fingerprints; of a null one and another, the other."""
 
     @F.pandas_udf("string")
     def together(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([str(Sketch.parse(x).merge(Sketch.parse(y))) for x, y in zip(a, b, strict=True)], dtype=object)
+        return pd.Series([x or y if x is None or y is None else str(Sketch.parse(x).merge(Sketch.parse(y))) for x, y in zip(a, b, strict=True)], dtype=object)
 
     return together(a, b)
 
@@ -163,11 +163,11 @@ def in_descending_blocks(docs: DataFrame, *, id_col: str, text_col: str, block_b
     starts = [k for k in keys[:: max(1, len(keys) // blocks)] if k != begin]
 
     @F.pandas_udf("array<int>")
-    def places(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+    def places(known: pd.Series, ids: pd.Series, hashes: pd.Series) -> pd.Series:
         """The row's block, and the block that it ends, written as its complement."""
         out = []
-        for known, i, h in zip(ids.notna(), ids.fillna(0), hashes, strict=True):
-            key = (not known, -int(i), -int(h))
+        for is_known, i, h in zip(known, ids, hashes, strict=True):
+            key = (not is_known, -int(i), -int(h))
             own = [bisect_right(starts, key)]
             if own[0] and bisect_left(starts, key) < own[0]:
                 own.append(~(own[0] - 1))
@@ -177,8 +177,10 @@ def in_descending_blocks(docs: DataFrame, *, id_col: str, text_col: str, block_b
         return pd.Series(out, dtype=object)
 
     place = F.col("place")
+    # Without nulls, pandas keeps ids whole; with them it would round large ones.
+    own = places(F.col("id").isNotNull(), F.coalesce("id", F.lit(0)), F.col("hash"))
     return (
-        rows.withColumn("place", F.explode(places("id", "hash")))
+        rows.withColumn("place", F.explode(own))
         .withColumns({"block": F.when(place < 0, F.bitwise_not(place)).otherwise(place), "tail": place < 0})
         .repartitionById(len(starts) + 1, "block")
         .sortWithinPartitions("block", "tail", F.col("id").desc_nulls_last(), F.col("hash").desc())

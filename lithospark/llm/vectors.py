@@ -2,8 +2,9 @@
 
 Rows are dealt over shards of bounded size by a hash. In each shard greedy
 searches propose neighbours for every vector, pruning with relaxed distances
-keeps diverse edges, and a beam search from the middle answers each query. The
-best of all shards are ranked by the exact cosine of the original vectors.
+keeps diverse edges, and a beam search from the nearest of a sample answers each
+query. The best of all shards are ranked by the exact cosine of the original
+vectors.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from .common import column, ship_package, table
 
 #: Vectors, and bytes of vectors and edges, in a shard, about. A table of fewer than ``SPREAD`` such shards has as many
 #: smaller ones, of ``LEAST_ROWS`` at least, so that it is built in parallel.
-SHARD_ROWS, SHARD_BYTES, SPREAD, LEAST_ROWS = 65_536, 128 << 20, 16, 4096
+SHARD_ROWS, SHARD_BYTES, SPREAD, LEAST_ROWS = 32_768, 128 << 20, 16, 4096
 #: Queries that one task searches a shard for.
 QUERY_ROWS = 16_384
 #: Edges out of a vector; candidates that a search keeps while building; the beam of a query.
@@ -28,24 +29,27 @@ DEGREE, BUILD_BEAM, BEAM = 24, 48, 64
 RELAX = 1.44
 #: Searches that advance together, and nodes that each opens at once.
 TOGETHER, OPENED = 256, 4
+#: One vector in so many, and so many of them at least, are looked at before a search, which begins at the nearest of them:
+#: a walk along edges alone would not leave a large cluster for another.
+ENTRY_SHARE, ENTRIES = 32, 256
 
 
 class Graph:
-    """Unit vectors, edges between them (padded by -1) and the vector where searches begin."""
+    """Unit vectors, edges between them (padded by -1) and the vectors where searches begin."""
 
-    def __init__(self, unit: np.ndarray, edges: np.ndarray, entry: int) -> None:
-        self.unit, self.edges, self.entry = unit, edges, entry
+    def __init__(self, unit: np.ndarray, edges: np.ndarray, entries: np.ndarray) -> None:
+        self.unit, self.edges, self.entries = unit, edges, entries
 
     @classmethod
     def build(cls, unit: np.ndarray, seed: int = 5) -> Graph:
         n = len(unit)
         rng = np.random.default_rng(seed)
-        entry = int(np.argmax(unit @ unit.mean(axis=0)))
+        entries = np.sort(rng.permutation(n)[: max(ENTRIES, n // ENTRY_SHARE)]).astype(np.int32)
         degree = min(DEGREE, n - 1)
         edges = np.full((n, DEGREE), -1, dtype=np.int32)
         if degree:
             edges[:, :degree] = (np.arange(n)[:, None] + rng.integers(1, n, (n, degree))) % n
-        graph = cls(unit, edges, entry)
+        graph = cls(unit, edges, entries)
         if n > 2:
             for _ in range(2):
                 order = rng.permutation(n)
@@ -64,12 +68,15 @@ class Graph:
         n, rows = len(queries), np.arange(len(queries))
         beam = np.full((n, width), -1, dtype=np.int32)
         far = np.full((n, width), np.inf, dtype=np.float32)
-        beam[:, 0] = self.entry
-        far[:, 0] = 2 - 2 * queries @ self.unit[self.entry]
+        begun = min(len(self.entries), max(1, width // 2))
+        apart = 2 - 2 * queries @ self.unit[self.entries].T
+        nearest = np.argpartition(apart, begun - 1, axis=1)[:, :begun]
+        beam[:, :begun] = self.entries[nearest]
+        far[:, :begun] = np.take_along_axis(apart, nearest, axis=1)
         open_ = np.zeros((n, width), dtype=bool)
-        open_[:, 0] = True
+        open_[:, :begun] = True
         met = np.zeros((n, len(self.unit)), dtype=bool)
-        met[:, self.entry] = True
+        met[rows[:, None], beam[:, :begun]] = True
         live = rows
         opened = min(OPENED, width)
         while len(live):
@@ -80,7 +87,8 @@ class Graph:
             open_[live[:, None], first] = False
             around = np.where(ready[:, :, None], self.edges[here], -1).reshape(len(live), -1)
             ahead = np.where(met[live[:, None], around], -1, around)
-            met[live[:, None], np.where(around < 0, self.entry, around)] = True
+            there, which = np.nonzero(around >= 0)
+            met[live[there], around[there, which]] = True
             ahead.sort(axis=1)
             ahead[:, 1:][ahead[:, 1:] == ahead[:, :-1]] = -1
             dist = self._distances(queries[live], ahead)
@@ -159,13 +167,13 @@ class Shard:
 
     def dumps(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, ids=self.ids, counts=self.counts, vectors=self.vectors, groups=self.groups, unit=self.graph.unit, edges=self.graph.edges, entry=self.graph.entry)
+        np.savez(out, ids=self.ids, counts=self.counts, vectors=self.vectors, groups=self.groups, unit=self.graph.unit, edges=self.graph.edges, entries=self.graph.entries)
         return out.getvalue()
 
     @classmethod
     def loads(cls, data: bytes) -> Shard:
         read = np.load(io.BytesIO(data))
-        return cls(read["ids"], read["counts"], read["vectors"], read["groups"], Graph(read["unit"], read["edges"], int(read["entry"])))
+        return cls(read["ids"], read["counts"], read["vectors"], read["groups"], Graph(read["unit"], read["edges"], read["entries"]))
 
     def nearest(self, numbers: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
         """The k nearest rows of all that the beam of each query holds, its own row left out, by exact cosine."""

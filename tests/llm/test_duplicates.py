@@ -207,6 +207,27 @@ def test_edits_take_the_next_document(spark, none):
     assert edit_likeness(spark.createDataFrame([(1, "a b")], "doc_id long, text string")).first().near_next == 1
 
 
+def test_edits_lose_no_row_beside_null_and_large_ids(spark):
+    pick = random.Random(9)
+    rows = [((1 << 60) + k, random_text(pick, 1 + pick.randrange(40))) for k in range(500)] + [(None, f"null {k} and more words here") for k in range(4)]
+    got = edit_likeness(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    order = sorted((r for r in rows if r[0] is not None), reverse=True)
+    by = {r.doc_id: r for r in got}
+    for (i, text), (_, following) in zip(order, order[1:]):
+        half = len(text) // 2
+        assert by[i].edited_sha256 == hashlib.sha256((text[: len(text) - half] + following[:half]).encode()).hexdigest()
+
+
+def test_null_fingerprints(spark):
+    made = spark.createDataFrame([("a b c", None), (None, None), ("a b c", "a b c")], "x string, y string")
+    some = lambda c: F.when(F.col(c).isNotNull(), F.col(f"f{c}"))
+    for c in "xy":
+        made = fingerprints(made, text_col=c).withColumnRenamed("fingerprint", f"f{c}")
+    got = made.select("x", "y", likeness(some("x"), some("y")).alias("l"), merged(some("x"), some("y")).alias("m"), "fx").collect()
+    assert [(r.l, r.m) for r in got] == [(None, got[0].fx), (None, None), (1.0, got[0].fx)]
+
+
 def test_edits_stand_odd_cases(docs, rows):
     assert edit_likeness(docs).count() == len(rows)
 

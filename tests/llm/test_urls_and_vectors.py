@@ -161,6 +161,18 @@ def test_recall_in_a_large_shard():
     assert np.mean([np.isin(b, f).mean() for b, f in zip(best, found, strict=True)]) >= 0.95
 
 
+def test_recall_in_a_shard_of_full_size_with_large_clusters():
+    from lithospark.llm.vectors import BEAM, SHARD_ROWS, Graph
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 64))[rng.integers(0, 300, SHARD_ROWS)] + 0.6 * rng.normal(size=(SHARD_ROWS, 64))
+    unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    asked = unit[:: SHARD_ROWS // 500]
+    found, _ = Graph.build(unit).search(asked, BEAM)
+    best = np.argsort(-(asked @ unit.T), axis=1)[:, :6]
+    assert np.mean([np.isin(b, f).mean() for b, f in zip(best, found, strict=True)]) >= 0.95
+
+
 def test_odd_vectors_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [1.0, None]), (7, []), (8, [1.0, 2.0, 3.0]), (None, [1.0, 0.0]), (9, [2.0, 0.0]), (9, [2.0, 0.0])]
