@@ -157,7 +157,7 @@ def layer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All layers written as files, fragments among them, and read as a folder: the features' names and bounds."""
     folder = _written(spark, claim_texts(spark, sf_dir).unionByName(unit_texts(spark, sf_dir)))
     found = read_layers(spark, folder, repair=True)
-    return found.select(F.replace("layer", F.lit("file="), F.lit("")).alias("layer"), "feature_id", F.trim(F.coalesce(prop(NAME), prop(UNIT))).alias("name"), "xmin", "ymin", "xmax", "ymax")
+    return found.select("layer", "feature_id", F.trim(F.coalesce(prop(NAME), prop(UNIT))).alias("name"), "xmin", "ymin", "xmax", "ymax")
 
 
 def layer_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +166,7 @@ def layer_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = concessions(read_layer(spark, f"{folder}/file=claims*.geojson"))
     sides = edges(claims).groupBy("layer", "feature_id").agg(F.count(F.lit(1)).alias("sides"))
     joined = claims.join(sides, ["layer", "feature_id"])
-    return joined.select(F.replace("layer", F.lit("file="), F.lit("")).alias("layer"), "feature_id", "title", "holder", _plain("area_ha"), "sides")
+    return joined.select("layer", "feature_id", "title", "holder", _plain("area_ha"), "sides")
 
 
 def ingested_view(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,22 +5,26 @@ until a geometry function parses them by type, so points and multipolygons are
 not lost to a polygon's schema; attributes are a map, so a key that a feature
 leaves out differs from one that is null.
 
-A file is one JSON text, so one task reads it whole and it must be under 2 GB;
-``ingest`` writes layers in a form that many tasks read.
+``read_layer`` takes a file as one JSON text, so one task reads it whole and it
+must be under 2 GB; ``ranges.scan_layer`` reads a large one in many tasks, and
+``ingest`` writes layers in a form that filters reach.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import with_bounds
 from ..operators.layers import TITLE
 
-FEATURES = "array<struct<type: string, id: string, properties: map<string, string>, geometry: struct<type: string, coordinates: string, geometries: string>>>"
+FEATURE = "struct<type: string, id: string, properties: map<string, string>, geometry: struct<type: string, coordinates: string, geometries: string>>"
+FEATURES = f"array<{FEATURE}>"
 ENVELOPE = f"type string, features {FEATURES}"
+OPEN, CLOSE = '{"type":"FeatureCollection","features":[', "]}"
 #: The attributes that tell features apart where they have no id.
 NATURAL_KEYS = (TITLE,)
 #: A layer's features, with bounds.
@@ -52,35 +56,79 @@ def parse_layers(texts: DataFrame, *, repair: bool = False, keys: Sequence[str]
     alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))).eqNullSafe(F.lit(1))
     whole = F.when(read.isNull(), fail("not a feature collection: ")).when(~alone, fail("not one feature collection: ")).otherwise(read)
     features = texts.select("layer", F.posexplode(whole).alias("at", "f")).select("layer", "at", "f.*")
-    named = [F.col("properties")[k] for k in keys]
+    return named(features, F.concat(F.lit("#"), F.col("at").cast("string")), keys)
+
+
+def named(features: DataFrame, place: Column, keys: Sequence[str]) -> DataFrame:
+    """Features as read, with their names and flat: ``place`` names those that nothing else does."""
     return features.select(
         "layer",
-        F.coalesce("id", *named, F.concat(F.lit("#"), F.col("at").cast("string"))).alias("feature_id"),
+        F.coalesce("id", *[F.col("properties")[k] for k in keys], place).alias("feature_id"),
         F.coalesce("properties", F.create_map().cast("map<string, string>")).alias("props"),
         F.col("geometry.type").alias("geom_type"),
         F.coalesce("geometry.coordinates", "geometry.geometries").alias("coords_json"),
     )
 
 
-def _layer_of(path: Column) -> Column:
-    """The layer that a file belongs to: its name, or that of the folder ``*.geojson`` that it lies in, less the ending."""
-    path = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+def _decoded(text: Column) -> Column:
+    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
+def layer_of(path: Column) -> Column:
+    """The layer that a file belongs to: its name, or that of the folder ``*.geojson`` that it lies in, less the ending.
+
+    Folders that ``write_layers`` made begin with ``file=``.
+    """
     of_folder = F.regexp_extract(path, r"([^/]+)\.geojson/[^/]*$", 1)
+    of_folder = F.when(F.startswith(of_folder, F.lit("file=")), _decoded(F.substring(of_folder, 6, 1 << 30))).otherwise(of_folder)
     return F.when(of_folder != "", of_folder).otherwise(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", ""))
 
 
 def read_layer(spark: SparkSession, path: str, *, layer: str | None = None, repair: bool = False, keys: Sequence[str] = NATURAL_KEYS) -> DataFrame:
     """One layer file; the layer is named after the file unless told otherwise."""
     texts = spark.read.text(path, wholetext=True)
-    name = F.lit(layer) if layer else _layer_of(F.col("_metadata.file_path"))
+    name = F.lit(layer) if layer else layer_of(_decoded(F.col("_metadata.file_path")))
     return with_bounds(parse_layers(texts.select(name.alias("layer"), F.col("value").alias("text")), repair=repair, keys=keys))
 
 
 def read_layers(spark: SparkSession, folder: str, *, repair: bool = False, keys: Sequence[str] = NATURAL_KEYS) -> DataFrame:
-    """Every ``*.geojson`` of a folder, each a layer: a file, or a folder of one file as Spark writes it."""
+    """Every ``*.geojson`` of a folder, each a layer: a file, or a folder of files as Spark writes it."""
     return read_layer(spark, f"{folder}/*.geojson", repair=repair, keys=keys)
 
 
+def feature_json() -> Column:
+    """A feature as GeoJSON text, from the columns of a layer; attributes are written as text, as they are held."""
+    head = F.to_json(F.struct(F.lit("Feature").alias("type"), F.col("feature_id").alias("id"), F.col("props").alias("properties")))
+    member = F.when(F.col("geom_type") == "GeometryCollection", "geometries").otherwise("coordinates")
+    kind = F.concat(F.lit('{"type":"'), F.col("geom_type"), F.lit('","'), member, F.lit('":'), F.col("coords_json"), F.lit("}"))
+    return F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"geometry":'), F.coalesce(kind, F.lit("null")), F.lit("}"))
+
+
+def write_layers(features: DataFrame, folder: str, *, mode: str = "errorifexists") -> None:
+    """Writes layers as GeoJSON: a folder ``file=<layer>.geojson`` each, in which every file is a collection with a line a feature.
+
+    Each task writes what it holds of a layer to a file of its own, so a layer is
+    as many files as it has parts. ``read_layers`` reads them back as they were.
+    """
+    rows = features.select("layer", feature_json().alias("value")).repartitionByRange("layer", "value")
+
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun: set[str] = set()
+        for batch in batches:
+            layers, values = (c.to_pylist() for c in batch.columns)
+            out = []
+            for layer, value in zip(layers, values, strict=True):
+                if layer not in begun:
+                    begun.add(layer)
+                    out += [(layer, 0, OPEN), (layer, 1, value), (layer, 3, CLOSE)]
+                else:
+                    out.append((layer, 2, "," + value))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["layer", "rank", "value"])
+
+    lines = rows.mapInArrow(framed, "layer string, rank long, value string").sortWithinPartitions("layer", "rank")
+    lines.select("value", F.concat("layer", F.lit(".geojson")).alias("file")).write.mode(mode).partitionBy("file").text(folder)
+
+
 def ingest(layers: DataFrame, path: str) -> None:
     """Writes layers for fast loading: Parquet by layer, in order of the bounds, so that filters on them skip parts."""
     layers.repartitionByRange("layer", "xmin", "ymin").sortWithinPartitions("layer", "xmin", "ymin").write.partitionBy("layer").parquet(path)
