@@ -91,15 +91,24 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_.cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
+#: Parts that the grams of one count are told apart by, where not all of them fit.
+SLOTS = 4096
+
+
 def _frequent(counts: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """Of the rows of equal ``keys`` those with the greatest ``n``, ``most`` at most: whole levels of equal counts.
+    """Of the rows of equal ``keys`` those with the greatest ``n``, ``most`` at most; of the last count that fits in part, some by a hash.
 
-    Levels are added up instead of ranking rows, so that no task gathers the rows of a key.
+    Levels of equal counts are added up instead of ranking rows, so that no task
+    gathers the rows of a key.
     """
     levels = counts.groupBy(*keys, "n").agg(F.count(F.lit(1)).alias("rows"))
-    upto = F.sum("rows").over(Window.partitionBy(*keys).orderBy(F.desc("n")))
-    least = levels.withColumn("upto", upto).where(F.col("upto") <= most).groupBy(*keys).agg(F.min("n").alias("least"))
-    return counts.join(F.broadcast(least), keys).where("n >= least")  # a row for each language and length
+    levels = levels.withColumn("upto", F.sum("rows").over(Window.partitionBy(*keys).orderBy(F.desc("n"))))
+    over = F.col("upto") > most
+    cut = levels.groupBy(*keys).agg(F.max(F.when(over, F.col("n"))).alias("cut"), (most - F.coalesce(F.max(F.when(~over, F.col("upto"))), F.lit(0))).alias("room"))
+    slotted = counts.withColumn("slot", F.pmod(F.xxhash64("gram"), F.lit(SLOTS)).cast("int")).join(F.broadcast(cut), keys)  # a row for each language and length
+    slots = slotted.where("n = cut").groupBy(*keys, "slot", "room").agg(F.count(F.lit(1)).alias("rows"))
+    fits = slots.withColumn("upto", F.sum("rows").over(Window.partitionBy(*keys).orderBy("slot"))).where("upto <= room").groupBy(*keys).agg(F.max("slot").alias("last"))
+    return slotted.join(F.broadcast(fits), keys, "left").where("cut is null or n > cut or (n = cut and slot <= last)").select(*counts.columns)
 
 
 def learn(

@@ -32,6 +32,22 @@ def test_unknown_words_back_off(docs):
     assert model.predict("日本")[0] in ("en", "fr")
 
 
+@pytest.mark.parametrize("vocabulary", [1, 7, 39, 40, 41])
+def test_a_vocabulary_is_filled(spark, vocabulary):
+    from lithospark.llm.language import _frequent
+
+    words = [f"{a}{b}nd{c}" for a in "abcd" for b in "eiou" for c in "xyz"][:40]
+    docs = spark.createDataFrame([(" ".join(words), "en")], "text string, lang string")
+    model = learn(docs, vocabulary=vocabulary)
+    for length, grams in model.rows.items():
+        assert len(grams) <= 2 * vocabulary, length
+    # Every word stands once, so none comes before another; nearly as many as fit are kept.
+    assert len(model.rows.get(0, {})) >= min(vocabulary, 40) - 2
+    counts = spark.createDataFrame([("k", f"g{i}", 1 + i // 10) for i in range(100)] + [("l", "h", 1)], "key string, gram string, n long")
+    kept = [(r.key, r.n) for r in _frequent(counts, ["key"], 25).collect()]
+    assert kept.count(("k", 10)) == 10 and kept.count(("k", 9)) == 10 and 3 <= kept.count(("k", 8)) <= 5 and ("l", 1) in kept and len(kept) <= 26
+
+
 def test_rare_languages_are_learned_beside_large_ones(spark):
     pick = random.Random(14)
     word = lambda letters: "".join(pick.choice(letters) for _ in range(4))
