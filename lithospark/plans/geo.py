@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions.attributes import has_prop, listed, matches_text, prop
 from ..functions.geometry import centroid, hectares, ring_faults, rings, signed_area, vertex_count, with_bounds
+from ..functions.sql import query
 from ..operators.layers import CLASSES, HOLDER, LAST_ITEM, NAME, POLICY, SUBSTANCES, UNIT, by_key, by_substance, categories, concessions, in_view, land_units, layers, repeats, where, with_policy, with_substance
 from ..operators.spatial import bounds, edges, planar_areas, points_in_polygons
 from ..session import temporary_folder
-from ..sources.geojson import ingest, open_layers, parse_layers, read_layer, read_layers
+from ..sources.geojson import ingest, open_layers, parse_layers, read_layer, read_layers, write_layers
+from ..sources.ranges import scan_layer
 from . import tables
 from .tables import claim_texts, claims_layer, points, unit_texts, units_layer
 
@@ -176,6 +178,46 @@ def ingested_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_view(layers(open_layers(spark, folder), "claims 0", "units-1"), 10.5, 1.5, 50.0, 4.0).select("layer", "feature_id", "xmin", "ymax")
 
 
+def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units written as GeoJSON and read back in byte ranges, several a file."""
+    folder = temporary_folder(spark, "exported")
+    write_layers(units_layer(spark, sf_dir), folder)
+    units = land_units(scan_layer(spark, f"{folder}/*.geojson", range_bytes=500))
+    return units.select("layer", "feature_id", "geom_type", "name", "area_total", "population", "policy", "xmin", "ymin", "xmax", "ymax")
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> str:
+    folder = temporary_folder(spark, "ingested")
+    ingest(_both(spark, sf_dir), folder)
+    return folder
+
+
+SQL_IN_VIEW = "SELECT layer, feature_id, geom_type FROM features WHERE meets_view(xmin, ymin, xmax, ymax, 10.5, 1.5, 50, 4)"
+SQL_AREAS = (
+    "SELECT holder, count(*) AS n, sum(rings_area(rings_of(geom_type, coords_json))) AS area, max(area_ha) AS largest "
+    "FROM claims WHERE layer LIKE 'claims%' AND xmin < 60 AND geom_type = 'Polygon' GROUP BY holder"
+)
+SQL_HOLDING = (
+    "SELECT layer, feature_id FROM features WHERE meets_view(xmin, ymin, xmax, ymax, 13.25, 1.25, 13.25, 1.25) "
+    "AND rings_hold(rings_of(geom_type, coords_json), 13.25, 1.25)"
+)
+
+
+def sql_in_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query in SQL: features that meet a rectangle."""
+    return query(spark, _ingested(spark, sf_dir), SQL_IN_VIEW)
+
+
+def sql_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query in SQL: planar areas of claims by holder."""
+    return query(spark, _ingested(spark, sf_dir), SQL_AREAS).withColumn("largest", _plain("largest"))
+
+
+def sql_holding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query in SQL: features that hold a point."""
+    return query(spark, _ingested(spark, sf_dir), SQL_HOLDING)
+
+
 def repeated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims read with their names as keys, which they share: the names that don't tell features apart."""
     return repeats(parse_layers(claim_texts(spark, sf_dir), keys=[NAME]))
@@ -208,7 +250,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         claims_typed, claims_with_iron, layer_selection, layer_counts, unit_lists, units_by_policy, policy_values, holder_values, text_without_accents,
         features_in_view, area_by_holder, area_by_year, area_by_substance, claim_edges, claim_bounds, claim_areas, claim_measures, customers_in_claims,
-        points_per_overlap, orders_in_claims, layer_files, layer_file, ingested_view, repeated_names, faulty_rings, generated_layers,
+        points_per_overlap, orders_in_claims, layer_files, layer_file, ingested_view, exported, sql_in_view, sql_areas, sql_holding, repeated_names, faulty_rings, generated_layers,
     )
     return {f"geo_{f.__name__}": f for f in found}
 
@@ -255,6 +297,12 @@ def oracle_sql() -> dict[str, str]:
         "layer_files": f"SELECT layer, feature_id, name, xmin, ymin, xmax, ymax FROM {every}",
         "layer_file": "SELECT layer, feature_id, title, holder, CAST(area_ha AS DOUBLE) AS area_ha, CAST(len(r) - 1 AS BIGINT) AS sides FROM claims",
         "ingested_view": f"SELECT layer, feature_id, xmin, ymax FROM {every} WHERE {_VIEW} AND layer IN ('claims 0', 'units-1')",
+        "exported": f"SELECT layer, feature_id, {kinds} AS geom_type, name, area_total, population, policy, xmin, ymin, xmax, ymax FROM units",
+        "sql_in_view": f"SELECT layer, feature_id, geom_type FROM {every} WHERE {_VIEW}",
+        "sql_areas": "SELECT holder, count(*) AS n, sum(area) AS area, CAST(max(area_ha) AS DOUBLE) AS largest FROM claims JOIN "
+        f"(SELECT layer, feature_id, abs(sum{cross}) / 2 AS area FROM e GROUP BY ALL) USING (layer, feature_id) WHERE x < 60 GROUP BY holder",
+        "sql_holding": "SELECT layer, feature_id FROM e WHERE (y1 > 1.25) <> (y2 > 1.25) AND 13.25 < (x2 - x1) * (1.25 - y1) / nullif(y2 - y1, 0) + x1 GROUP BY ALL HAVING count(*) % 2 = 1 "
+        "UNION ALL SELECT layer, feature_id FROM units WHERE k % 4 < 2 AND ((13.25 >= x AND 13.25 < x + 1 AND 1.25 >= y AND 1.25 < y + 1) OR (k % 4 = 1 AND 13.25 >= x + 2 AND 13.25 < x + 3 AND 1.25 >= y + 2 AND 1.25 < y + 3))",
         "repeated_names": "SELECT layer, name || ' ' AS feature_id, count(*) AS n FROM claims GROUP BY ALL HAVING count(*) > 1",
     }
     joins = {"customers_in_claims", "points_per_overlap", "orders_in_claims"}

@@ -259,6 +259,78 @@ def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "part").select("p_partkey", "p_type").lateralJoin(Words(F.col("p_type").outer())).select("p_partkey", "place", "word")
 
 
+def distinct_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users of each day and of the week up to it, from a table of one sketch a day; no distinct count is taken."""
+    day = F.to_date("ts")
+    folder = temporary_folder(spark, "sketches")
+    _t(spark, sf_dir, "events").groupBy(day.alias("day")).agg(F.hll_sketch_agg("user_id", 14).alias("sketch")).write.parquet(folder)
+    days = spark.read.parquet(folder)
+    weeks = days.select(F.explode(F.sequence("day", F.date_add("day", 6))).alias("day"), "sketch").groupBy("day").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("week"))
+    return days.select("day", F.hll_sketch_estimate("sketch").alias("users")).join(weeks, "day").select(F.col("day").cast("string").alias("day"), "users", "week")
+
+
+def variant_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON parsed once a row, into a value of any shape: fields of it, and the shape that all rows share."""
+    rows = _t(spark, sf_dir, "events").select("event_type", F.parse_json("props").alias("v"))
+    k = F.variant_get("v", "$.k", "long")
+    return rows.groupBy("event_type").agg(F.sum(k).alias("sum"), F.max(k).alias("most"), F.count_if(F.try_variant_get("v", "$.none", "string").isNull()).alias("without"), F.schema_of_variant_agg("v").alias("shape"))
+
+
+def _jaro(a: str, b: str) -> float:
+    """Jaro similarity: letters that two texts share not far apart, less those out of order."""
+    if a == b:
+        return 1.0
+    reach = max(len(a), len(b)) // 2 - 1
+    used = [False] * len(b)
+    mine = []
+    for i, c in enumerate(a):
+        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
+            if not used[j] and b[j] == c:
+                used[j] = True
+                mine.append(c)
+                break
+    if not mine:
+        return 0.0
+    m = len(mine)
+    swapped = sum(x != y for x, y in zip(mine, [c for c, u in zip(b, used, strict=True) if u], strict=True)) // 2
+    return (m / len(a) + m / len(b) + (m - swapped) / m) / 3
+
+
+def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How alike parts' names and types are, by a function of Arrow batches that no built-in expresses; each pair of texts is compared once a batch."""
+
+    @F.pandas_udf("double")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        known = {pair: _jaro(*pair) for pair in set(zip(a, b, strict=True))}
+        return pd.Series([known[pair] for pair in zip(a, b, strict=True)])
+
+    return _t(spark, sf_dir, "part").select("p_partkey", F.round(alike("p_name", F.lower("p_type")), 6).alias("alike"))
+
+
+def greedy_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders in turn, put into batches that a total bounds: a table function over each customer's rows.
+
+    A batch ends where its total would pass the bound, so each sum hangs on the
+    one before, which no window expresses.
+    """
+
+    @F.udtf(returnType="o_custkey long, o_orderkey long, batch int")
+    class Batches:
+        def __init__(self) -> None:
+            self.batch, self.total = 0, 0
+
+        def eval(self, row):
+            cents = row["cents"]
+            if self.total and self.total + cents > 60_000_000:
+                self.batch, self.total = self.batch + 1, 0
+            self.total += cents
+            yield row["o_custkey"], row["o_orderkey"], self.batch
+
+    cents = F.round(F.col("o_totalprice") * 100).cast("long").alias("cents")
+    rows = _t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", cents)
+    return Batches(rows.asTable().partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+
+
 def windows_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tumbling(_t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
     return rows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
@@ -280,7 +352,7 @@ _ALL = (
     pricing_summary, join_revenue_by_nation, join_left, join_full, join_semi, join_anti, join_range, join_as_of, join_interval, grouping_cube,
     join_range_spans, join_overlaps, aggregate_covered, grouping_rollup, window_rank, window_lag, window_running, window_ntile, top_orders, set_union, set_intersect_all, set_except_all, pivot_status,
     unpivot_prices, strings, dates, json_keys, arrays, approximate_users, windows_by_day, user_sessions, grouping_sets, window_ends, window_range,
-    dates_apart, json_values, maps, stream_windows, vectorised_function, table_function,
+    dates_apart, json_values, maps, stream_windows, vectorised_function, table_function, distinct_sketches, variant_values, name_similarity, greedy_batches,
 )
 
 
@@ -341,5 +413,14 @@ def oracle_sql() -> dict[str, str]:
         "aggregate_covered": "WITH o AS (SELECT o_custkey, date_diff('day', DATE '1970-01-01', o_orderdate) AS low, date_diff('day', DATE '1970-01-01', o_orderdate) + CASE o_orderpriority WHEN '5-LOW' THEN 200 ELSE 30 END AS high FROM orders), "
         "d AS (SELECT DISTINCT o_custkey, unnest(range(low, high + 1)) AS day FROM o) SELECT o_custkey, count(*) AS days FROM d GROUP BY o_custkey",
     }
+    made |= {
+        "distinct_sketches": "WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day, user_id FROM events), days AS (SELECT day, count(*) AS users FROM d GROUP BY day) "
+        "SELECT CAST(days.day AS VARCHAR) AS day, users, (SELECT count(DISTINCT user_id) FROM d WHERE d.day BETWEEN days.day - 6 AND days.day) AS week FROM days",
+        "variant_values": "SELECT event_type, CAST(sum(k) AS BIGINT) AS sum, max(k) AS most, count(*) AS without, 'OBJECT<k: BIGINT>' AS shape FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY event_type",
+        "name_similarity": "SELECT p_partkey, round(jaro_similarity(p_name, lower(p_type)), 6) AS alike FROM part",
+        "greedy_batches": "WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders), "
+        "b AS (SELECT o_custkey, o_orderkey, k, 0 AS batch, cents AS total FROM o WHERE k = 1 UNION ALL SELECT o.o_custkey, o.o_orderkey, o.k, CASE WHEN total + cents > 60000000 THEN batch + 1 ELSE batch END, "
+        "CASE WHEN total + cents > 60000000 THEN cents ELSE total + cents END FROM b JOIN o ON o.o_custkey = b.o_custkey AND o.k = b.k + 1) SELECT o_custkey, o_orderkey, batch FROM b",
+    }
     made["stream_windows"] = made["windows_by_day"]
     return {f"x_{k}": v for k, v in made.items()}
