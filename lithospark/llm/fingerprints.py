@@ -147,6 +147,8 @@ def in_descending_blocks(docs: DataFrame, *, id_col: str, text_col: str, block_b
 
     Blocks begin at ids sampled from all rows, of which about 250,000 at most go
     to the driver. Rows of one id go by a hash of their text, null ids come last.
+    Tables of over 50,000 blocks have larger ones: a block is sorted on disk and
+    read row by row, so its size is no matter of memory.
     """
     rows = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text")).withColumn(
         "hash", F.xxhash64("text")

@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, column, table, without
 
-#: Buckets at most. Beyond that (64 TB of text with the usual size) buckets grow; rows are sorted on disk, and only the
-#: permutation of a bucket's places, 4 bytes a row, is held in memory.
-MAX_BUCKETS = 1 << 20
-#: Buckets that share a partition of the shuffle, and the most partitions.
+#: Bytes that a row counts for besides its text: a bucket of very short texts would have too many rows to permute.
+ROW_BYTES = 64
+#: Buckets that share a partition of the shuffle, and the most partitions. Beyond those (5 TB of text with the usual size)
+#: partitions get more buckets, no larger ones: rows are sorted on disk, and only a bucket's permutation is held in memory.
 BUCKETS_EACH, MAX_PARTITIONS = 4, 20_000
 #: A row with more copies than this that make more than this share of a table is spread over buckets copy by copy.
 COPIES, FREQUENT = 10_000, 1e-4
@@ -29,19 +29,25 @@ def text_bytes(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
-def _spread(docs: DataFrame, order: Column, rows: int) -> Column:
-    """``order`` for most rows, another value for each copy of a row that is frequent.
+def _spread(docs: DataFrame, order: Column, rows: int) -> DataFrame:
+    """``docs`` with ``__order``: ``order`` for most rows, another value for each copy of a row that is frequent.
 
     One pass keeps count of ``1 / FREQUENT`` candidates, none of the frequent
-    ones missing; a second one counts those exactly.
+    ones missing; a second one counts those exactly. Copies are told apart by
+    their place in the scan, so where there are any the table is written with
+    their values: computed anew in another order, they would differ.
     """
+    plain = docs.select("*", order.alias("__order"))
     if rows <= COPIES:
-        return order
+        return plain
     hashed = docs.select(order.alias("order"))
     likely = hashed.freqItems(["order"], FREQUENT).first()[0]
     counted = hashed.where(F.col("order").isin(likely)).groupBy("order").agg(F.count(F.lit(1)).alias("n"))
     often = [r.order for r in counted.where(F.col("n") > max(COPIES, FREQUENT * rows)).collect()]
-    return F.when(order.isin(often), F.xxhash64(order, F.monotonically_increasing_id())).otherwise(order) if often else order
+    if not often:
+        return plain
+    apart = F.when(order.isin(often), F.xxhash64(order, F.monotonically_increasing_id())).otherwise(order)
+    return checkpointed(docs.select("*", apart.alias("__order")))
 
 
 def shard(
@@ -66,13 +72,13 @@ def shard(
     """
     docs = without(docs, "shard", "slot")
     total, rows = docs.agg(F.sum(text_bytes(column(text_col))), F.count(F.lit(1))).first()
-    buckets = min(max(16 * shards, math.ceil((total or 0) / bucket_bytes)), MAX_BUCKETS)
+    buckets = max(16 * shards, math.ceil(((total or 0) + ROW_BYTES * rows) / bucket_bytes))
     partitions = min(math.ceil(buckets / BUCKETS_EACH), MAX_PARTITIONS)
 
-    order = _spread(docs, F.xxhash64(F.lit(seed), column(id_col), column(text_col)), rows)
+    keyed = _spread(docs, F.xxhash64(F.lit(seed), column(id_col), column(text_col)), rows)
     bucket = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("__order")), F.lit(buckets)).cast("int")
     part = F.pmod(F.col("__bucket"), F.lit(partitions)).cast("int")
-    keyed = docs.select("*", order.alias("__order")).withColumn("__bucket", bucket).withColumn("__part", part)
+    keyed = keyed.withColumn("__bucket", bucket).withColumn("__part", part)
     sizes = checkpointed(keyed.groupBy("__part", "__bucket").agg(F.count(F.lit(1)).alias("__n")))
 
     # Where a bucket begins: rows of the parts before its own, then of the buckets before it in its part.

@@ -6,6 +6,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from lithospark.llm.mixing import materialise, mix, op3_mixing
 from lithospark.llm.sharding import op1_sharding, shard, write_shards
 
@@ -51,6 +53,31 @@ def test_copies_of_one_row_are_spread(spark, monkeypatch):
     assert all(abs(sum(r.doc_id == 7 for r in s if r.slot < 500) - sum(r.doc_id == 7 for r in s) / 2) < 60 for s in by.values())
 
 
+def test_copies_are_spread_alike_when_their_order_changes(spark, monkeypatch):
+    """A part that is computed anew, as after a lost executor, may come in another order."""
+    from lithospark.llm import sharding
+
+    monkeypatch.setattr(sharding, "COPIES", 100)
+
+    def mixed(batches):
+        for batch in batches:
+            yield batch.sample(frac=1)
+
+    rows = [(7, "same")] * 600 + [(k, f"text {k}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).mapInPandas(mixed, "doc_id long, text string")
+    for _ in range(3):
+        got = shard(docs, shards=3).collect()
+        assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
+        assert sorted((r["shard"], r.slot) for r in got) == [(s, k) for s in range(3) for k in range(300)]
+
+
+def test_buckets_follow_rows_as_well_as_bytes(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    plan = shard(docs, shards=1, bucket_bytes=65_000)._jdf.queryExecution().toString()
+    # 20,000 null texts at 65 bytes each are 20 buckets.
+    assert "_LEGACY" not in plan and ", 20)" in plan
+
+
 def test_more_shards_than_rows_and_no_rows(docs, none):
     assert shard(docs.limit(3), shards=5).select("shard").distinct().count() == 3
     assert shard(none).count() == 0
