@@ -20,7 +20,7 @@ from ..session import temporary_folder
 from ..sources.geojson import ingest, open_layers, parse_layers, read_layer, read_layers, write_layers
 from ..sources.ranges import scan_layer
 from . import tables
-from .tables import claim_texts, claims_layer, points, unit_texts, units_layer
+from .tables import claim_texts, claims_layer, points, points_layer, unit_texts, units_layer
 
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,6 +178,13 @@ def ingested_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_view(layers(open_layers(spark, folder), "claims 0", "units-1"), 10.5, 1.5, 50.0, 4.0).select("layer", "feature_id", "xmin", "ymax")
 
 
+def view_of_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as a layer in order of a curve; those in a view, of which few files hold any."""
+    folder = temporary_folder(spark, "ingested")
+    ingest(points_layer(spark, sf_dir), folder, parts=32)
+    return in_view(open_layers(spark, folder), 20.0, 3.0, 50.0, 9.0).select("feature_id", "xmin", "ymin")
+
+
 def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units written as GeoJSON and read back in byte ranges, several a file."""
     folder = temporary_folder(spark, "exported")
@@ -250,7 +257,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         claims_typed, claims_with_iron, layer_selection, layer_counts, unit_lists, units_by_policy, policy_values, holder_values, text_without_accents,
         features_in_view, area_by_holder, area_by_year, area_by_substance, claim_edges, claim_bounds, claim_areas, claim_measures, customers_in_claims,
-        points_per_overlap, orders_in_claims, layer_files, layer_file, ingested_view, exported, sql_in_view, sql_areas, sql_holding, repeated_names, faulty_rings, generated_layers,
+        points_per_overlap, orders_in_claims, layer_files, layer_file, ingested_view, view_of_points, exported, sql_in_view, sql_areas, sql_holding, repeated_names, faulty_rings, generated_layers,
     )
     return {f"geo_{f.__name__}": f for f in found}
 
@@ -297,6 +304,7 @@ def oracle_sql() -> dict[str, str]:
         "layer_files": f"SELECT layer, feature_id, name, xmin, ymin, xmax, ymax FROM {every}",
         "layer_file": "SELECT layer, feature_id, title, holder, CAST(area_ha AS DOUBLE) AS area_ha, CAST(len(r) - 1 AS BIGINT) AS sides FROM claims",
         "ingested_view": f"SELECT layer, feature_id, xmin, ymax FROM {every} WHERE {_VIEW} AND layer IN ('claims 0', 'units-1')",
+        "view_of_points": "SELECT CAST(c_custkey AS VARCHAR) AS feature_id, x AS xmin, y AS ymin FROM p WHERE x BETWEEN 20 AND 50 AND y BETWEEN 3 AND 9",
         "exported": f"SELECT layer, feature_id, {kinds} AS geom_type, name, area_total, population, policy, xmin, ymin, xmax, ymax FROM units",
         "sql_in_view": f"SELECT layer, feature_id, geom_type FROM {every} WHERE {_VIEW}",
         "sql_areas": "SELECT holder, count(*) AS n, sum(area) AS area, CAST(max(area_ha) AS DOUBLE) AS largest FROM claims JOIN "

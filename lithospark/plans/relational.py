@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.aggregates import Covered, aggregated
 from ..operators.intervals import as_of_join, overlap_join
+from ..operators.text import search, write_index
 from ..session import temporary_folder
 from ..streaming.events import event_stream, sessions, to_latest, tumbling
 
@@ -276,6 +278,18 @@ def variant_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("event_type").agg(F.sum(k).alias("sum"), F.max(k).alias("most"), F.count_if(F.try_variant_get("v", "$.none", "string").isNull()).alias("without"), F.schema_of_variant_agg("v").alias("shape"))
 
 
+#: What is looked for: rare and common runs, one with a mark, one across words, one that is in no text.
+PATTERNS = ("Élle", "schei", "the of", "thandre", "qzxqzx", "üb")
+
+
+def substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold each of some patterns, whatever the case and accents, by an index of trigrams."""
+    docs, folder = _t(spark, sf_dir, "documents").select("doc_id", "text"), temporary_folder(spark, "index")
+    write_index(docs, folder, id_col="doc_id", text_col="text")
+    found = [search(spark, folder, docs, p, id_col="doc_id", text_col="text").select(F.lit(p).alias("pattern"), "doc_id") for p in PATTERNS]
+    return reduce(DataFrame.unionByName, found)
+
+
 def _jaro(a: str, b: str) -> float:
     """Jaro similarity: letters that two texts share not far apart, less those out of order."""
     if a == b:
@@ -352,7 +366,7 @@ _ALL = (
     pricing_summary, join_revenue_by_nation, join_left, join_full, join_semi, join_anti, join_range, join_as_of, join_interval, grouping_cube,
     join_range_spans, join_overlaps, aggregate_covered, grouping_rollup, window_rank, window_lag, window_running, window_ntile, top_orders, set_union, set_intersect_all, set_except_all, pivot_status,
     unpivot_prices, strings, dates, json_keys, arrays, approximate_users, windows_by_day, user_sessions, grouping_sets, window_ends, window_range,
-    dates_apart, json_values, maps, stream_windows, vectorised_function, table_function, distinct_sketches, variant_values, name_similarity, greedy_batches,
+    dates_apart, json_values, maps, stream_windows, vectorised_function, table_function, distinct_sketches, variant_values, name_similarity, greedy_batches, substring_search,
 )
 
 
@@ -417,6 +431,7 @@ def oracle_sql() -> dict[str, str]:
         "distinct_sketches": "WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day, user_id FROM events), days AS (SELECT day, count(*) AS users FROM d GROUP BY day) "
         "SELECT CAST(days.day AS VARCHAR) AS day, users, (SELECT count(DISTINCT user_id) FROM d WHERE d.day BETWEEN days.day - 6 AND days.day) AS week FROM days",
         "variant_values": "SELECT event_type, CAST(sum(k) AS BIGINT) AS sum, max(k) AS most, count(*) AS without, 'OBJECT<k: BIGINT>' AS shape FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY event_type",
+        "substring_search": "SELECT p AS pattern, doc_id FROM documents, (SELECT unnest([" + ", ".join(f"'{p}'" for p in PATTERNS) + "]) AS p) WHERE contains(strip_accents(lower(text)), strip_accents(lower(p)))",
         "name_similarity": "SELECT p_partkey, round(jaro_similarity(p_name, lower(p_type)), 6) AS alike FROM part",
         "greedy_batches": "WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders), "
         "b AS (SELECT o_custkey, o_orderkey, k, 0 AS batch, cents AS total FROM o WHERE k = 1 UNION ALL SELECT o.o_custkey, o.o_orderkey, o.k, CASE WHEN total + cents > 60000000 THEN batch + 1 ELSE batch END, "

@@ -104,6 +104,15 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", x.alias("x"), y.alias("y"))
 
 
+def points_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as one layer of points."""
+    rows = points(spark, sf_dir)
+    return rows.select(
+        F.lit("customers").alias("layer"), F.col("c_custkey").cast("string").alias("feature_id"), F.create_map(F.lit("balance"), F.col("c_acctbal").cast("string")).alias("props"),
+        F.lit("Point").alias("geom_type"), F.to_json(F.array("x", "y")).alias("coords_json"), F.col("x").alias("xmin"), F.col("y").alias("ymin"), F.col("x").alias("xmax"), F.col("y").alias("ymax"),
+    )
+
+
 _METALS = "[" + ", ".join(f"'{m}'" for m in METALS) + "]"
 _PICK = lambda values, k: "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + f"][CAST({k} % {len(values)} AS INTEGER) + 1]"
 
