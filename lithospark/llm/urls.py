@@ -97,17 +97,38 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, path
 
 
+def _with_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """``urls`` with ``__rule``, the rule that fits ``__host`` and ``__path``, or null.
+
+    Each different host meets the rules of itself and of the hosts above it by
+    equal names, so a url costs what rules its own hosts have, however many
+    there are in all.
+    """
+    labels = F.split("__host", r"\.")
+    above = F.expr("transform(sequence(1, size(labels)), k -> array_join(slice(labels, k, size(labels)), '.'))")
+    hosts = urls.select("__host").distinct().withColumn("labels", labels).select("__host", F.explode(above).alias("host"))
+    known = rules.select(ascii_lower(F.col("host")).alias("host"), "path", "verdict").where("host is not null and path is not null").distinct()
+    name = F.concat("host", "path")
+    fitting = hosts.join(known, "host").select("__host", F.struct(F.char_length(name).alias("length"), name.alias("rule"), "verdict", "path").alias("r"))
+    fitting = fitting.groupBy("__host").agg(F.sort_array(F.collect_list("r"), asc=False).alias("__fitting"))
+    met = urls.join(fitting, "__host", "left")
+    return met.withColumn("__rule", F.get(F.filter("__fitting", lambda r: F.startswith(F.col("__path"), r["path"])), F.lit(0))).drop("__fitting")
+
+
 def filter_urls(
     pages: DataFrame,
     *,
     url_col: str = "url",
-    rules: Sequence[tuple[str, str, str]] = RULES,
+    rules: Sequence[tuple[str, str, str]] | DataFrame = RULES,
     vocabulary: Vocabulary | None = None,
 ) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` and ``verdict`` (allow or block).
 
     A rule fits its host and all hosts below it where the path starts with the
-    rule's; the longest wins, of equally long ones the later. The vocabulary
+    rule's; the longest wins, of equally long ones the later. A few rules are a
+    list, and become expressions; a table of any size (``host``, ``path``,
+    ``verdict``; of equally long rules the one that comes later as text wins) is
+    joined to the hosts. The vocabulary
     judges the rest, by the whole url after its scheme, query and fragment
     included. A url without ``://`` has an empty host and path and is judged as
     it stands; a null one has both empty and is allowed. Urls are taken whole,
@@ -128,6 +149,10 @@ def filter_urls(
     host, path = host_and_path(url)
     out = pages.select("*", judged(without_scheme(url)).alias("__bad"), host.alias("__host"), path.alias("__path"))
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
+    if isinstance(rules, DataFrame):
+        out = _with_rules(out, rules)
+        rule, verdict = F.col("__rule.rule"), F.col("__rule.verdict")
+        rules = ()
     for name, start, said in sorted(rules, key=lambda r: len(r[0] + r[1])):
         fits = ((F.col("__host") == name) | F.col("__host").endswith("." + name)) & F.col("__path").startswith(start)
         rule = F.when(fits, F.lit(name + start)).otherwise(rule)

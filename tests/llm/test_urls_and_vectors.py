@@ -7,7 +7,7 @@ import os
 import numpy as np
 import pytest
 
-from lithospark.llm.urls import SOFT, STRICT, Vocabulary, filter_urls, op8_url_filters, read_vocabulary
+from lithospark.llm.urls import RULES, SOFT, STRICT, Vocabulary, filter_urls, op8_url_filters, read_vocabulary
 from lithospark.llm.vectors import nearest_neighbours, op9_nearest_neighbours
 
 URLS = {
@@ -51,6 +51,28 @@ def test_of_equally_long_rules_the_later_wins(spark):
         assert {(r.rule, r.verdict) for r in filter_urls(rows, rules=rules).collect()} == {(rules[1][0] + rules[1][1], rules[1][2])}
 
 
+def test_rules_from_a_table_like_a_plain_search(spark):
+    import random
+
+    pick = random.Random(8)
+    names = ["a.com", "b.a.com", "c.b.a.com", "com", "x.org", "org", "É.com", "localhost"]
+    rules = [(pick.choice(names), pick.choice(["/", "/p", "/p/q", "/p/q/r/"]), pick.choice(["allow", "block"])) for _ in range(12)]
+    rules = list({(h, p): (h, p, v) for h, p, v in rules}.values()) + [(f"h{k}.net", "/", "block") for k in range(100_000)] + [(None, "/", "block"), ("com", None, "block")]
+    urls = [f"http://{pick.choice(['', 'w.', 'w.v.'])}{pick.choice([*names, 'h7.net', 'other', 'A.COM'])}{pick.choice(['', '/', '/p', '/p/q', '/p/q/r/s', '/z'])}" for _ in range(400)] + [None, "", "no scheme"]
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string").repartition(3)
+    got = {r.page_id: r for r in filter_urls(pages, rules=table, vocabulary=Vocabulary([], [])).collect()}
+    assert len(got) == len(urls)
+    for k in range(len(urls)):
+        r = got[k]
+        fits = [(len(h + p), h + p, v) for h, p, v in rules if h and p and (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+        assert (r.rule, r.verdict) == (max(fits)[1:] if fits else (None, "allow")), urls[k]
+    small = spark.createDataFrame(list(RULES), "host string, path string, verdict string")
+    plain = lambda df: sorted((r.page_id, r.host, r.path, r.rule or "", r.verdict) for r in df.collect())
+    known = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
+    assert plain(filter_urls(known, rules=small)) == plain(filter_urls(known))
+
+
 def test_a_large_vocabulary_from_a_file(spark, tmp_path):
     import pickle
     import time
