@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 LAST_MARKED = 0x24F
 #: Trigrams of a pattern that a search looks up: the rarest.
 LOOKED_UP = 4
-#: Ranges of trigrams in an index, each a folder of its own that a search can leave out.
-PARTS = 64
 
 
 def _plain_letters() -> tuple[str, str]:
@@ -36,18 +34,17 @@ def trigrams(text: Column) -> Column:
 
 
 def write_index(docs: DataFrame, path: str, *, id_col: str, text_col: str) -> None:
-    """Writes the trigrams of every text, each with the ids of its documents in order, and how many documents have it.
+    """Writes the trigrams of every text, each with the ids of its documents, and how many documents have it.
 
-    Postings are rows, so a trigram that most documents have is spread over
-    files like any other rows; in the order of trigrams and ids they take a
-    byte or two each.
+    Each task writes a segment of its own, its postings in order of trigrams and
+    ids, so nothing but the counts is shuffled, a trigram that most documents
+    have is spread over all segments, and a search reads only the parts of each
+    segment that its trigrams lie in.
     """
     rows = docs.select(F.explode(trigrams(folded(F.col(text_col)))).alias("gram"), F.col(id_col).alias("id"))
-    part = F.pmod(F.xxhash64("gram"), F.lit(PARTS)).cast("int")
-    postings = rows.withColumn("part", part)
-    postings.repartitionByRange("part", "gram", "id").sortWithinPartitions("part", "gram", "id").write.partitionBy("part").parquet(f"{path}/postings")
+    rows.sortWithinPartitions("gram", "id").write.option("compression", "zstd").parquet(f"{path}/postings")
     written = docs.sparkSession.read.parquet(f"{path}/postings")
-    written.groupBy("part", "gram").agg(F.count(F.lit(1)).alias("n")).sortWithinPartitions("part", "gram").write.parquet(f"{path}/counts")
+    written.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/counts")
 
 
 def search(spark: SparkSession, path: str, docs: DataFrame, pattern: str, *, id_col: str, text_col: str) -> DataFrame:
@@ -62,10 +59,10 @@ def search(spark: SparkSession, path: str, docs: DataFrame, pattern: str, *, id_
     hit = F.contains(folded(F.col(text_col)), F.lit(wanted.p))
     if not wanted.g:
         return docs.where(hit)
-    counts = spark.read.parquet(f"{path}/counts").where(F.col("gram").isin(wanted.g)).select("gram", "part", "n").collect()
+    counts = spark.read.parquet(f"{path}/counts").where(F.col("gram").isin(wanted.g)).collect()
     if len(counts) < len(wanted.g):
         return docs.where("false")
     rare = sorted(counts, key=lambda r: (r.n, r.gram))[:LOOKED_UP]
-    postings = spark.read.parquet(f"{path}/postings").where(F.col("part").isin([r.part for r in rare]) & F.col("gram").isin([r.gram for r in rare]))
+    postings = spark.read.parquet(f"{path}/postings").where(F.col("gram").isin([r.gram for r in rare]))
     ids = postings.groupBy("id").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(rare)).select("id")
     return docs.join(ids, docs[id_col] == ids["id"], "left_semi").where(hit)
