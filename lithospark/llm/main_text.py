@@ -40,14 +40,18 @@ UNSEEN = frozenset("script style noscript template iframe object svg canvas sele
 BESIDE = frozenset("nav aside footer dialog menu".split())
 HEAD = frozenset("head title meta link style script base noscript template".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
-#: Words of class and id: what is never main text, and what is none unless the element says that it holds content.
+#: Words of class and id: what is never main text, as words and as beginnings of words, and what is none unless more says
+#: that it goes around the text, or is a header inside it.
 NEVER = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr newsletter subscribe signup "
-    "comment comments commentlist reply replies respond disqus share sharing social breadcrumb breadcrumbs pagination pager navbar navigation menu nav popup modal".split()
+    "ad ads promo promotion consent gdpr subscribe subscription signup comment comments commentlist kommentar kommentare commentaires comentarios reply replies respond "
+    "discussion feedback talkback disqus share sharing social pagination pager nav navigation topnav subnav mainnav sidenav menu menus mainmenu submenu topmenu dropdown "
+    "popup modal related recommended recommendations trending teaser teasers outbrain taboola".split()
 )
-RARELY = frozenset("banner notice notices alert sidebar side aside widget footer header masthead topbar toolbar related recommended trending login overlay copyright legal disclaimer teaser".split())
-CONTENT = frozenset("article content main post entry story body text page wrapper container layout".split())
-NEGATED = re.compile(r"^(has|no|with|without|is)$")
+NEVER_BEGINS = ("advert", "adsby", "adslot", "adunit", "sponsor", "cookie", "breadcrumb", "navbar", "newsletter")
+RARELY = frozenset("banner notice notices announcement alert alerts sidebar side aside widget footer header masthead topbar toolbar login overlay copyright legal disclaimer".split())
+AROUND = frozenset("page wrap wrapper container layout main".split())
+INSIDE = frozenset("article content post entry story".split())
+NEGATED = frozenset("has no with without is".split())
 #: Elements of these kinds end where the next of their kind begins.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 HOLDERS = frozenset("ul ol dl table tbody thead tfoot div section article main body".split())
@@ -78,8 +82,8 @@ class _Frame(NamedTuple):
     scope: int
 
 
-def _words_of(name: str) -> list[str]:
-    return re.sub(r"([a-z])([A-Z])", r"\1 \2", name).replace("_", " ").replace("-", " ").lower().split()
+def _words_of(name: str) -> set[str]:
+    return set(re.sub(r"[^a-z]+", " ", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()).split())
 
 
 def _mark(tag: str, attrs: dict[str, str], above: _Frame) -> int:
@@ -91,11 +95,12 @@ def _mark(tag: str, attrs: dict[str, str], above: _Frame) -> int:
     mark = WEAK if tag == "form" or (tag == "header" and not above.scope) else SEEN
     for part in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
         words = _words_of(part)
-        if any(NEGATED.match(w) for w in words):
+        if words & NEGATED:
             continue
-        if not NEVER.isdisjoint(words):
+        if words & NEVER or any(w.startswith(NEVER_BEGINS) for w in words) or ("sidebar" in words and not words & (AROUND | INSIDE)):
             return STRONG
-        if not RARELY.isdisjoint(words) and CONTENT.isdisjoint(words) and tag not in ("article", "main"):
+        rare = words & RARELY
+        if rare and not words & AROUND and not (words & INSIDE and rare == {"header"}) and tag not in ("article", "main"):
             mark = WEAK
     return mark
 

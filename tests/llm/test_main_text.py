@@ -41,6 +41,10 @@ BESIDE = {
     "dialog": f"<dialog open>{EN}</dialog>",
     "readers": f'<div id="comments"><div class="comment-body"><p>{EN}</p></div><article class="comment">{EN}</article></div>',
     "readers by heading": f"<section><h3>12 Comments</h3><div><p>{EN}</p></div></section>",
+    "readers in words": f'<div class="reader-discussion">{EN}</div><ol id="kommentare"><li>{EN}</li></ol>',
+    "parts of the side": f'<div class="sidebar-content"><p>{EN}</p></div><div class="footer-content">{EN}</div>',
+    "cards": f'<section class="related-articles"><article><h3>Other</h3><p>{EN}</p></article></section>',
+    "numbered adverts": f'<div id="ad_slot2"><p>{EN}</p></div><ins class="adsbygoogle">{EN}</ins><div class="advertContainer">{EN}</div>',
     "share": '<div class="social-share"><a href=x>Tweet</a> <a href=y>Share</a></div>',
     "links": '<p><a href="/1">Ten things that you did not know about the house</a> <a href="/2">And ten more of them for you</a></p>',
     "noscript": f"<noscript><p>{EN}</p></noscript>",
@@ -72,7 +76,7 @@ def test_an_article_is_whole():
 
 
 def test_names_of_classes_do_not_hide_an_article():
-    for around in ("no-comments has-sidebar", "sidebar-layout", "page-header-wrapper", "with-ads", "loading adaptive shadow", "content side"):
+    for around in ("no-comments has-sidebar", "sidebar-layout", "page-header-wrapper", "with-ads", "loading adaptive shadow", "content side", "entry-header-none", "headline shadows"):
         assert main_text(f'<body class="single comment-page"><div class="{around}"><article><p>{EN}</p></article></div></body>') == EN, around
     assert main_text(f'<div class="widget"><p>{EN}</p></div>') == EN
     assert main_text(f"<form><div><p>{EN}</p></div></form>") == EN
