@@ -45,7 +45,7 @@ def _ring() -> Column:
 
 
 def _written(spark: SparkSession, texts: DataFrame) -> str:
-    """Layers as files of a folder: ``layer=<name>/``, read as folders of layers."""
+    """Layers as files of a folder, a folder ``file=<layer>.geojson`` each."""
     folder = temporary_folder(spark, "layers")
     texts.select("text", F.concat("layer", F.lit(".geojson")).alias("file")).write.partitionBy("file").text(folder)
     return folder

@@ -241,7 +241,7 @@ def approximate_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectorised_function(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A function of Arrow batches, for what no built-in expresses."""
+    """A function of Arrow batches at its simplest; ``name_similarity`` is one that no built-in expresses."""
 
     @F.pandas_udf("double")
     def reduced(prices: pd.Series) -> pd.Series:
@@ -251,7 +251,7 @@ def vectorised_function(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A function that makes several rows of one: the words of a part's type, with their places."""
+    """A function that makes several rows of one: the words of a part's type, with their places; ``greedy_batches`` keeps state between rows."""
 
     @F.udtf(returnType="place int, word string")
     class Words:
