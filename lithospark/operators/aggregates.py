@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 #: Groups that a task holds states of at most; then it hands them on and starts again.
 HELD = 100_000
 
@@ -64,6 +66,7 @@ def aggregated(df: DataFrame, keys: Sequence[str], values: Sequence[str], aggreg
     shuffled: a group has as many as tasks that saw it, however many rows. Rows
     with a null value don't count; a null key is a group.
     """
+    ship_package(df.sparkSession)
     kinds = dict(df.dtypes)
     rows = df.select(*keys, *[F.col(v).cast("long").alias(f"__v{k}") for k, v in enumerate(values)])
 

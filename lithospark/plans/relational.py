@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.aggregates import Covered, aggregated
 from ..operators.intervals import as_of_join, overlap_join
 from ..operators.text import search, write_index
-from ..session import temporary_folder
+from ..session import ship_package, temporary_folder
 from ..streaming.events import event_stream, sessions, to_latest, tumbling
 
 
@@ -312,6 +312,7 @@ def _jaro(a: str, b: str) -> float:
 
 def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How alike parts' names and types are, by a function of Arrow batches that no built-in expresses; each pair of texts is compared once a batch."""
+    ship_package(spark)
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:

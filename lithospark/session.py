@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -58,3 +60,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once into the shared folder, without its lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers of any executor; once an application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lithospark_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="lithospark-"), "lithospark"), "zip", root, "lithospark"))
+    sc._lithospark_shipped = True

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import with_bounds
-from ..session import checkpointed
+from ..session import checkpointed, ship_package
 from .geojson import FEATURE, NATURAL_KEYS, layer_of, named
 
 #: Bytes of a range.
@@ -140,6 +140,7 @@ def scan_layer(
     ``repair`` is set. Tasks open the files themselves: local paths of a shared
     disk, or stores that Arrow knows (hdfs, s3, gs).
     """
+    ship_package(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
     ranges = files.select("path", "length", F.explode(F.expr(f"sequence(0L, length - 1, {range_bytes}L)")).alias("start"))
     ranges = ranges.withColumn("end", F.least(F.col("start") + range_bytes, F.col("length")))

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..session import ship_package
+
 OUTCOMES = "user_id long, event_id long, outcome string, purchase_id long"
 
 
@@ -61,6 +63,7 @@ class Outcomes(StatefulProcessor):
 
 def outcomes(events: DataFrame, *, within_ms: int, late: str = "1 day") -> DataFrame:
     """``(user_id, event_id, outcome, purchase_id)`` of each view of a stream of events: bought or abandoned within a time."""
+    ship_package(events.sparkSession)
     rows = events.withWatermark("ts", late).where(F.col("event_type").isin("view", "purchase"))
     rows = rows.select("user_id", "event_id", "event_type", "ts", F.unix_micros("ts").alias("us"))
     return rows.groupBy("user_id").transformWithStateInPandas(Outcomes(within_ms), OUTCOMES, "append", "EventTime")
