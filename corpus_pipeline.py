@@ -25,11 +25,17 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 READ = ("doc_id", "text", "source", "n_chars")
 
 
+#: Rows that Spark hands a Python worker at once. With ten times as many, Spark's usual number, an executor's buffers on
+#: both sides come to hundreds of MB of texts.
+BATCH_ROWS = 1000
+
+
 def _with_columns_of_docs(stage: Stage) -> Stage:
-    """``stage`` with other columns renamed meanwhile, so that none clashes with one that an operator adds."""
+    """``stage`` with other columns renamed meanwhile, so that none clashes with one that an operator adds, and with small batches."""
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         names = {c: c if c in READ else f"__column_{k}" for k, c in enumerate(docs.columns)}
         out = stage(spark, docs.select(*[column(c).alias(name) for c, name in names.items()]), sf_dir)
         return out.select(*[column(name).alias(c) for c, name in names.items()])
