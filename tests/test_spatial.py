@@ -115,3 +115,9 @@ def test_equal_names_in_two_layers_are_two_polygons(spark):
     points = spark.createDataFrame([(1, 1.0, 1.0)], "p int, x double, y double")
     assert sorted(r.layer for r in points_in_polygons(points, sides).collect()) == ["a", "b"]
     assert points_in_polygons(points, sides.where("false")).count() == 0 and points_in_polygons(points.where("false"), sides).count() == 0
+
+
+def test_points_and_cells_are_shuffled_not_broadcast(spark, sides):
+    """Of few rows too: what a checkpoint or a file holds is guessed too low, and a broadcast goes through the driver."""
+    points = spark.createDataFrame([(1, 1.0, 1.0)], "p int, x double, y double")
+    assert "Broadcast" not in points_in_polygons(points, sides, "name")._jdf.queryExecution().executedPlan().toString()
