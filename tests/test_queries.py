@@ -51,3 +51,8 @@ def test_agrees(spark, duck, name):
 
 def test_entry(spark, duck):
     assert entry.entry(spark).count() > 0
+
+
+def test_points_of_orders_are_not_broadcast(spark):
+    made = entry.queries()["geo_orders_in_claims"](spark, FOLDER)
+    assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
