@@ -157,3 +157,14 @@ def test_filters_and_aggregates(spark, folder):
     assert with_policy(unit, "Protección").count() == 1
     assert [r.value for r in categories(unit, "politica_ambiental").collect()] == ["Protección"]
     assert unit.where(matches_text(prop("clasificacion"), "bahia")).count() == 1
+
+
+def test_many_layers_are_few_files(spark, tmp_path):
+    """Files are as many as tasks write, not as there are layers, and a filter on layers reaches them."""
+    one = "array(struct('k' AS layer, 'f' AS feature_id, map('a', 'b') AS props, 'Point' AS geom_type, '[1,2]' AS coords_json, 1D AS xmin, 2D AS ymin, 1D AS xmax, 2D AS ymax))"
+    rows = spark.range(300).selectExpr("id", f"inline({one})").withColumn("layer", F.concat(F.lit("layer "), F.col("id").cast("string"))).drop("id")
+    ingest(rows, str(tmp_path / "out"), parts=3)
+    assert len(list((tmp_path / "out").rglob("*.parquet"))) <= 3
+    back = layers(open_layers(spark, str(tmp_path / "out")), "layer 7", "layer 70")
+    assert sorted(r.layer for r in back.collect()) == ["layer 7", "layer 70"]
+    assert "In(layer" in back._jdf.queryExecution().toString()
