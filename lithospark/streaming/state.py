@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,9 +23,11 @@ def deduplicated(events: DataFrame, *keys: str, ts: str = "ts", late: str = "1 d
 class Outcomes(StatefulProcessor):
     """Says of each view of a user, once its time has passed, which purchase came first within it, or that none did.
 
-    Rows come in any order: views and purchases wait in the user's state, a timer
-    at each view's end decides it, and purchases that no view to come can mean
-    are dropped then.
+    Rows come in any order: views and purchases wait in the user's state. One
+    timer, at the end of the earliest view of a batch, decides all views whose
+    time has passed by then and is set anew for the others; purchases that no
+    view to come can mean are dropped then. So the store is called a few times a
+    user and batch, not for each row.
     """
 
     def __init__(self, within_ms: int) -> None:
@@ -32,34 +35,51 @@ class Outcomes(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.views = handle.getMapState("views", "event_id long", "us long")
-        self.purchases = handle.getMapState("purchases", "event_id long", "us long")
+        self.views = handle.getListState("views", "event_id long, us long")
+        self.purchases = handle.getListState("purchases", "event_id long, us long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = {"view": [], "purchase": []}
         for batch in rows:
             for event_id, kind, us in zip(batch["event_id"].tolist(), batch["event_type"], batch["us"].tolist(), strict=True):
-                if kind == "view":
-                    self.views.updateValue((event_id,), (us,))
-                    self.handle.registerTimer(us // 1000 + self.within)
-                else:
-                    self.purchases.updateValue((event_id,), (us,))
+                new[kind].append((event_id, us))
+        if new["view"]:
+            self.views.appendList(new["view"])
+            self.handle.registerTimer(self._first_end(new["view"]))
+        if new["purchase"]:
+            self.purchases.appendList(new["purchase"])
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end = expiredTimerInfo.getExpiryTimeInMs()
-        bought = sorted((us, event_id) for (event_id,), (us,) in self.purchases.iterator())
-        due = [(event_id, us) for (event_id,), (us,) in self.views.iterator() if us // 1000 + self.within <= end]
+        # A row that came twice is one.
+        views, end = dict(self.views.get()), timerValues.getCurrentWatermarkInMs()
+        due = {event_id: us for event_id, us in views.items() if us // 1000 + self.within <= end}
         out = []
-        for event_id, us in due:
-            first = next((p for at, p in bought if at > us and at // 1000 < us // 1000 + self.within), None)
-            out.append((key[0], event_id, "abandoned" if first is None else "bought", first))
-            self.views.removeKey((event_id,))
-        for us, event_id in bought:
-            if us // 1000 <= end - self.within:
-                self.purchases.removeKey((event_id,))
+        if due:
+            bought = sorted((us, event_id) for event_id, us in dict(self.purchases.get()).items())
+            times = [us for us, _ in bought]
+            for event_id, us in due.items():
+                k = bisect_right(times, us)
+                first = bought[k][1] if k < len(bought) and times[k] // 1000 < us // 1000 + self.within else None
+                out.append((key[0], event_id, "abandoned" if first is None else "bought", first))
+            left = [(event_id, us) for event_id, us in views.items() if event_id not in due]
+            self._keep(self.views, left)
+            self._keep(self.purchases, [(event_id, us) for us, event_id in bought if us // 1000 > end - self.within])
+            if left:
+                self.handle.registerTimer(self._first_end(left))
         made = pd.DataFrame(out, columns=["user_id", "event_id", "outcome", "purchase_id"])
         yield made.astype({"purchase_id": "Int64"})
 
+    def _first_end(self, views: list[tuple[int, int]]) -> int:
+        return min(us for _, us in views) // 1000 + self.within
+
+    @staticmethod
+    def _keep(state, rows: list[tuple[int, int]]) -> None:
+        if rows:
+            state.put(rows)
+        else:
+            state.clear()
+
 
 def outcomes(events: DataFrame, *, within_ms: int, late: str = "1 day") -> DataFrame:
     """``(user_id, event_id, outcome, purchase_id)`` of each view of a stream of events: bought or abandoned within a time."""

@@ -72,3 +72,45 @@ def test_both_sides_of_a_stream_join_are_cleared(spark, tmp_path):
 @pytest.mark.parametrize("made", [lambda s: deduplicated(s, "event_id")])
 def test_no_rows(spark, tmp_path, made):
     assert replay(events(spark, []), "batch", str(tmp_path / "stream"), made, out=str(tmp_path / "out")) == []
+
+
+def test_the_store_is_called_a_few_times_a_user_not_for_each_row():
+    """A thousand rows of one user, decided at once, with a store that counts its calls."""
+    import pandas as pd
+
+    from lithospark.streaming.state import Outcomes
+
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.rows = []
+
+        def __getattr__(self, name):
+            def call(*given):
+                calls.append(name)
+                self.rows = self.rows + given[0] if name == "appendList" else given[0] if name == "put" else [] if name == "clear" else self.rows
+                return iter(self.rows)
+
+            return call
+
+    class Handle:
+        def getListState(self, *_):
+            return State()
+
+        getMapState = getListState
+
+        def registerTimer(self, at):
+            calls.append("timer")
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 10_000
+
+    made = Outcomes(100)
+    made.init(Handle())
+    rows = pd.DataFrame([(k, "view" if k % 2 else "purchase", k * 1000) for k in range(1000)], columns=["event_id", "event_type", "us"])
+    list(made.handleInputRows((1,), iter([rows]), Times()))
+    (out,) = made.handleExpiredTimer((1,), Times(), None)
+    assert len(calls) <= 10 and len(out) == 500
+    assert out["purchase_id"].dropna().tolist() == [k + 1 for k in range(1, 999, 2)]
