@@ -9,10 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from lithospark.functions.attributes import has_prop, matches_text, prop
+from lithospark.functions.geometry import with_bounds
 from lithospark.operators.layers import by_key, by_substance, categories, concessions, in_view, land_units, layers, repeats, with_policy, with_substance
 from lithospark.operators.spatial import edges
 from lithospark.session import shared_folder
-from lithospark.sources.geojson import ingest, open_layers, read_layer, read_layers
+from lithospark.sources.geojson import ingest, open_layers, parse_layers, read_layer, read_layers
+from lithospark.sources.geojson import write_texts as write_layer_texts
 
 from .claims import claims_json, unit_fragment, write_texts
 
@@ -168,3 +170,20 @@ def test_many_layers_are_few_files(spark, tmp_path):
     back = layers(open_layers(spark, str(tmp_path / "out")), "layer 7", "layer 70")
     assert sorted(r.layer for r in back.collect()) == ["layer 7", "layer 70"]
     assert "In(layer" in back._jdf.queryExecution().toString()
+
+
+def test_many_layers_share_files(spark, tmp_path):
+    fragment = '\n"features": [{"type":"Feature","id":"u","properties":{},"geometry":{"type":"Point","coordinates":[1,2]}}],\n'
+    texts = spark.createDataFrame([(f"{'a' if k % 2 else 'b'} %={k}", claims_json() if k % 2 else fragment) for k in range(120)], "layer string, text string")
+    few = texts.limit(30)
+    for name, rows in (("few", few), ("many", texts)):
+        write_layer_texts(rows, str(tmp_path / name))
+        want = sorted(map(repr, with_bounds(parse_layers(rows, repair=True)).collect()))
+        assert want and sorted(map(repr, read_layers(spark, str(tmp_path / name), repair=True).collect())) == want
+        named = sorted(map(repr, with_bounds(parse_layers(rows.where("layer LIKE 'a%'"))).collect()))
+        assert sorted(map(repr, read_layers(spark, str(tmp_path / name), prefix="a").collect())) == named
+    assert len(list((tmp_path / "few").iterdir())) > 20 and len(list((tmp_path / "many").rglob("part-*"))) < 20
+    (tmp_path / "many" / "more.geojson").write_text(claims_json())
+    assert read_layers(spark, str(tmp_path / "many"), repair=True).where("layer = 'more' OR layer = 'a %=1'").count() == 8
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        read_layers(spark, str(tmp_path / "none"))
