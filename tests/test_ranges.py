@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lithospark.plans.tables import claims_layer, units_layer
+from lithospark.sources import ranges
 from lithospark.sources.geojson import read_layer, read_layers, write_layers
 from lithospark.sources.ranges import part_of, scan_layer
 
@@ -95,3 +96,30 @@ def test_layers_written_come_back(spark, tmp_path):
         read = json.loads(file.read_text(encoding="utf-8"))
         assert read["type"] == "FeatureCollection" and len(file.read_text(encoding="utf-8").splitlines()) == len(read["features"]) + 2
     write_layers(whole.where("false"), str(tmp_path / "none"))
+
+
+def test_many_layers_share_files(spark, tmp_path):
+    names = F.concat(F.lit('a"\\/\u00e9 %='), F.col("id").cast("string"))
+    (tmp_path / "nasty.geojson").write_text(json.dumps(NASTY))
+    nasty = read_layer(spark, str(tmp_path / "nasty.geojson")).drop("layer")
+    many = spark.range(130).select(names.alias("layer")).crossJoin(nasty)
+    write_layers(many, str(tmp_path / "out"))
+    files = list((tmp_path / "out").rglob("part-*"))
+    assert len(files) < 20 and all(json.loads(f.read_text(encoding="utf-8"))["type"] == "FeatureCollection" for f in files)
+    assert same(read_layers(spark, str(tmp_path / "out")), many)
+    for step in (300, 1 << 20):
+        assert same(scan_layer(spark, str(tmp_path / "out" / "*.geojson"), range_bytes=step), many)
+
+
+def test_small_ranges_share_tasks_and_read_on_little(spark, tmp_path, monkeypatch):
+    feature = {"type": "Feature", "properties": {"k": "v" * 90}, "geometry": {"type": "Point", "coordinates": [1, 2]}}
+    (tmp_path / "many.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [feature | {"id": str(k)} for k in range(6000)]}))
+    found = scan_layer(spark, str(tmp_path / "many.geojson"), range_bytes=300)
+    assert found.rdd.getNumPartitions() <= 64
+    assert sorted(int(r.feature_id) for r in found.collect()) == list(range(6000))
+    read = []
+    monkeypatch.setattr(ranges, "_read", lambda file, start, end, real=ranges._read: read.append(end - start) or real(file, start, end))
+    with open(tmp_path / "many.geojson", "rb") as file:
+        size = (tmp_path / "many.geojson").stat().st_size
+        assert len(list(ranges._features(file, "many", 0, 300, size, 0, 0))) == 2
+    assert sum(read) < 10_000
