@@ -7,8 +7,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lithospark.operators import text
 from lithospark.operators.layers import in_view
-from lithospark.operators.text import search, trigrams, write_index
+from lithospark.operators.text import _bits, block_postings, folded, search, search_all, trigrams, write_index
 from lithospark.sources.geojson import ingest, open_layers, on_curve
 
 TEXTS = [None, "", "ab", "abc", "ABCabc", "x\ny z", "Bah\u00eda de Cádiz", "bahia", "a" * 5000, "\U0001f600\U0001f601\U0001f602 end", "the end", "Ünder the BRIDGE"]
@@ -34,6 +35,28 @@ def test_search_like_a_plain_one(spark, indexed, pattern):
     assert sorted((r.k, r.t) for r in search(spark, path, docs, pattern, id_col="k", text_col="t").collect()) == want
 
 
+def test_several_patterns_like_each_alone(spark, indexed):
+    docs, path = indexed
+    patterns = ["abc", "a", "zzz", "BAHIA", "abc", "the"]
+    got = sorted((r.pattern, r.k, r.t) for r in search_all(spark, path, docs, patterns, id_col="k", text_col="t").collect())
+    assert got == sorted((p, r.k, r.t) for p in set(patterns) for r in search(spark, path, docs, p, id_col="k", text_col="t").collect())
+    assert search_all(spark, path, docs, ["zzz"], id_col="k", text_col="t").columns == ["pattern", "k", "t"]
+
+
+def test_a_block_has_one_row_a_trigram(spark, indexed, monkeypatch):
+    docs, path = indexed
+    rows = spark.read.parquet(f"{path}/postings")
+    assert rows.count() == rows.select("gram", "block").distinct().count() < docs.select(F.explode(trigrams(folded(F.col("t"))))).count() / 3
+    texts = ["abc", "", "xabc\U0001f600", "ab"] * 30 + ["rare"]
+    grams, many, packed = block_postings(texts)
+    for gram, n, p in zip(grams, many, packed, strict=True):
+        has = [gram in t for t in texts]
+        assert _bits(p, n, len(texts)).tolist() == has and sum(has) == n
+    assert set(grams) == {t[k : k + 3] for t in texts for k in range(len(t) - 2)} and block_postings([""]) == ([], [], [])
+    monkeypatch.setattr(text, "DENSE_LETTERS", 3)
+    assert block_postings(texts) == (grams, many, packed)
+
+
 def test_only_the_patterns_postings_are_read(spark, indexed):
     docs, path = indexed
     plan = search(spark, path, docs, "abca", id_col="k", text_col="t")._jdf.queryExecution().toString()
