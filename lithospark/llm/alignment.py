@@ -42,6 +42,10 @@ class ByteTokens:
         self.bytes_of = [b""] * (max(vocab.values()) + 1)
         for i in vocab.values():
             self.bytes_of[i] = self.codec.bytes_of.get(i, b"")
+        # Pieces cover a text, so where bytes stand for themselves and every merge joins its parts' bytes, all texts come back.
+        of = self.bytes_of
+        merges = zip(*(m.tolist() for m in (self.codec.made, self.codec.left, self.codec.right)), strict=True)
+        self.exact = all(of[i] == bytes([k]) for k, i in enumerate(self.codec.first.tolist())) and all(of[m] == of[x] + of[y] for m, x, y in merges)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return list(self.codec.encode_batch([" " + t for t in texts]))
@@ -54,6 +58,7 @@ class PieceTokens:
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.exact = False
         names = [self.library.id_to_piece(i) for i in range(self.library.vocab_size())]
         self.bytes_of = [
             bytes([int(n[3:5], 16)]) if self.library.is_byte(i) else n.replace(SPACE, " ").encode() for i, n in enumerate(names)
@@ -84,7 +89,12 @@ def linked(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     Ends ascend; several tokens of a side that end together are paired each.
     """
     rising = all((e[1:] > e[:-1]).all() for e in (a_ends, b_ends))
-    cuts = np.intersect1d(a_ends, b_ends, assume_unique=rising)
+    if rising:
+        # One token of each side ends at a cut.
+        at = np.searchsorted(a_ends, b_ends)
+        same = np.flatnonzero(a_ends[np.minimum(at, len(a_ends) - 1)] == b_ends) if len(a_ends) else np.zeros(0, np.int64)
+        return b_ends[same], at[same], same
+    cuts = np.intersect1d(a_ends, b_ends)
     first_a, first_b = np.searchsorted(a_ends, cuts), np.searchsorted(b_ends, cuts)
     many_a = np.searchsorted(a_ends, cuts, side="right") - first_a
     many_b = np.searchsorted(b_ends, cuts, side="right") - first_b
@@ -94,9 +104,9 @@ def linked(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return cuts, np.repeat(first_a, many) + inside // np.maximum(of_b, 1), np.repeat(first_b, many) + inside % np.maximum(of_b, 1)
 
 
-def written(names: _Names, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, groups: int) -> str:
-    """Groups as ``a1,a2|b1;a3|b2,b3``."""
-    upto_a, upto_b = np.searchsorted(group_a, np.arange(groups), side="right"), np.searchsorted(group_b, np.arange(groups), side="right")
+def written(names: _Names, a: np.ndarray, b: np.ndarray, upto_a: np.ndarray, upto_b: np.ndarray) -> str:
+    """Groups as ``a1,a2|b1;a3|b2,b3``, of each side's tokens up to a place each."""
+    group_a, group_b = (np.repeat(np.arange(len(u)), np.diff(u, prepend=0)) for u in (upto_a, upto_b))
     last_a, last_b = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
     last_a[upto_a - 1] = 1
     last_b[upto_b - 1] = 1
@@ -110,9 +120,10 @@ def written(names: _Names, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, gr
 def _aligned(a: np.ndarray, b: np.ndarray, ends: tuple[np.ndarray, np.ndarray], names: _Names) -> dict:
     """What one document's tokens and their ends give."""
     cuts, left, right = linked(*ends)
-    group_a, group_b = (np.searchsorted(cuts, e) for e in ends)
+    # Where each cut ends one link, its tokens are the last of their groups.
+    upto_a, upto_b = (left + 1, right + 1) if len(left) == len(cuts) else (np.searchsorted(e, cuts, side="right") for e in ends)
     pairs, times = np.unique(a[left] * names.b + b[right], return_counts=True)
-    text = written(names, a, b, group_a, group_b, len(cuts))
+    text = written(names, a, b, upto_a, upto_b)
     return {"n_a": len(a), "n_b": len(b), "n_groups": len(cuts), "n_links": len(left), "groups": text, "pairs": pairs, "times": times}
 
 
@@ -155,7 +166,7 @@ def align(
             made = []
             for text, a, b in zip(texts, own_a.encode(texts), own_b.encode(texts), strict=True):
                 whole = (" " + text).encode()
-                if not text or any(b"".join(map(own.bytes_of.__getitem__, ids)) != whole for own, ids in ((own_a, a), (own_b, b))):
+                if not text or any(not own.exact and b"".join(map(own.bytes_of.__getitem__, ids)) != whole for own, ids in ((own_a, a), (own_b, b))):
                     made.append(_NOTHING)
                     continue
                 a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)

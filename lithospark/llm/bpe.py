@@ -162,7 +162,7 @@ class Codec:
         split = [self.texts_to_pieces(t) for t in texts]
         if len(self.known) > KEPT_PIECES:
             self.known.clear()
-        self.learn({p for pieces in split for p in pieces if type(p) is str})
+        self.learn({p for p in set().union(*split) if type(p) is str})
         known = self.known
         for text, pieces in zip(texts, split, strict=True):
             if self.split_special is not None and any(s in text for s in self.special):

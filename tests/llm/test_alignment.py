@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from lithospark.llm.alignment import align, linked, op13_cross_tokenizer_alignment, with_counts
-from lithospark.llm.bpe import byte_characters
+from lithospark.llm.alignment import ByteTokens, PieceTokens, _aligned, _Names, align, linked, op13_cross_tokenizer_alignment, piece_model, with_counts
+from lithospark.llm.bpe import byte_characters, tokenizer_json
 
 from .conftest import COLUMNS
 
@@ -109,3 +110,21 @@ def test_tokens_without_bytes_are_linked_each():
     cuts, left, right = linked(a, b)
     assert cuts.tolist() == [3, 6]
     assert list(zip(left.tolist(), right.tolist(), strict=True)) == [(1, 0), (1, 1), (2, 0), (2, 1), (3, 3)]
+
+
+def test_bytes_are_compared_only_where_they_may_differ():
+    model = tokenizer_json()
+    assert ByteTokens(model).exact and not PieceTokens(piece_model()).exact
+    other = json.loads(model)
+    merged = "".join(other["model"]["merges"][0]) if isinstance(other["model"]["merges"][0], list) else other["model"]["merges"][0].replace(" ", "")
+    token = {"id": other["model"]["vocab"][merged], "content": "<other>", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}
+    other["added_tokens"] = [*other["added_tokens"], token]
+    assert not ByteTokens(json.dumps(other)).exact
+
+
+def test_groups_where_each_cut_ends_one_link_or_more():
+    names = _Names(10, 10)
+    for a_ends, b_ends, want in (([1, 3, 4], [3, 4], "1,2|1;3|2"), ([2, 4], [1, 2, 3, 4], "1|1,2;2|3,4"), ([2, 2, 4], [2, 4], "1,2|1;3|2")):
+        a, b = (np.arange(1, len(e) + 1) for e in (a_ends, b_ends))
+        made = _aligned(a, b, (np.array(a_ends), np.array(b_ends)), names)
+        assert made["groups"] == want and made["n_links"] == sum(x == y for x in a_ends for y in b_ends)
